@@ -1,0 +1,48 @@
+"""Registered queries: each runs library operators over the whole given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelfolio import testpanel as T
+from panelfolio.operators import accounting as B
+from panelfolio.operators import metrics as M
+from panelfolio.operators import panel as P
+from panelfolio.operators import signals as G
+from panelfolio.operators import weights as A
+from panelfolio.params import ParamSet, Universe, overlay_ladder, universe_dim
+from panelfolio.plans.backtest import backtest
+from panelfolio.session import stage
+
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+ANCHORS = [T.TYPES.benchmark, T.TYPES.bond]
+
+
+def query(fn: Query) -> Query:
+    REGISTRY[fn.__name__] = fn
+    return fn
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def prices(spark: SparkSession, sf: str) -> DataFrame:
+    return T.test_prices(spark, sf)
+
+
+def market(spark: SparkSession, sf: str) -> P.Panel:
+    """The anchored panel, staged once because signals, returns and regimes all read it."""
+    return P.prepare_panel(stage(prices(spark, sf), "prices"), anchors=ANCHORS).staged()
+
+
+@query
+def backtest_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    panel = market(spark, sf)
+    rets = backtest(panel, universe_dim(spark, [T.TYPES]), overlay_ladder())
+    bench = B.buy_and_hold(panel, T.TYPES.benchmark, "0_benchmark")
+    return rounded(M.perf(rets.select(*B.RUN, "dt", "net").unionByName(bench.select(*B.RUN, "dt", "net"))))
