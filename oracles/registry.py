@@ -2,18 +2,8 @@
 
 from __future__ import annotations
 
-from oracles import sql as Q
-from panelfolio import testpanel as T
-from panelfolio.params import ParamSet, overlay_ladder
+from oracles import market, portfolios, sectors, signals, trading, validation
 
 STATEMENTS: dict[str, str] = {}
-U = T.TYPES
-
-
-def _ladder() -> str:
-    ctes = Q.base() + Q.runs(overlay_ladder(), U) + Q.hold_asset([(U.benchmark, 1.0)], "0_benchmark", "bh")
-    ctes += ["allr as (select universe, run_id, dt, net from rets union all select universe, run_id, dt, net from bh)"]
-    return Q.with_(ctes + Q.perf("allr"), Q.final("pf", ["universe", "run_id"], Q.PERF))
-
-
-STATEMENTS["backtest_ladder"] = _ladder()
+for module in (market, signals, portfolios, validation, sectors, trading):
+    STATEMENTS.update(module.S)

@@ -131,8 +131,8 @@ def not_listed_by_start(obs: DataFrame, pool: DataFrame, anchors: list[str]) ->
 
 
 def prepare_panel(prices: DataFrame, limit: int | None = 3, anchors: list[str] | None = None,
-                  drop_first: bool = True, carry: tuple[str, ...] = ("close",)) -> Panel:
-    """Clean prices into a Panel.
+                  drop_first: bool = True, carry: tuple[str, ...] = ("close",), staged: bool = False) -> Panel:
+    """Clean prices into a Panel; ``staged`` writes calendar and rows to the shared folder for several readers.
 
     ``drop_first`` removes dates without any price before the fill, so every remaining date keeps a row and one
     calendar serves both the fill and the panel. Otherwise such dates count as rows for the fill and vanish after it.
@@ -143,6 +143,8 @@ def prepare_panel(prices: DataFrame, limit: int | None = 3, anchors: list[str] |
     known = prices.filter(S.clean_number(F.col("close")).isNotNull())
     listed = trading_calendar(known)
     calendar = shifted_calendar(listed, known, anchors, limit) if anchors else listed
+    if staged:
+        calendar = stage(calendar, "calendar")
     rows = _spread(known, listed.select("universe", "dt", "row_no", "n_rows"), limit, carry)
     if anchors:
         rows = rows.withColumnRenamed("row_no", "listed_row")
@@ -150,7 +152,7 @@ def prepare_panel(prices: DataFrame, limit: int | None = 3, anchors: list[str] |
     ordinals = calendar.select(*dict.fromkeys([*on, "dt", "row_no", "reb_before", "n_rows", "n_reb"]))
     obs = rows.join(ordinals, on).select(
         *ASSET, "dt", *carry, (F.col("ahead") > 0).alias("is_filled"), "row_no", "reb_before", "n_rows", "n_reb")
-    return Panel(obs, calendar.drop("listed_row"))
+    return Panel(stage(obs, "obs") if staged else obs, calendar.drop("listed_row"))
 
 
 def shifted_calendar(listed: DataFrame, known: DataFrame, anchors: list[str], limit: int | None) -> DataFrame:
