@@ -92,12 +92,12 @@ ATTR = Q.base() + Q.targets(FULL.but("attribution", drawdown_prot=False), U, 0)
     """df as (select ds.signal_dt, abs(coalesce(n.fin, 0) - coalesce(o.fin, 0)) f, abs(coalesce(n.cand, 0) - coalesce(o.cand, 0)) c,
  abs(coalesce(n.vol, 0) - coalesce(o.vol, 0)) v, abs(coalesce(n.trend, 0) - coalesce(o.trend, 0)) t from ds join ds dp on dp.d = ds.d - 1 cross join (select distinct asset from lw) a
  left join lw n on n.reb_no = ds.reb_no and n.asset = a.asset left join lw o on o.reb_no = dp.reb_no and o.asset = a.asset)""",
-    """at as (select *, case when candidates >= vol_target and candidates >= trend then 'candidates' when vol_target >= trend then 'vol_target' else 'trend' end main_cause from (
+    """att as (select *, case when candidates >= vol_target and candidates >= trend then 'candidates' when vol_target >= trend then 'vol_target' else 'trend' end main_cause from (
  select 'types' universe, 'attribution' run_id, signal_dt, sum(f) turnover, sum(c) candidates, sum(v) vol_target, sum(t) trend from df group by 3))"""]
-AT = Q.final("at", UR + ["signal_dt", "main_cause"], ["turnover", "candidates", "vol_target", "trend"])
+AT = Q.final("att", UR + ["signal_dt", "main_cause"], ["turnover", "candidates", "vol_target", "trend"])
 S["turnover_attribution"] = Q.with_(ATTR, AT)
-S["turnover_top_months"] = Q.with_(ATTR + ["tp as (select * from at order by turnover desc, signal_dt limit 10)"], AT.replace("from at", "from tp"))
-S["turnover_causes"] = Q.with_(ATTR, "select universe, run_id, main_cause, count(*) months from at where turnover > 0.30 group by 1, 2, 3")
+S["turnover_top_months"] = Q.with_(ATTR + ["tp as (select * from att order by turnover desc, signal_dt limit 10)"], AT.replace("from att", "from tp"))
+S["turnover_causes"] = Q.with_(ATTR, "select universe, run_id, main_cause, count(*) as months from att where turnover > 0.30 group by 1, 2, 3")
 S["cost_sensitivity"] = Q.with_(Q.base() + Q.runs([FULL], U, 0.0) + ["""cs as (select universe, run_id, cost_rate, dt, gross - turnover * cost_rate net from rets
  cross join (values (0.0::double), (0.00075::double), (0.003::double)) c(cost_rate))"""] + Q.perf("cs", "universe, run_id, cost_rate"),
     "select universe, run_id, cost_rate, round(total_return, 6) + 0.0 total_return, round(cagr, 6) + 0.0 cagr, round(sharpe, 6) + 0.0 sharpe, round(mdd, 6) + 0.0 mdd from pf")

@@ -16,11 +16,10 @@ from panelfolio.params import COST_RATE
 RUN = ("universe", "run_id")
 
 
-def decision_grid(targets: DataFrame, zero_rows: int | None = 1) -> DataFrame:
-    """Targets with an explicit null target for decisions that leave an asset out after it was in.
+def decision_grid(targets: DataFrame) -> DataFrame:
+    """Targets with an explicit null target for every decision that leaves a once-targeted asset out.
 
-    ``zero_rows=1`` is enough when every trade fills (the asset is gone after one decision); None keeps asking until
-    the asset returns, which blocked sales need.
+    A blocked sale is asked for again at each later decision, so the nulls run until the asset returns.
     """
     run = Window.partitionBy(*RUN)
     numbered = (targets.withColumn("dec_no", F.dense_rank().over(run.orderBy("reb_no")))
@@ -28,17 +27,31 @@ def decision_grid(targets: DataFrame, zero_rows: int | None = 1) -> DataFrame:
     decisions = numbered.select(*RUN, "dec_no", "reb_no").distinct()
     back = Window.partitionBy(*RUN, "asset").orderBy("dec_no")
     gap = F.coalesce(F.lead("dec_no").over(back), F.col("n_dec") + 1) - F.col("dec_no") - 1
-    reach = gap if zero_rows is None else F.least(gap, F.lit(zero_rows))
-    spread = (numbered.withColumn("_reach", reach)
+    spread = (numbered.withColumn("_reach", gap)
               .select(*RUN, "asset", "dec_no", "weight", F.explode(F.sequence(F.lit(0), F.col("_reach"))).alias("_k")))
     return (spread.select(*RUN, "asset", (F.col("dec_no") + F.col("_k")).cast("int").alias("dec_no"),
                           F.when(F.col("_k") == 0, F.col("weight")).alias("target"))
             .join(decisions, [*RUN, "dec_no"]))
 
 
-def execute(grid: DataFrame) -> DataFrame:
-    """Everything fills: weight = target, 0 when the decision leaves the asset out."""
-    return grid.withColumn("weight", F.coalesce("target", F.lit(0.0))).drop("target")
+def execute_all(targets: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Every trade fills: holdings(run, asset, weight, reb_no, until, reb_row, trade) without path dependence.
+
+    ``until`` is the last rebalance ordinal a row serves. An asset that a decision leaves out gets one zero row there.
+    Every window is over the run or the asset of a run, so the targets move once.
+    """
+    run, path = "over (partition by universe, run_id order by reb_no", "over (partition by universe, run_id, asset order by reb_no)"
+    df = targets.selectExpr("*", f"dense_rank() {run}) as _dec",
+                            f"min(reb_no) {run} range between 1 following and unbounded following) as _next")
+    df = df.selectExpr("*", f"lag(weight) {path} as _w", f"lag(_dec) {path} as _d", f"lead(_dec) {path} as _e")
+    kept = "case when _dec - _d = 1 then _w else 0D end"
+    rows = f"""inline(filter(array(
+        struct(weight as weight, reb_no as reb_no, _next - 1 as until, abs(weight - coalesce({kept}, 0D)) as trade, true as used),
+        struct(0D as weight, _next as reb_no, _next as until, weight as trade,
+               _next is not null and coalesce(_e - _dec, 2) > 1 as used)), x -> x.used))"""
+    out = df.selectExpr(*RUN, "asset", rows).drop("used")
+    return out.join(rebalances(calendar).select("universe", "reb_no", "reb_row", "n_reb"), ["universe", "reb_no"]).withColumn(
+        "until", F.coalesce("until", "n_reb")).drop("n_reb")
 
 
 def _filled(old: Column, row: Column) -> Column:
@@ -71,65 +84,52 @@ def execute_with_limits(grid: DataFrame, flags: DataFrame, calendar: DataFrame)
                       F.col("z.weight").alias("weight"))
 
 
-def with_periods(holdings: DataFrame) -> DataFrame:
-    """Add ``trade`` (abs weight change) and ``until`` (last rebalance ordinal served).
-
-    Ordinals between two decisions belong to the earlier one; the asset's final row serves all later ordinals.
-    """
+def with_periods(holdings: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Holdings after blocked trades in the form of `execute_all`: adds until, reb_row and trade."""
     path = Window.partitionBy(*RUN, "asset").orderBy("dec_no")
     run = Window.partitionBy(*RUN).orderBy("reb_no")
     following = F.min("reb_no").over(run.rangeBetween(1, Window.unboundedFollowing))
-    return (holdings.withColumn("trade", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(path), F.lit(0.0))))
-            .withColumn("until", following - 1))
+    df = (holdings.withColumn("trade", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(path), F.lit(0.0))))
+          .withColumn("until", following - 1))
+    return df.join(rebalances(calendar).select("universe", "reb_no", "reb_row", "n_reb"), ["universe", "reb_no"]).withColumn(
+        "until", F.coalesce("until", "n_reb")).select(*RUN, "asset", "weight", "reb_no", "until", "trade", "reb_row")
 
 
-def portfolio_returns(holdings: DataFrame, panel: Panel, runs: DataFrame, cost_rate: float | None = COST_RATE,
+def portfolio_returns(periods: DataFrame, panel: Panel, runs: DataFrame, cost_rate: float = COST_RATE,
                       gap_policy: str = "pad") -> DataFrame:
     """returns(universe, run_id, dt, row_no, gross, turnover, cost, net) from row ``need`` of each run.
 
-    ``runs``: universe, run_id, need (+ cost_rate when ``cost_rate`` is None). Daily returns meet holdings by equality
-    on (universe, asset, ordinal in force), so the only per-day shuffle is the final sum.
+    ``runs``: universe, run_id, need. Daily returns meet holdings by equality on (universe, asset, ordinal in force),
+    so the only per-day shuffle is the final sum.
     """
-    periods = with_periods(holdings)
-    total = panel.calendar.groupBy("universe").agg(F.max("n_reb").alias("n_reb"))
-    served = (periods.filter("weight <> 0").join(total, "universe")
-              .select(*RUN, "asset", "weight",
-                      F.explode(F.sequence("reb_no", F.coalesce("until", "n_reb"))).alias("ordinal")))
-    # Ordinal in force for the return of row t: month ends at or before row t - 2.
-    in_force = panel.calendar.select(
-        "universe", "row_no", F.lag("reb_before", 1).over(Window.partitionBy("universe").orderBy("row_no")).alias("ordinal"))
-    rets = daily_returns(panel, gap_policy).filter("ret <> 0").select(*ASSET, "row_no", "ret").join(
-        in_force.filter("ordinal > 0"), ["universe", "row_no"])
+    served = periods.filter("weight <> 0").select(
+        *RUN, "asset", "weight", F.explode(F.sequence("reb_no", "until")).alias("reb_earn"))
+    rets = daily_returns(panel, gap_policy).filter("ret <> 0 and reb_earn > 0").select(*ASSET, "row_no", "reb_earn", "ret")
     zero = F.lit(0.0)
-    earned = rets.join(served, [*ASSET, "ordinal"]).select(
+    earned = rets.join(served, [*ASSET, "reb_earn"]).select(
         *RUN, "row_no", (F.col("weight") * F.col("ret")).alias("gross"), zero.alias("turnover"))
-    traded = (periods.filter("trade > 0")
-              .join(rebalances(panel.calendar).select("universe", "reb_no", "reb_row"), ["universe", "reb_no"])
-              .select(*RUN, (F.col("reb_row") + 1).alias("row_no"), zero.alias("gross"), F.col("trade").alias("turnover")))
+    traded = periods.filter("trade > 0").select(
+        *RUN, (F.col("reb_row") + 1).alias("row_no"), zero.alias("gross"), F.col("trade").alias("turnover"))
     flows = earned.unionByName(traded).groupBy(*RUN, "row_no").agg(
         F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover"))
     days = panel.calendar.select("universe", "dt", "row_no").join(runs, "universe").filter("row_no >= need")
-    rate = F.col("cost_rate") if cost_rate is None else F.lit(cost_rate)
     out = days.join(flows, [*RUN, "row_no"], "left").na.fill(0.0, ["gross", "turnover"]).withColumn(
-        "cost", F.col("turnover") * rate)
+        "cost", F.col("turnover") * cost_rate)
     return out.select(*RUN, "dt", "row_no", "gross", "turnover", "cost", (F.col("gross") - F.col("cost")).alias("net"))
 
 
-def runs_of(panel: Panel, needs: list[tuple[str, int]], universes: list[str] | None = None) -> DataFrame:
+def runs_of(panel: Panel, needs: list[tuple[str, int]]) -> DataFrame:
     """runs(universe, run_id, need): every listed run on every universe of the panel."""
-    runs = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(n).alias("need")) for r, n in needs])
-    base = panel.calendar.select("universe").distinct()
-    if universes:
-        base = base.filter(F.col("universe").isin(*universes))
-    return base.select("universe", F.inline(runs))
+    runs = ", ".join(f"struct('{r}' as run_id, {n} as need)" for r, n in needs)
+    return panel.calendar.filter("row_no = 0").selectExpr("universe", f"inline(array({runs}))")
 
 
 def backtest_targets(targets: DataFrame, panel: Panel, runs: DataFrame, flags: DataFrame | None = None,
-                     cost_rate: float | None = COST_RATE, gap_policy: str = "pad") -> DataFrame:
+                     cost_rate: float = COST_RATE, gap_policy: str = "pad") -> DataFrame:
     """Targets to daily returns, with or without blocked trades."""
-    holdings = (execute(decision_grid(targets)) if flags is None
-                else execute_with_limits(decision_grid(targets, None), flags, panel.calendar))
-    return portfolio_returns(holdings, panel, runs, cost_rate, gap_policy)
+    periods = (execute_all(targets, panel.calendar) if flags is None else
+               with_periods(execute_with_limits(decision_grid(targets), flags, panel.calendar), panel.calendar))
+    return portfolio_returns(periods, panel, runs, cost_rate, gap_policy)
 
 
 def single_asset_timing(panel: Panel, signals: DataFrame, min_row: int, cost_rate: float = COST_RATE) -> DataFrame:

@@ -16,6 +16,7 @@ from panelfolio.functions import scalars as S
 from panelfolio.session import stage
 
 ASSET = ("universe", "asset")
+ORDINALS = ("reb_before", "reb_earn", "n_rows", "n_reb")
 
 
 def asset_window(order: str = "dt"):
@@ -24,7 +25,7 @@ def asset_window(order: str = "dt"):
 
 @dataclass(frozen=True)
 class Panel:
-    """``obs``: universe, asset, dt, row_no, reb_before, n_rows, n_reb, close (+ passengers). ``calendar``: see below."""
+    """``obs``: universe, asset, dt, row_no, close, is_filled and ORDINALS. ``calendar``: see below."""
 
     obs: DataFrame
     calendar: DataFrame
@@ -37,32 +38,50 @@ def trading_calendar(prices: DataFrame, partition: str = "universe") -> DataFram
     """Trading dates with ordinals and month ends.
 
     Columns: row_no (0-based), n_rows, is_month_end (last trading date of its month, the last date always counts),
-    reb_no (ordinal of the month end, else null), reb_before (month ends strictly earlier), n_reb.
+    reb_no (ordinal of the month end, else null), reb_before (month ends strictly earlier), reb_earn (the same one row
+    earlier: the ordinal whose holdings earn this row's return), n_reb.
     """
-    by_date = Window.partitionBy(partition).orderBy("dt")
-    whole = Window.partitionBy(partition)
-    following = F.lead("dt").over(by_date)
-    return (
-        prices.select(partition, "dt").distinct()
-        .withColumn("row_no", F.row_number().over(by_date) - 1)
-        .withColumn("is_month_end", following.isNull() | (F.trunc(following, "month") != F.trunc("dt", "month")))
-        .withColumn("reb_upto", F.sum(F.col("is_month_end").cast("int")).over(by_date))
-        .withColumn("reb_before", (F.col("reb_upto") - F.col("is_month_end").cast("int")).cast("int"))
-        .withColumn("reb_no", F.when(F.col("is_month_end"), F.col("reb_upto")).cast("int"))
-        .withColumn("n_rows", F.count(F.lit(1)).over(whole).cast("int"))
-        .withColumn("n_reb", F.max("reb_upto").over(whole).cast("int"))
-        .drop("reb_upto")
-    )
+    return _with_ordinals(prices.select(partition, "dt").distinct(), partition)
+
+
+def _with_ordinals(dates: DataFrame, partition: str = "universe") -> DataFrame:
+    over = f"over (partition by {partition} order by dt)"
+    # ``partition`` may name several columns; they all hang on the universe, so one exchange serves every window.
+    df = dates.selectExpr("*", f"lead(dt) {over} as _next", f"row_number() {over} - 1 as row_no")
+    df = df.selectExpr("*", "coalesce(trunc(_next, 'month') <> trunc(dt, 'month'), true) as is_month_end")
+    df = df.selectExpr("*", f"cast(sum(int(is_month_end)) {over} as int) as _upto",
+                       f"cast(count(1) over (partition by {partition}) as int) as n_rows")
+    df = df.selectExpr("*", "_upto - int(is_month_end) as reb_before", "case when is_month_end then _upto end as reb_no",
+                       f"max(_upto) over (partition by {partition}) as n_reb")
+    return df.selectExpr("*", f"lag(reb_before) {over} as reb_earn").drop("_next", "_upto")
+
+
+def anchored_calendar(prices: DataFrame, anchors: list[str], limit: int | None) -> DataFrame:
+    """`trading_calendar` from the first date on which every anchor has a price (own or filled).
+
+    Earlier dates stay with ``on`` = 0, because a fill may start on them; ``listed_row`` counts all dates. One
+    aggregate per date finds dates and anchor prices together.
+    """
+    has = [F.max((F.col("asset") == a).cast("int")).alias(f"_h{i}") for i, a in enumerate(anchors)]
+    dates = prices.groupBy("universe", "dt").agg(*has)
+    w = Window.partitionBy("universe").orderBy("dt")
+    back = w.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
+    ready = F.least(*[F.max(f"_h{i}").over(back) for i in range(len(anchors))]) if len(anchors) > 1 else F.max("_h0").over(back)
+    df = dates.select("universe", "dt", (F.row_number().over(w) - 1).alias("listed_row"), ready.alias("_ready"),
+                      F.count(F.lit(1)).over(Window.partitionBy("universe")).cast("int").alias("listed_rows"))
+    started = F.max("_ready").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("on", F.coalesce(started, F.lit(0))).drop("_ready")
+    return _with_ordinals(df, "universe, on")
 
 
 def rebalances(calendar: DataFrame) -> DataFrame:
     """One row per rebalance: universe, reb_no, reb_row, signal_dt."""
     return calendar.filter("is_month_end").select(
-        "universe", "reb_no", F.col("row_no").alias("reb_row"), F.col("dt").alias("signal_dt"))
+        "universe", "reb_no", F.col("row_no").alias("reb_row"), F.col("dt").alias("signal_dt"), "n_reb")
 
 
 def month_end_calendar(calendar: DataFrame, min_row: int = 0) -> DataFrame:
-    return rebalances(calendar).filter(F.col("reb_row") >= min_row)
+    return rebalances(calendar).filter(F.col("reb_row") >= min_row).drop("n_reb")
 
 
 def is_month_end_trading_day(days: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -141,37 +160,23 @@ def prepare_panel(prices: DataFrame, limit: int | None = 3, anchors: list[str] |
         filled = fill_forward(prices, trading_calendar(prices), limit, carry)
         return index_panel(anchor_start(filled, anchors) if anchors else filled)
     known = prices.filter(S.clean_number(F.col("close")).isNotNull())
-    listed = trading_calendar(known)
-    calendar = shifted_calendar(listed, known, anchors, limit) if anchors else listed
+    dates = anchored_calendar(known, anchors, limit) if anchors else trading_calendar(known).selectExpr(
+        "*", "row_no as listed_row", "n_rows as listed_rows", "1 as on")
     if staged:
-        calendar = stage(calendar, "calendar")
-    rows = _spread(known, listed.select("universe", "dt", "row_no", "n_rows"), limit, carry)
-    if anchors:
-        rows = rows.withColumnRenamed("row_no", "listed_row")
-    on = ["universe", "listed_row" if anchors else "row_no"]
-    ordinals = calendar.select(*dict.fromkeys([*on, "dt", "row_no", "reb_before", "n_rows", "n_reb"]))
-    obs = rows.join(ordinals, on).select(
-        *ASSET, "dt", *carry, (F.col("ahead") > 0).alias("is_filled"), "row_no", "reb_before", "n_rows", "n_reb")
-    return Panel(stage(obs, "obs") if staged else obs, calendar.drop("listed_row"))
-
-
-def shifted_calendar(listed: DataFrame, known: DataFrame, anchors: list[str], limit: int | None) -> DataFrame:
-    """Calendar from the anchored start on: ordinals move by those of the start row (kept in ``listed_row``)."""
-    anchor_rows = fill_forward(known.filter(F.col("asset").isin(*anchors)), listed, limit)
-    start = anchor_date(anchor_rows, anchors).join(
-        listed.select("universe", F.col("dt").alias("start_dt"), F.col("row_no").alias("_r0"), F.col("reb_before").alias("_b0")),
-        ["universe", "start_dt"])
-    moved = listed.join(start, "universe").filter("dt >= start_dt")
-    return moved.select("universe", "dt", F.col("row_no").alias("listed_row"), (F.col("row_no") - F.col("_r0")).alias("row_no"),
-                        "is_month_end", (F.col("reb_before") - F.col("_b0")).alias("reb_before"),
-                        (F.col("reb_no") - F.col("_b0")).alias("reb_no"), (F.col("n_rows") - F.col("_r0")).alias("n_rows"),
-                        (F.col("n_reb") - F.col("_b0")).alias("n_reb"))
+        dates = stage(dates, "calendar")
+    calendar = dates.filter("on = 1").drop("on")
+    listed = dates.selectExpr("universe", "dt", "listed_row as row_no", "listed_rows as n_rows")
+    rows = _spread(known, listed, limit, carry)
+    ordinals = calendar.select("universe", "listed_row", "dt", "row_no", *ORDINALS)
+    obs = rows.withColumnRenamed("row_no", "listed_row").join(ordinals, ["universe", "listed_row"]).select(
+        *ASSET, "dt", *carry, (F.col("ahead") > 0).alias("is_filled"), "row_no", *ORDINALS)
+    return Panel(stage(obs, "obs") if staged else obs, calendar.drop("listed_row", "listed_rows"))
 
 
 def index_panel(filled: DataFrame) -> Panel:
     """Attach calendar ordinals to a set of price rows; dates without any price vanish here."""
     calendar = trading_calendar(filled)
-    ordinals = calendar.select("universe", "dt", "row_no", "reb_before", "n_rows", "n_reb")
+    ordinals = calendar.select("universe", "dt", "row_no", *ORDINALS)
     return Panel(filled.join(ordinals, ["universe", "dt"]), calendar)
 
 
@@ -278,11 +283,11 @@ def universe_variant(panel: Panel, universe: str, variant: str, drop: list[str])
 def synthetic_drift(panel: Panel, universe: str, variant: str, asset: str, annual: float) -> Panel:
     """Copy of one universe where ``asset`` compounds at a constant annual rate from its first price."""
     daily = (1.0 + annual) ** (1.0 / S.TRADING_DAYS)
-    source = panel.obs.filter(F.col("universe") == universe).select(*ASSET, "dt", "row_no", "reb_before", "n_rows", "n_reb", "close")
+    source = panel.obs.filter(F.col("universe") == universe).select(*ASSET, "dt", "row_no", *ORDINALS, "close")
     anchor = source.filter(F.col("asset") == asset).groupBy("universe").agg(F.min_by("close", "dt").alias("anchor"))
     calendar = panel.calendar.filter(F.col("universe") == universe)
     path = calendar.join(anchor, "universe").select(
-        "universe", F.lit(asset).alias("asset"), "dt", "row_no", "reb_before", "n_rows", "n_reb",
+        "universe", F.lit(asset).alias("asset"), "dt", "row_no", *ORDINALS,
         (F.col("anchor") * F.pow(F.lit(daily), F.col("row_no"))).alias("close"))
     obs = source.filter(F.col("asset") != asset).unionByName(path)
     return Panel(obs.withColumn("universe", F.lit(variant)), calendar.withColumn("universe", F.lit(variant)))

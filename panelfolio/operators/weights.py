@@ -49,7 +49,7 @@ def rebalance_signals(panel: Panel, dim: DataFrame, params: list[ParamSet]) -> D
     for window in sorted({p.vol_window for p in params if p.vol_target}):
         df = G.with_tail(df, window)
 
-    df = in_force_at_rebalances(df).join(rebalances(panel.calendar), ["universe", "reb_no"])
+    df = in_force_at_rebalances(df).join(rebalances(panel.calendar).drop("n_reb"), ["universe", "reb_no"])
     runs = f"inline(array({', '.join(_run_struct(p) for p in params)}))"
     return df.selectExpr("universe", "reb_no", "reb_row", "signal_dt", "asset", "pool_order", "bond_asset", "cash_asset",
                          "bench_asset", runs).filter("reb_row >= need")

@@ -13,7 +13,7 @@ from panelfolio.session import stage
 
 
 def backtest(panel: Panel, dim: DataFrame, params: list[ParamSet], flags: DataFrame | None = None,
-             cost_rate: float | None = B.COST_RATE) -> DataFrame:
+             cost_rate: float = B.COST_RATE) -> DataFrame:
     """Daily returns of every parameter set on every universe of the panel.
 
     The targets table is small (runs x month ends x pool) but its plan is deep, so it is staged once.

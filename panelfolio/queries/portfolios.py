@@ -77,7 +77,7 @@ def executed_with_limits(spark: SparkSession, sf: str) -> DataFrame:
     px = prices(spark, sf)
     panel = market(spark, sf)
     targets = A.decide_targets(panel, dim(spark), VARIANTS[:3])
-    out = B.execute_with_limits(B.decision_grid(targets, None), flags(spark, px), panel.calendar)
+    out = B.execute_with_limits(B.decision_grid(targets), flags(spark, px), panel.calendar)
     return rounded(out.select("universe", "run_id", "asset", "reb_no", "weight"))
 
 
@@ -284,9 +284,9 @@ def deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
 def normal_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Normal distribution function and quantile over customer balances."""
     from panelfolio.functions import scalars as S
-    z = F.col("c_acctbal") / 2000 - 2
-    return rounded(T.table(spark, sf, "customer").select(
-        "c_custkey", S.norm_cdf(z).alias("cdf"), S.norm_ppf(F.least(F.greatest(S.norm_cdf(z), F.lit(1e-6)), F.lit(1 - 1e-6))).alias("ppf")), 7)
+    df = T.table(spark, sf, "customer").select("c_custkey", S.norm_cdf(F.col("c_acctbal") / 2000 - 2).alias("cdf"))
+    inner = F.least(F.greatest(F.col("cdf"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return rounded(df.withColumn("ppf", S.norm_ppf(inner)), 7)
 
 
 @query
