@@ -182,6 +182,6 @@ def perf(src: str, keys: str = "universe, run_id", name: str = "pf", ret: str =
 
 def hold_asset(asset_weights: list[tuple[str, float]], run_id: str, name: str, need: int = 126) -> list[str]:
     vals = ", ".join(f"('{a}', {w})" for a, w in asset_weights)
-    return [f"""{name} as (select c.universe, '{run_id}' run_id, c.dt, c.row_no, coalesce(sum(v.w * coalesce(o.ret, 0)), 0) net from cal c
+    return [f"""{name} as (select c.universe, '{run_id}' run_id, c.dt, c.row_no, case when c.row_no = {need} then 0 else coalesce(sum(v.w * coalesce(o.ret, 0)), 0) end net from cal c
  cross join (values {vals}) v(asset, w) left join obs o on o.universe = c.universe and o.asset = v.asset and o.row_no = c.row_no
  where c.row_no >= {need} group by 1, 2, 3, 4)"""]

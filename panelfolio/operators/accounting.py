@@ -173,18 +173,19 @@ def daily_weights_backtest(weights: DataFrame, panel: Panel, run_id: str, cost_r
 
 
 def buy_and_hold(panel: Panel, asset: str, run_id: str, min_row: int = 126) -> DataFrame:
-    """Daily returns of one asset on every calendar row from ``min_row``."""
+    """Daily returns of one asset from ``min_row``."""
     return fixed_mix(panel, [(asset, 1.0)], run_id, min_row)
 
 
 def fixed_mix(panel: Panel, weights: list[tuple[str, float]], run_id: str, min_row: int = 126) -> DataFrame:
-    """Daily rebalanced fixed weights without cost (60/40, equal hold)."""
+    """Daily rebalanced fixed weights without cost (60/40, equal hold). The first row is the base and earns nothing."""
     dim = panel.obs.sparkSession.createDataFrame(weights, "asset string, weight double")
     sums = (daily_returns(panel).select(*ASSET, "row_no", "ret").join(F.broadcast(dim), "asset")
-            .groupBy("universe", "row_no").agg(F.sum(F.col("weight") * F.col("ret")).alias("net")))
+            .groupBy("universe", "row_no").agg(F.sum(F.col("weight") * F.col("ret")).alias("_r")))
     return (panel.calendar.select("universe", "dt", "row_no").filter(F.col("row_no") >= min_row)
-            .join(sums, ["universe", "row_no"], "left").na.fill(0.0, ["net"])
-            .select("universe", F.lit(run_id).alias("run_id"), "dt", "row_no", "net"))
+            .join(sums, ["universe", "row_no"], "left")
+            .select("universe", F.lit(run_id).alias("run_id"), "dt", "row_no",
+                    F.when(F.col("row_no") == min_row, 0.0).otherwise(F.coalesce("_r", F.lit(0.0))).alias("net")))
 
 
 def annual_turnover(returns: DataFrame, cost_rate: float = COST_RATE) -> DataFrame:

@@ -13,18 +13,20 @@ from panelfolio.operators import signals as G
 RUN = ("universe", "run_id")
 
 
-def perf(returns: DataFrame, keys: tuple[str, ...] = RUN, ret: str = "net") -> DataFrame:
+def perf(returns: DataFrame, keys: tuple[str, ...] = RUN, ret: str = "net", order: str = "dt") -> DataFrame:
     """The 13-field metric record. NAV is rebased on the first row of each group.
 
+    ``order`` differs from the date only where a date may repeat (stitched test windows).
+
     All windows and the final aggregate share one partitioning, so each group moves once.
     """
     group = Window.partitionBy(*keys)
-    df = G.underwater(G.nav(returns, ret, keys), keys)
+    df = G.underwater(G.nav(returns, ret, keys, order), keys, order)
     r = F.col(ret)
     df = df.withColumn("_v95", F.percentile(r, F.lit(0.05)).over(group)).withColumn(
         "_v99", F.percentile(r, F.lit(0.01)).over(group))
     out = df.groupBy(*keys).agg(
-        F.max_by("nav", "dt").alias("_end"), F.datediff(F.max("dt"), F.min("dt")).alias("_days"),
+        F.max_by("nav", order).alias("_end"), F.datediff(F.max("dt"), F.min("dt")).alias("_days"),
         F.stddev_samp(r).alias("_sd"), F.avg(r).alias("_mean"),
         F.avg(F.when(r < 0, r * r).otherwise(F.lit(0.0))).alias("_down"), F.min("underwater").alias("mdd"),
         F.sum(F.when(r > 0, r).otherwise(F.lit(0.0))).alias("_gain"),

@@ -84,6 +84,29 @@ def month_end_calendar(calendar: DataFrame, min_row: int = 0) -> DataFrame:
     return rebalances(calendar).filter(F.col("reb_row") >= min_row).drop("n_reb")
 
 
+def with_rebalance_dates(panel: Panel, dates: DataFrame) -> Panel:
+    """The same panel with other rebalance dates (universe, dt) in place of its month ends."""
+    flagged = panel.calendar.select("universe", "dt", "row_no", "n_rows").join(
+        dates.select("universe", "dt").distinct().withColumn("_reb", F.lit(True)), ["universe", "dt"], "left")
+    over = "over (partition by universe order by dt)"
+    df = flagged.selectExpr("universe", "dt", "row_no", "n_rows", "coalesce(_reb, false) as is_month_end")
+    df = df.selectExpr("*", f"cast(sum(int(is_month_end)) {over} as int) as _upto")
+    df = df.selectExpr("*", "_upto - int(is_month_end) as reb_before", "case when is_month_end then _upto end as reb_no",
+                       "max(_upto) over (partition by universe) as n_reb")
+    calendar = stage(df.selectExpr("*", f"lag(reb_before) {over} as reb_earn").drop("_upto"), "calendar")
+    obs = panel.obs.drop("row_no", *ORDINALS).join(calendar.select("universe", "dt", "row_no", *ORDINALS), ["universe", "dt"])
+    return Panel(obs, calendar)
+
+
+def own_month_ends(obs: DataFrame, min_row: int) -> DataFrame:
+    """Every date that is the last price date of a month for some asset, from that asset's row ``min_row`` on."""
+    w = asset_window()
+    following = F.lead("dt").over(w)
+    own = obs.select(*ASSET, "dt", (F.row_number().over(w) - 1).alias("_own"),
+                     (following.isNull() | (F.trunc(following, "month") != F.trunc("dt", "month"))).alias("_end"))
+    return own.filter((F.col("_own") >= min_row) & F.col("_end")).select("universe", "dt").distinct()
+
+
 def is_month_end_trading_day(days: DataFrame, calendar: DataFrame) -> DataFrame:
     """Flag each (universe, dt); a universe without a calendar answers true."""
     last = calendar.groupBy("universe", F.trunc("dt", "month").alias("month")).agg(F.max("dt").alias("month_last"))

@@ -206,18 +206,18 @@ def forward_return(h: int, order: str = "dt", keys: tuple[str, ...] = ASSET) ->
     return F.lead("close", h).over(w) / F.col("close") - 1
 
 
-def low_vol_score(obs: DataFrame, window: int = 126) -> DataFrame:
-    """Minus the annual deviation of the last ``window`` row returns (a row return needs the previous row)."""
+def low_vol_score(filled: DataFrame, window: int = 126) -> DataFrame:
+    """Minus the annual deviation of the last ``window`` row returns. Needs a panel without gaps (unbounded fill)."""
     w = asset_window("row_no")
-    span = F.col("row_no") - F.lag("row_no", window).over(w) == window
-    df = with_rolling(obs.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1), "ret", window, "_l")
-    return df.withColumn("score", F.when(span, -F.col("_l_std") * F.sqrt(F.lit(252.0)))).drop("_l_mean", "_l_std", "ret")
+    df = with_rolling(filled.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1), "ret", window, "_l")
+    return df.withColumn("score", -F.col("_l_std") * F.sqrt(F.lit(252.0))).drop("_l_mean", "_l_std", "ret")
 
 
-def reversal_score(obs: DataFrame, lookback: int = 21) -> DataFrame:
+def reversal_score(filled: DataFrame, lookback: int = 21) -> DataFrame:
+    """Minus the trailing return between two rows that both carry a real price. Needs a panel without gaps."""
     w = asset_window("row_no")
-    span = F.col("row_no") - F.lag("row_no", lookback).over(w) == lookback
-    return obs.withColumn("score", F.when(span, -(F.col("close") / F.lag("close", lookback).over(w) - 1)))
+    real = ~F.col("is_filled") & ~F.lag("is_filled", lookback).over(w)
+    return filled.withColumn("score", F.when(real, -(F.col("close") / F.lag("close", lookback).over(w) - 1)))
 
 
 def momentum_score(obs: DataFrame, lookbacks: tuple[int, ...] = (21, 63, 126)) -> DataFrame:
