@@ -1 +1,182 @@
+"""Orders, ledgers and monitors over customers as accounts."""
+
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelfolio import testpanel as T
+from panelfolio.operators import tradeops as O
+from panelfolio.queries.common import query, rounded
+from panelfolio.session import shared_dir, stage
+from panelfolio.streaming import monitors as SM
+
+# Model weights every account follows; LARGE is left out and GHOST has no price.
+MODEL = [("ECONOMY", 0.30), ("MEDIUM", 0.25), ("PROMO", 0.10), ("SMALL", 0.15), ("STANDARD", 0.15), ("GHOST", 0.05)]
+FLAGS = [("PROMO", True, False), ("LARGE", False, True)]
+
+
+def fills(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as fills: returned lines sell, others buy; hundredths of the unit price."""
+    lines = T.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+    orders = T.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    parts = T.table(spark, sf, "part").select("p_partkey", "p_type")
+    return (lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(F.col("o_custkey").alias("acct"), F.col("p_type").alias("asset"), F.to_date("l_shipdate").alias("dt"),
+                    (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"), F.col("l_partkey").alias("part"),
+                    F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
+                    (F.col("l_quantity") * 100).cast("long").alias("shares"),
+                    (F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)) / 100).alias("price"), "l_quantity", "l_extendedprice"))
+
+
+def numbered_fills(spark: SparkSession, sf: str) -> DataFrame:
+    """Line numbers repeat within an order, so the value breaks ties in the fill order."""
+    f = fills(spark, sf)
+    return f.withColumn("fill_no", F.struct("line_no", "part", "shares", "price", "side"))
+
+
+def last_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Last smoothed close per asset, in hundredths."""
+    return T.test_prices(spark, sf).groupBy("asset").agg((F.max_by("close", "dt") / 100).alias("price"))
+
+
+def book(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(targets, positions, prices, accounts) staged: every account follows the model."""
+    net = F.sum(F.when(F.col("side") == "BUY", F.col("shares")).otherwise(-F.col("shares")))
+    positions = stage(fills(spark, sf).groupBy("acct", "asset").agg(net.alias("shares")).filter("shares > 0"), "positions")
+    prices = stage(last_prices(spark, sf), "prices")
+    customers = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("acct"), (F.col("c_acctbal") + 1000).alias("cash")).filter("cash > 0")
+    accounts = O.account_value(customers, positions, prices)
+    model = F.inline(F.array(*[F.struct(F.lit(a).alias("asset"), F.lit(w).alias("weight")) for a, w in MODEL]))
+    accounts = stage(accounts, "accounts")
+    positions = positions.join(accounts.select("acct"), "acct", "left_semi")
+    return accounts.select("acct", model), positions, prices, accounts
+
+
+def flags(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(FLAGS, "asset string, cant_buy boolean, cant_sell boolean"))
+
+
+@query
+def account_value(spark: SparkSession, sf: str) -> DataFrame:
+    """Value per account, capped."""
+    return rounded(O.equity_cap(book(spark, sf)[3], 2_000_000.0))
+
+
+@query
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    targets, positions, prices, accounts = book(spark, sf)
+    out = O.order_sequence(O.build_orders(targets, positions, prices, accounts, O.BAND, flags(spark)))
+    return rounded(out.select("acct", "asset", "side", "shares", "seq"))
+
+
+@query
+def orders_cash_cap(spark: SparkSession, sf: str) -> DataFrame:
+    targets, positions, prices, accounts = book(spark, sf)
+    drafted = stage(O.build_orders(targets, positions, prices, accounts, O.BAND, flags(spark)), "orders")
+    return O.cash_cap(drafted, positions, prices, accounts).select("acct", "asset", "side", "shares", "filled", "cut")
+
+
+@query
+def reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    out = O.reconcile(*book(spark, sf))
+    return rounded(out.select("acct", "asset", "target", "actual", "deviation", "flagged"))
+
+
+@query
+def month_done(spark: SparkSession, sf: str) -> DataFrame:
+    """Deviation summary per account and whether its month may close (wide threshold on this data)."""
+    r = O.reconcile(*book(spark, sf))
+    done = O.month_done(r, "2001-11", 0.45).withColumn("done", F.lit(True))
+    return rounded(O.max_deviation(r).drop("worst_asset").join(done, "acct", "left").na.fill(False, ["done"]).drop("month"))
+
+
+@query
+def price_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Retail price as the quote of each part against its last traded unit price."""
+    lines = T.table(spark, sf, "lineitem").filter("l_quantity > 0")
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    close = lines.groupBy(F.col("l_partkey").alias("asset")).agg(F.max_by(unit, F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")).alias("close"))
+    quotes = T.table(spark, sf, "part").filter("p_size > 5").select(F.col("p_partkey").alias("asset"), F.col("p_retailprice").alias("quote"))
+    return rounded(O.price_drift(quotes, close).drop("close"))
+
+
+@query
+def ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Position after every fill with sales clipped to the holding."""
+    out = O.ledger(numbered_fills(spark, sf))
+    return rounded(out.groupBy("acct", "asset").agg(
+        F.count(F.lit(1)).alias("n_fills"), F.max("after").alias("peak"), F.sum(F.abs(F.col("after") - F.col("before"))).alias("moved"),
+        F.sum("cash_flow").alias("cash_flow")), 3)
+
+
+@query
+def ledger_balances(spark: SparkSession, sf: str) -> DataFrame:
+    """Cash and number of open positions per account after all fills."""
+    booked = stage(O.ledger(numbered_fills(spark, sf)).select("acct", "asset", "dt", "fill_no", "after", "cash_flow"), "booked")
+    opening = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("acct"), F.lit(1e7).alias("cash"))
+    cash, held = O.balances(booked, opening)
+    n = held.groupBy("acct").agg(F.count(F.lit(1)).alias("n_positions"), F.sum("shares").alias("shares"))
+    return rounded(cash.join(n, "acct", "left").na.fill(0, ["n_positions", "shares"]), 2)
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "events")
+
+
+def order_rows(e: DataFrame) -> DataFrame:
+    return e.filter("event_type = 'purchase'").select(F.col("event_id").alias("order_id"), F.col("user_id").alias("acct"),
+                                                      F.col("ts").cast("timestamp").alias("ts"), F.ceil("value").cast("long").alias("shares"))
+
+
+def fill_rows(e: DataFrame) -> DataFrame:
+    return e.filter("event_type = 'click'").select(F.col("user_id").alias("acct"), F.col("ts").cast("timestamp").alias("ts"), F.ceil(F.col("value") * 2).cast("long").alias("shares"))
+
+
+@query
+def fill_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered against filled per user; clicks carry the strategy's tag, views another one."""
+    e = events(spark, sf)
+    tag = F.when(F.col("event_type") == "click", "rotation").otherwise("other")
+    asset = F.lit("EV").alias("asset")
+    fills_ = e.filter("event_type in ('click', 'view')").select(F.col("user_id").alias("acct"), asset, "ts", tag.alias("tag"), F.ceil(F.col("value") * 2).cast("long").alias("shares"))
+    return O.fill_completeness(order_rows(e).withColumn("asset", asset), fills_, "rotation", "2024-01-05 00:00:00")
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return (spark.readStream.schema(events(spark, sf).schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    root = shared_dir(spark)
+    if root is None:
+        raise ValueError("streaming state needs spark.checkpoint.dir")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@query
+def fill_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Stream of purchases joined to the clicks of the same user within two hours; the unmatched come out unfilled."""
+    at = scratch(spark, "fills")
+    e = event_stream(spark, sf)
+    matched = SM.unfilled_orders(order_rows(e), fill_rows(e), "2 hours")
+    SM.run_to_table(matched, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    schema = "order_id bigint, acct bigint, order_ts timestamp, ordered bigint, fill_ts timestamp, filled bigint"
+    out = SM.completeness(spark.read.schema(schema).parquet(f"{at}/out"))
+    # Orders of the last day may still wait for the watermark.
+    return out.filter("order_ts < timestamp'2024-01-29 00:00:00'").select("order_id", "acct", "ordered", "filled", "complete")
+
+
+@query
+def drift_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest streamed value per user against the user's mean value."""
+    at = scratch(spark, "drift")
+    quotes = event_stream(spark, sf).select(F.col("user_id").alias("asset"), F.col("value").alias("quote"), F.col("ts").cast("timestamp").alias("ts"))
+    run = SM.drift_monitor(quotes, f"{at}/state", f"{at}/checkpoint")
+    run.awaitTermination()
+    last = run.lastProgress["batchId"] if run.lastProgress else 0
+    latest = spark.read.schema("asset bigint, quote double, ts timestamp").parquet(f"{at}/state/v{last}")
+    closes = events(spark, sf).groupBy(F.col("user_id").alias("asset")).agg(F.avg("value").alias("close"))
+    return rounded(SM.drift_alerts(latest, closes).drop("ts"))
