@@ -52,7 +52,7 @@ def walk_forward_windows(calendar: DataFrame, start_row: int = 126, train_years:
                          F.add_months("t0", 12 * (train_years + test_years)).alias("test_end"))
     bounds = _rows_at(edges, calendar, ["before", "train_end", "test_start", "test_end"]).join(span.select("universe", "last_row"), "universe")
     bounds = bounds.filter("test_start < last_row")
-    return _parts(bounds, [("train", "before + 1", "train_end"), ("test", "test_start", "test_end")])
+    return _parts(bounds, [("train", "coalesce(before, -1) + 1", "train_end"), ("test", "test_start", "test_end")])
 
 
 def purged_folds(calendar: DataFrame, n_splits: int = 6, label_horizon: int = 21, embargo: int = 21, start_row: int = 126) -> DataFrame:
