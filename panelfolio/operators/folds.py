@@ -24,7 +24,7 @@ def _span(calendar: DataFrame, start_row: int) -> DataFrame:
 
 def _rows_at(edges: DataFrame, calendar: DataFrame, names: list[str]) -> DataFrame:
     """Calendar row at or before each named timestamp of a window, as columns."""
-    at = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("timestamp").alias("ts")) for n in names])).alias("e")
+    at = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("timestamp_ntz").alias("ts")) for n in names])).alias("e")
     points = edges.select(*WINDOW, at).select(
         "universe", F.concat_ws("|", F.col("window_id").cast("string"), "e.name").alias("target_id"), F.col("e.ts").alias("target_ts"))
     found = as_of_dates(points, calendar)
@@ -58,9 +58,10 @@ def walk_forward_windows(calendar: DataFrame, start_row: int = 126, train_years:
 def purged_folds(calendar: DataFrame, n_splits: int = 6, label_horizon: int = 21, embargo: int = 21, start_row: int = 126) -> DataFrame:
     """Equal time folds; training leaves out the fold, the purge before it and the embargo after it (calendar days)."""
     span = _span(calendar, start_row)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    seconds = (F.unix_date("end_dt") - F.unix_date("start_dt")) * 86400
     i = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("window_id")
-    edge = lambda n: F.timestamp_micros(micros("start_dt") + F.floor((F.col("window_id") + n) * (micros("end_dt") - micros("start_dt")) / n_splits))
+    after = lambda n: ((F.col("window_id") + n) * seconds / n_splits).cast("decimal(18,6)")
+    edge = lambda n: F.col("start_dt").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), after(n))
     edges = span.select("universe", "start_dt", "end_dt", i).withColumn("a", edge(0)).withColumn("b", edge(1))
     tick = F.expr("interval 1 microsecond")
     edges = edges.select(*WINDOW, (F.col("a") - tick).alias("before"), F.col("b").alias("fold_end"),

@@ -59,7 +59,7 @@ def _with_ordinals(dates: DataFrame, partition: str = "universe") -> DataFrame:
 def anchored_calendar(prices: DataFrame, anchors: list[str], limit: int | None) -> DataFrame:
     """`trading_calendar` from the first date on which every anchor has a price (own or filled).
 
-    Earlier dates stay with ``on`` = 0, because a fill may start on them; ``listed_row`` counts all dates. One
+    Earlier dates stay with ``started`` = 0, because a fill may start on them; ``listed_row`` counts all dates. One
     aggregate per date finds dates and anchor prices together.
     """
     has = [F.max((F.col("asset") == a).cast("int")).alias(f"_h{i}") for i, a in enumerate(anchors)]
@@ -70,8 +70,8 @@ def anchored_calendar(prices: DataFrame, anchors: list[str], limit: int | None)
     df = dates.select("universe", "dt", (F.row_number().over(w) - 1).alias("listed_row"), ready.alias("_ready"),
                       F.count(F.lit(1)).over(Window.partitionBy("universe")).cast("int").alias("listed_rows"))
     started = F.max("_ready").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("on", F.coalesce(started, F.lit(0))).drop("_ready")
-    return _with_ordinals(df, "universe, on")
+    df = df.withColumn("started", F.coalesce(started, F.lit(0))).drop("_ready")
+    return _with_ordinals(df, "universe, started")
 
 
 def rebalances(calendar: DataFrame) -> DataFrame:
@@ -120,13 +120,14 @@ def is_month_end_trading_day(days: DataFrame, calendar: DataFrame) -> DataFrame:
 def as_of_dates(targets: DataFrame, calendar: DataFrame) -> DataFrame:
     """Last trading date (and its row) at or before each ``target_ts``: keys (universe, target_id, target_ts).
 
-    Union of both time lines and a running last value: linear in the two inputs, no range join.
+    Union of both time lines and a running last value: linear in the two inputs, no range join. Times are wall-clock, so
+    the session time zone does not matter.
     """
-    line = targets.select("universe", "target_id", F.col("target_ts").cast("timestamp").alias("at"),
+    line = targets.select("universe", "target_id", F.col("target_ts").cast("timestamp_ntz").alias("at"),
                           F.lit(None).cast("date").alias("dt"), F.lit(None).cast("int").alias("row_no"),
                           F.lit(1).alias("kind")).unionByName(
         calendar.select("universe", F.lit(None).cast("string").alias("target_id"),
-                        F.col("dt").cast("timestamp").alias("at"), "dt", "row_no", F.lit(0).alias("kind")))
+                        F.col("dt").cast("timestamp_ntz").alias("at"), "dt", "row_no", F.lit(0).alias("kind")))
     w = Window.partitionBy("universe").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return (line.withColumn("as_of_dt", F.last("dt", ignorenulls=True).over(w))
             .withColumn("as_of_row", F.last("row_no", ignorenulls=True).over(w))
@@ -184,10 +185,10 @@ def prepare_panel(prices: DataFrame, limit: int | None = 3, anchors: list[str] |
         return index_panel(anchor_start(filled, anchors) if anchors else filled)
     known = prices.filter(S.clean_number(F.col("close")).isNotNull())
     dates = anchored_calendar(known, anchors, limit) if anchors else trading_calendar(known).selectExpr(
-        "*", "row_no as listed_row", "n_rows as listed_rows", "1 as on")
+        "*", "row_no as listed_row", "n_rows as listed_rows", "1 as started")
     if staged:
         dates = stage(dates, "calendar")
-    calendar = dates.filter("on = 1").drop("on")
+    calendar = dates.filter("started = 1").drop("started")
     listed = dates.selectExpr("universe", "dt", "listed_row as row_no", "listed_rows as n_rows")
     rows = _spread(known, listed, limit, carry)
     ordinals = calendar.select("universe", "listed_row", "dt", "row_no", *ORDINALS)
