@@ -240,3 +240,15 @@ S["candidate_report"] = Q.with_(Q.base() + Q.runs([FULL], U, name="base_r") + [T
  abs(corr) < 0.3 and own_sharpe > 0.5 and mix_sharpe > greatest(own_sharpe, base_sharpe) passed, bear_corr
  from pf join pm using (universe, run_id) join an using (universe, run_id) join bs using (universe, run_id) left join be using (universe, run_id))"""],
     Q.final("cx", UR + ["passed"], ["cagr", "sharpe", "mdd", "sortino", "mix_cagr", "mix_mdd", "corr", "own_sharpe", "mix_sharpe", "bear_corr"]))
+
+S["stripped_alpha"] = Q.with_(RUNS + CAPM + [FACTOR_CTE, """f3 as (select r.universe, r.run_id, r.net - avg(r.net) over g y, a.f_ret - avg(a.f_ret) over g x1, b.f_ret - avg(b.f_ret) over g x2, c.f_ret - avg(c.f_ret) over g x3,
+ avg(r.net) over g my, avg(a.f_ret) over g m1, avg(b.f_ret) over g m2, avg(c.f_ret) over g m3 from rets r join fs a on a.dt = r.dt and a.factor = 'MKT'
+ join fs b on b.dt = r.dt and b.factor = 'SIZE' join fs c on c.dt = r.dt and c.factor = 'BOND' window g as (partition by r.universe, r.run_id))""",
+    "o2 as (select *, x2 - x1 * sum(x1 * x2) over g / sum(x1 * x1) over g z2 from f3 window g as (partition by run_id))",
+    "o3 as (select *, x3 - x1 * sum(x1 * x3) over g / sum(x1 * x1) over g - z2 * sum(z2 * x3) over g / sum(z2 * z2) over g z3 from o2 window g as (partition by run_id))",
+    "k3 as (select *, sum(z3 * y) over g / sum(z3 * z3) over g b3 from o3 window g as (partition by run_id))",
+    "k2 as (select *, sum(z2 * (y - b3 * x3)) over g / sum(z2 * z2) over g b2 from k3 window g as (partition by run_id))",
+    "k1 as (select *, sum(x1 * (y - b3 * x3 - b2 * x2)) over g / sum(x1 * x1) over g b1 from k2 window g as (partition by run_id))",
+    "fa as (select universe, run_id, (max(my) - max(b1) * max(m1) - max(b2) * max(m2) - max(b3) * max(m3)) * 252 factor_alpha from k1 group by 1, 2)",
+    "sa as (select universe, run_id, alpha, factor_alpha, alpha - factor_alpha stripped from cq join fa using (universe, run_id))"],
+    Q.final("sa", UR, ["alpha", "factor_alpha", "stripped"]))
