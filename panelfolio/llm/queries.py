@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelfolio.llm import mixing, packing, topk
+from panelfolio.llm import mixing, packing, quality, secretscan, topk, toxicity
 from panelfolio.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,34 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
     return packing.pack_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, capacity=2048)
+
+
+def _crc(modulus: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+def _decided(scored: DataFrame, held: int, modulus: int) -> DataFrame:
+    return scored.select("doc_id", (_crc(modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), _crc(4) != 2)
+    return _decided(quality.score(docs, model), 2, 4)
+
+
+@query()
+def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), _crc(3) != 1)
+    return _decided(toxicity.score(docs, model), 1, 3)
+
+
+@query()
+def op7_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secretscan.scan(docs, secretscan.train(secretscan.samples(docs)))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == secretscan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secretscan.written(F.col("base_spans")), 256).alias("base_sha256"),
+                        secretscan.written(F.col("spans")).alias("spans"))
