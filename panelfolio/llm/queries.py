@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelfolio.llm import mixing, packing, quality, secretscan, topk, toxicity
+from panelfolio.llm import chattree, mixing, packing, quality, secretscan, topk, toxicity
 from panelfolio.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,12 @@ def op7_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == secretscan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secretscan.written(F.col("base_spans")), 256).alias("base_sha256"),
                         secretscan.written(F.col("spans")).alias("spans"))
+
+
+@query()
+def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chattree.read_back(chattree.build(turns, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
