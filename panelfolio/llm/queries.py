@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelfolio.llm import chattree, mixing, packing, quality, secretscan, topk, toxicity
-from panelfolio.llm.common import table
+from panelfolio.llm import chattree, mixing, packing, quality, secretscan, topk, toxicity, warc
+from panelfolio.llm.common import new_folder, stage, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -105,3 +105,25 @@ def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chattree.read_back(chattree.build(turns, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+
+
+_GROUPS = ", ".join(f"substr(h, {1 + 5 * i}, 5)" for i in range(8))
+
+
+@query(f"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+s as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, upper(sha1(html)) as h from p),
+g as (select *, [cast('0x' || x as bigint) for x in [{_GROUPS}]] as groups from s),
+d as (select page_id, payload_bytes, array_to_string(list_transform(groups, lambda v:
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> 15) & 31) + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> 10) & 31) + 1] ||
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> 5) & 31) + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v & 31) + 1]), '') as payload_digest from g),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to, true as verified from f
+""")
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives are written to the shared folder, read back once, and their revisits resolved."""
+    path = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    headers = stage(warc.read_headers(spark, path), "warc-headers")
+    return warc.resolve(headers).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
