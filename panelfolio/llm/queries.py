@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelfolio.llm import chattree, mixing, packing, quality, secretscan, topk, toxicity, warc
+from panelfolio.llm import chattree, jaccard, mixing, packing, quality, secretscan, topk, toxicity, warc
 from panelfolio.llm.common import new_folder, stage, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0)
     headers = stage(warc.read_headers(spark, path), "warc-headers")
     return warc.resolve(headers).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+@query()
+def op3_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select("doc_id", "class_id", "n_links", "copies", "partners")
