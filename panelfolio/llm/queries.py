@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelfolio.llm import chattree, jaccard, mixing, packing, quality, secretscan, topk, toxicity, warc
+from panelfolio.llm import chattree, jaccard, mixing, packing, phrases, quality, secretscan, topk, toxicity, warc
 from panelfolio.llm.common import new_folder, stage, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
     return found.select("doc_id", "class_id", "n_links", "copies", "partners")
+
+
+@query()
+def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
