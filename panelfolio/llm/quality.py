@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
             yield pd.DataFrame({"kind": batch["kind"].to_numpy("int32"), "bin": np.clip(np.round(x / STEP), -EDGE, EDGE).astype("int32")})
 
     rest = marks.select("doc_id", "kind").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti")
-    points = mine.join(rest, "doc_id").select("kind", "text").mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas()
+    # labels grow with the documents, so this is a shuffled join whatever their size
+    points = mine.join(rest.hint("merge"), "doc_id").select("kind", "text").mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas()
     model.slope, model.offset = fit_logistic(points["bin"].to_numpy(float) * STEP, points["kind"].to_numpy(float), points["count"].to_numpy(float))
     return model
 
