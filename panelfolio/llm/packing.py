@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from panelfolio.llm.common import parts, stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NUMBERED = PIECES + ", row long"  # row: unique; it deals the copies of a repeated document apart
 PACKED = PIECES + ", sequence_id long, offset long"
 END_OF_TEXT = "<|endoftext|>"
 _ENCODERS: dict[int, object] = {}
@@ -56,17 +57,17 @@ def tokenised_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: i
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = encoder(ranks.value, pattern)
+        bpe, row = encoder(ranks.value, pattern), TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for row, (doc_id, text) in enumerate(zip(batch["doc_id"], batch["text"]), row + 1):
                 ids = np.array(token_ids(bpe, text or "") + [end_id], "<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
-                    out.append((doc_id, piece, start, length, zlib.crc32(ids[start : start + length])))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc_id, piece, start, length, zlib.crc32(ids[start : start + length]), row))
+            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, NUMBERED)
 
 
 class OpenBins:
@@ -108,16 +109,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 8192, pieces_
     """Give every piece a sequence and its gapless offset there. Sequence ids are unique over tasks, in no order."""
     staged = stage(pieces, "pieces")
     tasks = parts(staged.count(), pieces_per_task)
-    order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
+    order = F.xxhash64("doc_id", "piece", "row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
             placed = [bins.place(n) for n in batch["length"].tolist()]
             numbers, offsets = zip(*placed) if placed else ((), ())
-            yield batch.drop(columns="order").assign(doc_id=batch["doc_id"].astype("Int64"), sequence_id=np.array(numbers, "int64") + base, offset=np.array(offsets, "int64"))
+            yield batch.drop(columns=["order", "row"]).assign(doc_id=batch["doc_id"].astype("Int64"), sequence_id=np.array(numbers, "int64") + base, offset=np.array(offsets, "int64"))
 
-    dealt = staged.withColumn("order", order).repartition(tasks, "order").sortWithinPartitions("order", "doc_id", "piece", "ids_crc32")
+    dealt = staged.withColumn("order", order).repartition(tasks, "order").sortWithinPartitions("order", "row", "piece")
     return dealt.mapInPandas(run, PACKED)
 
 
