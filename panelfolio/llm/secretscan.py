@@ -75,7 +75,7 @@ def samples(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     numbers = spark.range(RANDOM_SAMPLE).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
-    drawn = numbers.select(F.explode(F.array("h", F.regexp_replace(F.base64(F.unhex("h")), "=", ""), F.upper(F.substring("h", 1, 20)),
+    drawn = numbers.select(F.explode(F.array(F.substring("h", 1, 32), F.regexp_replace(F.base64(F.unhex("h")), "=", ""), F.upper(F.substring("h", 1, 20)),
                                              F.substring(F.upper(F.regexp_replace(F.base64(F.unhex("h")), "[+/=]", "")), 1, 20))).alias("token"))
     found = docs.select(text.alias("text")).where(F.col("text").rlike(f"{WORDS}|AKIA|[0-9a-f]{{24}}")).select(F.explode(F.transform(base_spans(F.col("text")), lambda s: s["value"])).alias("token"))
     chosen = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
@@ -104,7 +104,7 @@ def markov_spans(text: Column, ratios: list[int], threshold: int = THRESHOLD) ->
         codes = F.transform(F.split(span["value"], ""), lambda c: F.instr(F.lit(ALPHABET), c))
         sums = F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("sum")), lambda a, c: F.struct(
             c.alias("last"), (a["sum"] + F.when(a["last"] < 0, 0).otherwise(F.get(table, a["last"] * SIZE + c))).alias("sum")))
-        return sums["sum"] >= threshold * (span["end"] - span["start"] - 1)
+        return sums["sum"] >= F.lit(threshold).cast("long") * (span["end"] - span["start"] - 1)
 
     runs = find(text, f"{RUN}{{{LEAST},}}", "markov")
     return F.when(text.rlike(f"{RUN}{{{LEAST}}}"), F.filter(runs, likely)).otherwise(F.array().cast(f"array<{SPAN}>"))
@@ -120,7 +120,8 @@ def scan(docs: DataFrame, ratios: list[int], threshold: int = THRESHOLD) -> Data
     row = row.withColumn("scanned", F.coalesce(F.col("row.text").cast("string"), F.lit("")))
     both = row.select("row", base_spans(F.col("scanned")).alias("base"), markov_spans(F.col("scanned"), ratios, threshold).alias("model"))
     apart = F.filter("model", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return both.select(*others(docs, "row", ["base_spans", "spans"]), F.col("base").alias("base_spans"), F.array_sort(F.concat("base", apart)).alias("spans"))
+    both = both.select("row", F.col("base").alias("base_spans"), F.array_sort(F.concat("base", apart)).alias("spans"))
+    return both.select(*others(docs, "row", ["base_spans", "spans"]), "base_spans", "spans")
 
 
 def written(spans: Column) -> Column:
