@@ -177,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, calibrate_one_in: i
     spark = docs.sparkSession
     marks = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("kind"))
     mine = docs.select("doc_id", "text").where(learn & F.col("doc_id").isNotNull())
-    labelled = mine.join(marks, "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(calibrate_one_in)) == 0)
+    # labels grow with the documents, so this is a shuffled join whatever their size
+    labelled = mine.join(marks.hint("merge"), "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(calibrate_one_in)) == 0)
     shared_rows = _counted(docs.select(F.lit(ALL).alias("kind"), "text"), 3).select("gram").toPandas()["gram"].to_numpy(np.int64)  # at most 32^3
     rows = _counted(labelled.where("not held").select("kind", "text"), ORDER).toPandas()  # at most 2 * 32^5, in practice the n-grams of the languages
     counts = {k: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for k, g in rows.groupby("kind")}
