@@ -103,7 +103,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     """
     html = F.octet_length(F.col("html")) if isinstance(pages.schema["html"].dataType, BinaryType) else F.octet_length(F.col("html").cast("string"))
     total = pages.agg(F.sum(F.coalesce(html.cast("long"), F.lit(0)) + 700)).first()[0] or 0
-    done = resolved(records(pages), least_bytes, parts(total, bytes_per_file))
+    # below the session's shuffle partitions Spark would deal the payloads a second time for the join
+    files = max(parts(total, bytes_per_file), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    done = resolved(records(pages), least_bytes, files)
     done.select(record_text(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
