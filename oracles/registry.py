@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracles import market, portfolios, sectors, signals, trading, validation
+from oracles import landed, market, portfolios, sectors, signals, trading, validation
 
 STATEMENTS: dict[str, str] = {}
-for module in (market, signals, portfolios, validation, sectors, trading):
+for module in (landed, market, signals, portfolios, validation, sectors, trading):
     STATEMENTS.update(module.S)

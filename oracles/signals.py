@@ -141,3 +141,24 @@ S["rolling_min_variance"] = Q.with_(Q.base() + TWO + ["""xy as (select universe,
     """ww as (select i, greatest(d * mu + (1 - d) * syy - (1 - d) * sxy, 0) a, greatest(d * mu + (1 - d) * sxx - (1 - d) * sxy, 0) b from dl)""",
     "ou as (select universe, dt, coalesce(lag(a / (a + b)) over (order by xy.i), 0.5) w_x from xy left join ww on xy.i = ww.i)"],
     Q.final("ou", ["universe", "dt"], ["w_x"]))
+
+# Six assets: shrunk covariance from centred products, then Gauss-Jordan elimination on the rows (i, j), j = 7 the right side.
+_YEARS = Q.base() + ["dr as (select universe, year(dt) y, row_no k, asset, coalesce(ret, 0) x from obs)",
+    "ce as (select universe, y, k, asset, x - avg(x) over (partition by universe, y, asset) x from dr)",
+    "nm as (select universe, y, asset, row_number() over (partition by universe, y order by asset) i from (select distinct universe, y, asset from dr))",
+    "cn as (select c.universe, c.y, c.k, n.i, c.x from ce c join nm n using (universe, y, asset))",
+    """cv as (select a.universe, a.y, a.i, b.i j, avg(a.x * b.x) s, avg(a.x * b.x * a.x * b.x) q, count(*) t from cn a join cn b on a.universe = b.universe and a.y = b.y and a.k = b.k
+ group by 1, 2, 3, 4)""",
+    "mu as (select universe, y, avg(s) m from cv where i = j group by 1, 2)",
+    """sh as (select universe, y, i, j, s, case when i = j then m else 0 end f, t, sum(q - s * s) over g p, sum((case when i = j then m else 0 end - s) * (case when i = j then m else 0 end - s)) over g c
+ from cv join mu using (universe, y) window g as (partition by universe, y))""",
+    "de as (select *, greatest(0.0, least(1.0, case when c > 1e-12 then p / c else 0 end / t)) delta from sh)",
+    "sg as (select universe, y, i, j, delta * f + (1 - delta) * s v, delta from de)",
+    "e0 as (select universe, y, i, j, v from sg union all select universe, y, i, 7, 1.0 from nm)"]
+_YEARS += [f"""e{k} as (select a.universe, a.y, a.i, a.j, case when a.i = {k} then a.v / d.v else a.v - c.v * p.v / d.v end v from e{k - 1} a
+ join e{k - 1} p on p.universe = a.universe and p.y = a.y and p.i = {k} and p.j = a.j join e{k - 1} c on c.universe = a.universe and c.y = a.y and c.i = a.i and c.j = {k}
+ join e{k - 1} d on d.universe = a.universe and d.y = a.y and d.i = {k} and d.j = {k})""" for k in range(1, 7)]
+_YEARS += ["sw as (select universe, y, i, greatest(v, 0) w, sum(greatest(v, 0)) over (partition by universe, y) t, count(*) over (partition by universe, y) n from e6 where j = 7)",
+    "pr as (select universe, y, max(delta) delta, avg(v) filter (i < j) mean_cov from sg group by 1, 2)",
+    "mv as (select n.universe, n.y as year, n.asset as name, case when t > 0 then w / t else 1.0 / sw.n end weight, delta, mean_cov from sw join nm n on n.universe = sw.universe and n.y = sw.y and n.i = sw.i join pr on pr.universe = n.universe and pr.y = n.y)"]
+S["min_variance_yearly"] = Q.with_(_YEARS, Q.final("mv", ["universe", "year", "name"], ["weight", "delta", "mean_cov"]))

@@ -16,15 +16,22 @@ from panelfolio.params import COST_RATE
 RUN = ("universe", "run_id")
 
 
+def decisions_of(rows: DataFrame) -> DataFrame:
+    """(run, reb_no, dec_no, next_reb, n_dec): the distinct decisions of each run, at most one per rebalance of the calendar."""
+    run = Window.partitionBy(*RUN)
+    return rows.select(*RUN, "reb_no").distinct().select(
+        *RUN, "reb_no", F.row_number().over(run.orderBy("reb_no")).alias("dec_no"),
+        F.lead("reb_no").over(run.orderBy("reb_no")).alias("next_reb"), F.count(F.lit(1)).over(run).alias("n_dec"))
+
+
 def decision_grid(targets: DataFrame) -> DataFrame:
     """Targets with an explicit null target for every decision that leaves a once-targeted asset out.
 
     A blocked sale is asked for again at each later decision, so the nulls run until the asset returns.
     """
-    run = Window.partitionBy(*RUN)
-    numbered = (targets.withColumn("dec_no", F.dense_rank().over(run.orderBy("reb_no")))
-                .withColumn("n_dec", F.max("dec_no").over(run)))
-    decisions = numbered.select(*RUN, "dec_no", "reb_no").distinct()
+    decisions = decisions_of(targets)
+    numbered = targets.join(decisions, [*RUN, "reb_no"])
+    decisions = decisions.select(*RUN, "dec_no", "reb_no")
     back = Window.partitionBy(*RUN, "asset").orderBy("dec_no")
     gap = F.coalesce(F.lead("dec_no").over(back), F.col("n_dec") + 1) - F.col("dec_no") - 1
     spread = (numbered.withColumn("_reach", gap)
@@ -38,12 +45,12 @@ def execute_all(targets: DataFrame, calendar: DataFrame) -> DataFrame:
     """Every trade fills: holdings(run, asset, weight, reb_no, until, reb_row, trade) without path dependence.
 
     ``until`` is the last rebalance ordinal a row serves. An asset that a decision leaves out gets one zero row there.
-    Every window is over the run or the asset of a run, so the targets move once.
+    What comes next is looked up among the distinct decisions; every window over targets is per asset of a run.
     """
-    run, path = "over (partition by universe, run_id order by reb_no", "over (partition by universe, run_id, asset order by reb_no)"
-    df = targets.selectExpr("*", f"dense_rank() {run}) as _dec",
-                            f"min(reb_no) {run} range between 1 following and unbounded following) as _next")
-    df = df.selectExpr("*", f"lag(weight) {path} as _w", f"lag(_dec) {path} as _d", f"lead(_dec) {path} as _e")
+    path = "over (partition by universe, run_id, asset order by reb_no)"
+    steps = decisions_of(targets).select(*RUN, "reb_no", F.col("dec_no").alias("_dec"), F.col("next_reb").alias("_next"))
+    df = targets.join(steps, [*RUN, "reb_no"]).selectExpr(
+        "*", f"lag(weight) {path} as _w", f"lag(_dec) {path} as _d", f"lead(_dec) {path} as _e")
     kept = "case when _dec - _d = 1 then _w else 0D end"
     rows = f"""inline(filter(array(
         struct(weight as weight, reb_no as reb_no, _next - 1 as until, abs(weight - coalesce({kept}, 0D)) as trade, true as used),
@@ -87,10 +94,9 @@ def execute_with_limits(grid: DataFrame, flags: DataFrame, calendar: DataFrame)
 def with_periods(holdings: DataFrame, calendar: DataFrame) -> DataFrame:
     """Holdings after blocked trades in the form of `execute_all`: adds until, reb_row and trade."""
     path = Window.partitionBy(*RUN, "asset").orderBy("dec_no")
-    run = Window.partitionBy(*RUN).orderBy("reb_no")
-    following = F.min("reb_no").over(run.rangeBetween(1, Window.unboundedFollowing))
+    steps = decisions_of(holdings).select(*RUN, "reb_no", (F.col("next_reb") - 1).alias("until"))
     df = (holdings.withColumn("trade", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(path), F.lit(0.0))))
-          .withColumn("until", following - 1))
+          .join(steps, [*RUN, "reb_no"]))
     return df.join(rebalances(calendar).select("universe", "reb_no", "reb_row", "n_reb"), ["universe", "reb_no"]).withColumn(
         "until", F.coalesce("until", "n_reb")).select(*RUN, "asset", "weight", "reb_no", "until", "trade", "reb_row")
 
@@ -208,8 +214,7 @@ def turnover_attribution(rows: DataFrame) -> DataFrame:
         leg(F.col("asset"), w0, vol, trend), leg(F.col("bond_asset"), F.lit(0.0), -vol, -trend))).alias("leg"))
         .groupBy(*RUN, "reb_no", "signal_dt", F.col("leg.asset").alias("asset"))
         .agg(F.sum("leg.cand").alias("cand"), F.sum("leg.vol").alias("vol"), F.sum("leg.trend").alias("trend")))
-    run = Window.partitionBy(*RUN)
-    legs = legs.withColumn("dec_no", F.dense_rank().over(run.orderBy("reb_no")))
+    legs = legs.join(decisions_of(legs).select(*RUN, "reb_no", "dec_no"), [*RUN, "reb_no"])
     path = Window.partitionBy(*RUN, "asset").orderBy("dec_no")
     # A pool only grows as histories fill, so an asset's previous row is the previous decision or it is new (zero).
     change = lambda c: F.abs(F.col(c) - F.coalesce(F.lag(c).over(path), F.lit(0.0)))

@@ -110,7 +110,7 @@ def stitched_returns(returns: DataFrame, scores: DataFrame, windows: DataFrame)
     """Test returns of each window's winner one after the other; a shared edge day stays twice (``seq`` orders them)."""
     chosen = window_rows(windows.filter("part = 'test'")).join(best_in_train(scores).select(*WINDOW, "run_id"), list(WINDOW))
     return returns.select(*RUN, "dt", "row_no", "net").join(chosen, ["universe", "run_id", "row_no"]).withColumn(
-        "seq", F.col("window_id").cast("long") * 1000000 + F.col("row_no"))
+        "seq", F.struct("window_id", "row_no"))
 
 
 def rank_of_best(scores: DataFrame) -> DataFrame:

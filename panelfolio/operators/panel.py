@@ -222,7 +222,9 @@ def adjust_prices(prices: DataFrame) -> DataFrame:
     """Backward adjustment: close times the product of later pre_close / previous close factors."""
     w = asset_window()
     factor = F.coalesce(S.ratio(F.col("pre_close"), F.lag("close").over(w)), F.lit(1.0))
-    later = F.coalesce(F.product("factor").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(1.0))
+    # read from the last row back, the later factors are an expanding product: linear in the rows
+    back = Window.partitionBy(*ASSET).orderBy(F.desc("dt")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.coalesce(F.product("factor").over(back), F.lit(1.0))
     return prices.withColumn("factor", factor).withColumn("adj_close", F.col("close") * later)
 
 

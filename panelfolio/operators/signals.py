@@ -1,8 +1,4 @@
-"""Window signals over the price rows of one asset.
-
-Short frames use Spark's sliding frames. Frames of LONG_FRAME rows or more use differences of running sums instead, so
-their cost per row does not grow with the frame.
-"""
+"""Window signals over the price rows of one asset."""
 
 from __future__ import annotations
 
@@ -12,8 +8,6 @@ from pyspark.sql import functions as F
 from panelfolio.functions import scalars as S
 from panelfolio.operators.panel import ASSET, Panel, asset_window
 
-LONG_FRAME = 100
-
 
 def frame(rows: int, order: str = "row_no", keys: tuple[str, ...] = ASSET):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(-(rows - 1), 0)
@@ -27,29 +21,30 @@ def with_rolling(df: DataFrame, value: str, rows: int, prefix: str, std: bool =
                  keys: tuple[str, ...] = ASSET) -> DataFrame:
     """Add ``<prefix>_mean`` (and ``<prefix>_std``, sample) over the last ``rows`` rows; null until all are present.
 
-    Nulls in ``value`` leave the frame incomplete, hence null.
+    Nulls and NaNs in ``value`` leave the frame incomplete, hence null. One algorithm serves all lengths: the partition
+    is cut into blocks of ``rows`` rows, so a frame is the end of one block and the start of the next. Both are expanding
+    aggregates, linear in the rows, and their moments combine; a frame of equal values has deviation exactly 0.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    x = F.col(value)
-    if rows < LONG_FRAME:
-        near = w.rowsBetween(-(rows - 1), 0)
-        full = F.count(x).over(near) == rows
-        out = df.withColumn(f"{prefix}_mean", F.when(full, F.avg(x).over(near)))
-        return out.withColumn(f"{prefix}_std", F.when(full, F.stddev_samp(x).over(near))) if std else out
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_base", F.first(x, ignorenulls=True).over(upto))
-    centred = x - F.col("_base").cast("double")
-    # The base is the first value of the partition, constant once present, so sums stay near zero-centred.
-    out = (out.withColumn("_n", F.count(x).over(upto)).withColumn("_s", F.sum(centred).over(upto))
-           .withColumn("_q", F.sum(centred * centred).over(upto)))
-    part = lambda c: F.col(c) - F.coalesce(F.lag(c, rows).over(w), F.lit(0))
-    out = out.withColumn("_dn", part("_n")).withColumn("_ds", part("_s")).withColumn("_dq", part("_q"))
-    full = F.col("_dn") == rows
-    out = out.withColumn(f"{prefix}_mean", F.when(full, F.col("_base") + F.col("_ds") / rows))
+    out = (df.withColumn("_x", F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double")))
+           .withColumn("_p", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_p") / rows)))
+    head = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tail = Window.partitionBy(*keys, "_b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    moments = lambda over: F.struct(F.count("_x").over(over).alias("n"), F.avg("_x").over(over).alias("m"), F.var_pop("_x").over(over).alias("v"),
+                                    F.min("_x").over(over).alias("lo"), F.max("_x").over(over).alias("hi"))
+    out = out.withColumn("_e", moments(tail)).withColumn("_h", moments(head))
+    out = out.withColumn("_e", F.when(F.col("_p") % rows != rows - 1, F.lag("_e", rows - 1).over(w)) if rows > 1 else F.lit(None).cast(out.schema["_e"].dataType))
+    n1, n2 = F.coalesce(F.col("_e.n"), F.lit(0)), F.col("_h.n")
+    m1, m2 = F.coalesce(F.col("_e.m"), F.lit(0.0)), F.coalesce(F.col("_h.m"), F.lit(0.0))
+    full = n1 + n2 == rows
+    flat = F.least("_e.lo", "_h.lo") == F.greatest("_e.hi", "_h.hi")
+    out = out.withColumn(f"{prefix}_mean", F.when(full, F.when(flat, F.col("_h.lo")).otherwise((n1 * m1 + n2 * m2) / rows)))
     if std:
-        variance = (F.col("_dq") - F.col("_ds") * F.col("_ds") / rows) / (rows - 1)
-        out = out.withColumn(f"{prefix}_std", F.when(full, F.sqrt(F.greatest(variance, F.lit(0.0)))))
-    return out.drop("_base", "_n", "_s", "_q", "_dn", "_ds", "_dq")
+        gap = m1 - m2
+        square = n1 * F.coalesce(F.col("_e.v"), F.lit(0.0)) + n2 * F.col("_h.v") + gap * gap * n1 * n2 / rows
+        deviation = F.sqrt(square / (rows - 1)) if rows > 1 else F.lit(None).cast("double")
+        out = out.withColumn(f"{prefix}_std", F.when(full, F.when(flat, F.lit(0.0)).otherwise(deviation)))
+    return out.drop("_x", "_p", "_b", "_e", "_h")
 
 
 def with_observations(obs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelfolio.operators import accounting as B
@@ -71,8 +71,10 @@ def cost_sensitivity(panel: Panel, dim: DataFrame, params: ParamSet, rates: list
 
 
 def largest_turnover(panel: Panel, dim: DataFrame, params: ParamSet, k: int = 10) -> DataFrame:
-    """The k months with the largest turnover (a report, hence the limit)."""
-    return B.turnover_attribution(A.decision_rows(panel, dim, [params])).orderBy(F.desc("turnover"), "signal_dt").limit(k)
+    """The k months with the largest turnover of every universe and run (a report, hence the limit)."""
+    rank = Window.partitionBy("universe", "run_id").orderBy(F.desc("turnover"), "signal_dt")
+    rows = B.turnover_attribution(A.decision_rows(panel, dim, [params]))
+    return rows.withColumn("_k", F.row_number().over(rank)).filter(F.col("_k") <= k).drop("_k")
 
 
 def candidate_report(candidates: DataFrame, base: DataFrame, regimes: DataFrame) -> DataFrame:

@@ -58,26 +58,29 @@ class AssetMomentum:
 class PythonStrategy:
     """Escape hatch: any per-decision Python on the recent closes of the listed assets.
 
-    ``decide(closes)`` gets a frame (asset, k, close), newest k = 0, at most ``history`` rows per asset, and returns
-    (asset, weight) rows.
+    ``decide(closes)`` gets a frame (asset, k, close), newest k = 0, the whole past of each asset or its last
+    ``history`` rows, and returns (asset, weight) rows. Each decision is a task's group, as large as the past it asks for.
     """
 
     decide: Callable[[pd.DataFrame], pd.DataFrame]
     assets: tuple[str, ...]
-    history: int = 252
+    history: int | None = None
     name: str = "python"
 
     def targets(self, panel: Panel, dim: DataFrame) -> DataFrame:
-        obs = panel.obs.filter(F.col("asset").isin(*self.assets))
-        window = Window.partitionBy(*ASSET).orderBy("row_no").rowsBetween(-(self.history - 1), 0)
-        at = A.in_force_at_rebalances(obs.withColumn("closes", F.collect_list("close").over(window)))
-        at = at.join(rebalances(panel.calendar).filter(F.col("reb_row") >= FIRST_ROW), ["universe", "reb_no"])
-        rows = at.select("universe", "reb_no", "asset", F.posexplode(F.reverse("closes")).alias("k", "close"))
+        obs = panel.obs.filter(F.col("asset").isin(*self.assets)).select(*ASSET, "row_no", "close")
+        rebs = rebalances(panel.calendar).filter(F.col("reb_row") >= FIRST_ROW).select("universe", "reb_no", "reb_row")
+        newest = Window.partitionBy(*ASSET, "reb_no").orderBy(F.desc("row_no"))
+        rows = rebs.join(obs, "universe").filter("row_no <= reb_row").withColumn("k", F.row_number().over(newest) - 1)
+        if self.history is not None:
+            rows = rows.filter(F.col("k") < self.history)
+        rows = rows.select("universe", "reb_no", "asset", "k", "close")
         decide, name = self.decide, self.name
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             out = decide(pdf[["asset", "k", "close"]])
-            return out.assign(universe=pdf["universe"].iloc[0], run_id=name, reb_no=pdf["reb_no"].iloc[0])[list(TARGETS)]
+            head = {"universe": pdf["universe"].iloc[0], "run_id": name, "reb_no": pdf["reb_no"].iloc[0]}
+            return pd.DataFrame([{**head, "asset": a, "weight": float(w)} for a, w in zip(out["asset"], out["weight"])], columns=list(TARGETS))
 
         return rows.groupBy("universe", "reb_no").applyInPandas(
             run, "universe string, run_id string, reb_no int, asset string, weight double")

@@ -80,7 +80,7 @@ def zscore_reversion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rolling_ols(spark: SparkSession, sf: str) -> DataFrame:
-    fits = G.rolling_ols(prices(spark, sf), 18)
+    fits = G.rolling_ols(T.test_prices(spark, sf), 18)
     return rounded(fits.filter("slope is not null").select("universe", "asset", "dt", "slope", "r2"))
 
 
@@ -136,7 +136,7 @@ def term_curve(spark: SparkSession, sf: str) -> DataFrame:
 def curve_forward_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Does the curve of a product say anything about its next 21 rows?"""
     curve = G.term_structure(settles(spark, sf)).select(F.col("product").alias("asset"), "dt", "curve")
-    fwd = prices(spark, sf).join(curve, ["asset", "dt"]).withColumn("fwd", G.forward_return(21))
+    fwd = T.test_prices(spark, sf).join(curve, ["asset", "dt"]).withColumn("fwd", G.forward_return(21))
     return rounded(M.conditional_forward_mean(fwd, "curve", "fwd", ("universe", "asset")))
 
 

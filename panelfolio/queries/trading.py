@@ -150,10 +150,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    root = shared_dir(spark)
-    if root is None:
-        raise ValueError("streaming state needs spark.checkpoint.dir")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 @query
@@ -164,9 +161,8 @@ def fill_stream(spark: SparkSession, sf: str) -> DataFrame:
     matched = SM.unfilled_orders(order_rows(e), fill_rows(e), "2 hours")
     SM.run_to_table(matched, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     schema = "order_id bigint, acct bigint, order_ts timestamp, ordered bigint, fill_ts timestamp, filled bigint"
-    out = SM.completeness(spark.read.schema(schema).parquet(f"{at}/out"))
-    # Orders of the last day may still wait for the watermark.
-    return out.filter("order_ts < timestamp'2024-01-29 00:00:00'").select("order_id", "acct", "ordered", "filled", "complete")
+    sink = spark.read.schema(schema).parquet(f"{at}/out")
+    return SM.completeness(SM.with_waiting(sink, order_rows(events(spark, sf)))).select("order_id", "acct", "ordered", "filled", "complete")
 
 
 @query
@@ -176,7 +172,6 @@ def drift_stream(spark: SparkSession, sf: str) -> DataFrame:
     quotes = event_stream(spark, sf).select(F.col("user_id").alias("asset"), F.col("value").alias("quote"), F.col("ts").cast("timestamp").alias("ts"))
     run = SM.drift_monitor(quotes, f"{at}/state", f"{at}/checkpoint")
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    latest = spark.read.schema("asset bigint, quote double, ts timestamp").parquet(f"{at}/state/v{last}")
+    latest = SM.latest_quotes(spark, f"{at}/state")
     closes = events(spark, sf).groupBy(F.col("user_id").alias("asset")).agg(F.avg("value").alias("close"))
     return rounded(SM.drift_alerts(latest, closes).drop("ts"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,20 +28,22 @@ def build_session(app: str = "panelfolio", cores: int | str = "*", shuffle_parti
     )
 
 
-_local_dirs: dict[str, str] = {}
+_own_dirs: dict[str, str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only on a local master."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset a local master gets its own
+    folder, removed at exit; a cluster gets an error, since no folder of one machine would do."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _local_dirs:
-            _local_dirs[app] = tempfile.mkdtemp(prefix="panelfolio-")
-        return _local_dirs[app]
-    return None
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="panelfolio-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+    return _own_dirs[app]
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -50,9 +54,6 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     instead of recomputing the chain. Without a shared folder the plan is returned uncut, which is right but re-runs.
     """
     spark = df.sparkSession
-    root = shared_dir(spark)
-    if root is None:
-        return df
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,15 +10,23 @@ CLOSE_NAMES = ("close", "adj close", "adjusted")
 BAR_HEADERS = {"日期": "dt", "开盘": "open", "收盘": "close", "最高": "high", "最低": "low", "成交量": "volume"}
 
 
-def read_price_csv(spark: SparkSession, folder: str, universe: str, max_columns: int = 16) -> DataFrame:
+# A file <symbol>.csv, a folder of that name that Spark wrote, or a partition folder of it.
+SYMBOL = r"(?:=|/)([^/=]+)\.csv(?:/[^/]*)?$"
+
+
+def symbol_of_path():
+    return F.regexp_extract("_metadata.file_path", SYMBOL, 1)
+
+
+def read_price_csv(spark: SparkSession, folder: str, universe: str) -> DataFrame:
     """All ``<symbol>.csv`` files of a folder in one scan; header names match case-insensitively, per file.
 
-    Files may order their columns differently, so headers are data here: one small row per file, joined back on it.
+    Files may order their columns differently and have any number of them, so headers are data here: lines are split into
+    cells (a quoted cell may hold commas), and one small row per file is joined back on it.
     """
-    columns = [f"c{i}" for i in range(max_columns)]
-    raw = (spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(folder, header=False)
-           .select(F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1).alias("asset"),
-                   F.array(*columns).alias("cells")))
+    line = F.regexp_replace("value", "[\\r\ufeff]", "")
+    cells = F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"'))
+    raw = spark.read.text(folder).select(symbol_of_path().alias("asset"), cells.alias("cells")).filter("asset <> ''")
     names = F.transform("cells", lambda c: F.lower(F.trim(c)))
     is_header = F.array_contains(names, "date")
     close_at = F.array_position(F.transform(names, lambda c: F.coalesce(c.isin(*CLOSE_NAMES), F.lit(False))), F.lit(True))
@@ -26,7 +34,7 @@ def read_price_csv(spark: SparkSession, folder: str, universe: str, max_columns:
         F.max(F.array_position(names, F.lit("date"))).alias("date_at"), F.max(close_at).alias("close_at"))
     rows = raw.filter(~F.coalesce(is_header, F.lit(False))).join(headers.filter("close_at > 0"), "asset")
     cell = lambda at: F.get("cells", F.col(at).cast("int") - 1)
-    return rows.select(F.lit(universe).alias("universe"), "asset", F.to_date(cell("date_at")).alias("dt"),
+    return rows.select(F.lit(universe).alias("universe"), "asset", cell("date_at").try_cast("date").alias("dt"),
                        cell("close_at").try_cast("double").alias("close")).filter("dt is not null")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelfolio.sources.files import symbol_of_path
+
 
 def futures_contracts(products: DataFrame, first_year: int, last_year: int) -> DataFrame:
     """Contract codes of every product (prefix, exchange) and month: prefix + yyMM + '.' + exchange."""
@@ -24,8 +26,7 @@ def delivery_month(contract: Column) -> Column:
 def read_settles(spark: SparkSession, folder: str) -> DataFrame:
     """settles(contract, product, ym, dt, settle): one CSV per contract (trade_date, settle) in one scan."""
     raw = spark.read.schema("trade_date string, settle string").csv(folder, header=True)
-    contract = F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1)
-    return (raw.select(contract.alias("contract"), F.to_date("trade_date", "yyyyMMdd").alias("dt"),
+    return (raw.select(symbol_of_path().alias("contract"), F.to_date("trade_date", "yyyyMMdd").alias("dt"),
                        F.col("settle").try_cast("double").alias("settle"))
             .filter("settle is not null")
             .select("contract", F.regexp_extract("contract", r"^([A-Za-z]+)", 1).alias("product"),

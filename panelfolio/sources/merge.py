@@ -39,9 +39,9 @@ def missing_symbols(df: DataFrame, required: list[str]) -> DataFrame:
 
 def require_symbols(df: DataFrame, required: list[str]) -> DataFrame:
     """Raise when a required symbol is absent, else hand the rows on."""
-    gone = [f"{r.universe}/{r.asset}" for r in missing_symbols(df, required).limit(20).collect()]
+    gone = [f"{r.universe}/{r.asset}" for r in missing_symbols(df, required).collect()]  # at most the required ones of each universe
     if gone:
-        raise ValueError(f"missing required symbols: {gone}")
+        raise ValueError(f"{len(gone)} missing required symbols: {gone}")
     return df
 
 

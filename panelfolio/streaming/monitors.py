@@ -22,6 +22,14 @@ def unfilled_orders(orders: DataFrame, fills: DataFrame, within: str = "30 secon
         "order_id", F.col("o_acct").alias("acct"), "order_ts", "ordered", "fill_ts", F.coalesce("filled", F.lit(0)).alias("filled"))
 
 
+def with_waiting(matched: DataFrame, orders: DataFrame) -> DataFrame:
+    """The sink of `unfilled_orders` and, unfilled, the orders that still waited for the watermark when the stream stopped."""
+    waiting = orders.join(matched.select("order_id"), "order_id", "left_anti").select(
+        "order_id", "acct", F.col("ts").alias("order_ts"), F.col("shares").alias("ordered"), F.lit(None).cast("timestamp").alias("fill_ts"),
+        F.lit(0).cast("long").alias("filled"))
+    return matched.unionByName(waiting)
+
+
 def completeness(matched: DataFrame) -> DataFrame:
     """Batch roll-up of the sink of `unfilled_orders`."""
     out = matched.groupBy("order_id", "acct", "order_ts", "ordered").agg(F.sum("filled").alias("filled"))
@@ -34,26 +42,38 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
             .outputMode("append").trigger(availableNow=True).start())
 
 
+SLOTS = 2
+
+
 def drift_monitor(quotes: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest quote per asset in a versioned table, one version per micro-batch.
+    """Keep the latest quote per asset (of any type) in a table that each micro-batch writes anew, in turn in one of two slots.
 
-    A batch is collapsed to one row per asset before it meets the table, and a replayed batch overwrites its own
-    version, so the table is the same after a restart.
+    A batch is collapsed to one row per asset before it meets the table. It reads the slot of the batch before and
+    overwrites its own, so a replayed batch gives the same table and old versions do not pile up. Of quotes of one time the largest stays.
     """
-    schema = "asset bigint, quote double, ts timestamp"
+    key = quotes.schema["asset"].dataType.simpleString()
+    schema = f"asset {key}, quote double, ts timestamp, version bigint"
+    newest = lambda rows: rows.groupBy("asset").agg(F.max(F.struct("ts", "quote")).alias("last")).select("asset", "last.quote", "last.ts")
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows = batch.groupBy("asset").agg(F.max_by("quote", "ts").alias("quote"), F.max("ts").alias("ts"))
+        rows = newest(batch)
         if epoch > 0:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{state}/v{epoch - 1}")).groupBy("asset").agg(
-                F.max_by("quote", "ts").alias("quote"), F.max("ts").alias("ts"))
-        rows.write.mode("overwrite").parquet(f"{state}/v{epoch}")
+            before = spark.read.schema(schema).parquet(f"{state}/slot={(epoch - 1) % SLOTS}")
+            rows = newest(rows.unionByName(before.select("asset", "quote", "ts")))
+        rows.withColumn("version", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{state}/slot={epoch % SLOTS}")
 
-    return (quotes.select("asset", "quote", "ts").writeStream.foreachBatch(upsert)
+    return (quotes.select("asset", F.col("quote").cast("double").alias("quote"), "ts").writeStream.foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def latest_quotes(spark: SparkSession, state: str) -> DataFrame:
+    """The newest version of the table of `drift_monitor`."""
+    rows = spark.read.option("basePath", state).parquet(state)
+    newest = rows.agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), "version").select("asset", "quote", "ts")
+
+
 def drift_alerts(latest: DataFrame, closes: DataFrame, threshold: float = DRIFT) -> DataFrame:
     df = latest.join(closes.select("asset", "close"), "asset").withColumn("drift", (F.col("quote") - F.col("close")) / F.nullif(F.col("close"), F.lit(0.0)))
     return df.filter(F.abs("drift") >= threshold).select("asset", "ts", "close", "quote", "drift")

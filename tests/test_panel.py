@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import long_prices, make_panel, random_walk
 from pyspark.sql import functions as F
 
@@ -116,3 +117,21 @@ def test_regimes_match_pandas(spark):
     bear, ma = nav / nav.cummax() - 1 < -0.2, nav.rolling(200).mean()
     want = {d.date(): "bear" if bear[d] else "bull" if nav[d] > ma[d] else "sideways" for d in nav.index}
     assert got == want and len(set(got.values())) == 3
+
+
+@pytest.mark.parametrize("rows", [5, 60, 99, 100, 126, 252])
+def test_rolling_frames_of_all_lengths(spark, rows):
+    rng = np.random.default_rng(2)
+    x = rng.normal(50, 1, 700)
+    x[200:560] = 0.1 + 0.2  # flat for longer than any frame
+    x[30], x[600] = np.nan, np.nan
+    df = spark.createDataFrame(pd.DataFrame({"universe": "u", "asset": "a", "row_no": range(700), "x": x}))
+    got = G.with_rolling(df, "x", rows, "r").orderBy("row_no").toPandas()
+    s = pd.Series(x).rolling(rows)
+    want_mean, want_std = s.mean(), s.std()
+    full = s.count() == rows
+    assert (got["r_mean"].notna() == full).all() and (got["r_std"].notna() == full).all()
+    assert np.allclose(got["r_mean"][full], want_mean[full], rtol=1e-12) and np.allclose(got["r_std"][full], want_std[full], atol=1e-7)
+    inside = [i for i in range(200 + rows - 1, 560)]
+    assert (got["r_std"][inside] == 0).all() and (got["r_mean"][inside] == 0.1 + 0.2).all()
+    assert {"x", "r_mean", "r_std"} <= set(got.columns) and not [c for c in got.columns if c.startswith("_")]

@@ -54,5 +54,6 @@ class FakeSession:
 def test_staged_tables_follow_the_configured_folder(spark):
     from panelfolio.session import shared_dir, stage
     assert shared_dir(FakeSession("hdfs://shared/cp")) == "hdfs://shared/cp"
-    assert shared_dir(FakeSession(None)) is None
+    with pytest.raises(ValueError):
+        shared_dir(FakeSession(None))
     assert stage(spark.range(3), "t").count() == 3

@@ -97,3 +97,11 @@ def test_month_gate(spark):
     days = spark.createDataFrame([("x", D[0]), ("y", D[0])], "acct string, dt date")
     done = spark.createDataFrame([("x", "2024-01")], "acct string, month string")
     assert [r.acct for r in sinks.month_gate(days, done).collect()] == ["y"]
+
+
+def test_price_csv_of_any_width(spark, tmp_path):
+    filler = ",".join(f"c{i}" for i in range(40))
+    (tmp_path / "WIDE.csv").write_text(f"{filler},Date,Close\n" + '"x,""y"""' + ",0" * 39 + ",2024-01-02,7.5\n")
+    (tmp_path / "SLIM.csv").write_text("date,close\r\n2024-01-02,1\r\n")
+    got = {(r.asset, r.dt, r.close) for r in files.read_price_csv(spark, str(tmp_path), "us").collect()}
+    assert got == {("WIDE", D[0], 7.5), ("SLIM", D[0], 1.0)}

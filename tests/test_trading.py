@@ -88,17 +88,18 @@ def test_fill_completeness_filters_tag_and_time(spark):
 
 
 def test_drift_monitor_keeps_the_latest_over_restarts(spark, tmp_path):
-    src, schema = str(tmp_path / "in"), "asset long, quote double, ts timestamp"
+    src, schema = str(tmp_path / "in"), "asset string, quote double, ts timestamp"
     at = lambda m: dt.datetime(2024, 1, 1, 0, m)
-    for batch in ([(1, 10.0, at(1)), (1, 11.0, at(3)), (2, 5.0, at(1))], [(1, 9.0, at(2)), (2, 6.0, at(5))]):
-        spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
-        q = SM.drift_monitor(spark.readStream.schema(schema).parquet(src), str(tmp_path / "state"), str(tmp_path / "cp"))
-        q.awaitTermination()
-        last = q.lastProgress["batchId"]
-    latest = spark.read.parquet(str(tmp_path / "state" / f"v{last}"))
-    assert {(r.asset, r.quote) for r in latest.collect()} == {(1, 11.0), (2, 6.0)}
-    closes = spark.createDataFrame([(1, 11.0), (2, 5.0)], "asset long, close double")
-    assert [r.asset for r in SM.drift_alerts(latest, closes).collect()] == [2]
+    batches = ([("a", 10.0, at(1)), ("a", 11.0, at(3)), ("b", 5.0, at(1))], [("a", 9.0, at(2)), ("b", 6.0, at(5)), ("b", 5.5, at(5))], [], [("c", 1.0, at(0))])
+    for batch in batches:  # the third start finds no new data
+        if batch:
+            spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
+        SM.drift_monitor(spark.readStream.schema(schema).parquet(src), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+    latest = SM.latest_quotes(spark, str(tmp_path / "state"))
+    assert {(r.asset, r.quote) for r in latest.collect()} == {("a", 11.0), ("b", 6.0), ("c", 1.0)}
+    assert len(list((tmp_path / "state").iterdir())) <= SM.SLOTS
+    closes = spark.createDataFrame([("a", 11.0), ("b", 5.0)], "asset string, close double")
+    assert [r.asset for r in SM.drift_alerts(latest, closes).collect()] == ["b"]
 
 
 def test_unfilled_orders_stream(spark, tmp_path):
@@ -110,4 +111,6 @@ def test_unfilled_orders_stream(spark, tmp_path):
     m = SM.unfilled_orders(spark.readStream.schema(os_).parquet(o), spark.readStream.schema(fs).parquet(f))
     SM.run_to_table(m, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r.order_id: (r.filled, r.complete) for r in SM.completeness(spark.read.parquet(str(tmp_path / "out"))).collect()}
-    assert got[1] == (100, True) and got[2] == (0, False)
+    assert got[1] == (100, True) and got[2] == (0, False) and 3 not in got  # still waiting
+    whole = SM.completeness(SM.with_waiting(spark.read.parquet(str(tmp_path / "out")), spark.read.parquet(o)))
+    assert {r.order_id: (r.filled, r.complete) for r in whole.collect()} == {1: (100, True), 2: (0, False), 3: (0, False)}
