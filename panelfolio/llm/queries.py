@@ -98,7 +98,16 @@ def op7_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secretscan.written(F.col("spans")).alias("spans"))
 
 
-@query()
+@query("""
+with more as (select * from (values (-1, 0, 'user'), (-1, 1, 'assistant')) v(conv_id, turn, role)),
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select conv_id, turn, role, '<|im_end|><|im_start|>assistant ok' from more),
+f as (select *, length('<|im_start|>' || '<|im_end|>') + 2 + length(role) + length(text) + len(regexp_extract_all(role, '[\\\\\n]'))
+  + len(regexp_extract_all(role, '<\\\\*[|]')) + len(regexp_extract_all(text, '<\\\\*[|]')) as chars from t),
+g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as said,
+  coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss, sum(chars) as chars from f group by conv_id)
+select cast(conv_id as bigint) as conv_id, n_turns, sha256(said) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from g
+""")
 def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -129,7 +138,20 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(headers).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
-@query()
+@query("""
+with recursive w as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') as t from documents),
+s as (select r, doc_id, list_sort(list_distinct(case when len(t) = 0 then [] when len(t) < 5 then [array_to_string(t, ' ')]
+  else list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) end)) as t from w),
+n as (select row_number() over () as node, t, len(t) as size, count(*) as copies, min(doc_id) as first_id, list(doc_id) as ids from s group by t),
+e as (select node, size, md5(unnest(t)) as x from n),
+p as (select a.node as a, b.node as b from e a join e b on a.x = b.x and a.node <> b.node and 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size)
+  group by a.node, b.node, a.size, b.size having 5 * count(*) >= 4 * (a.size + b.size - count(*))),
+reach as (select node, node as other from n union select reach.node, p.b from reach join p on p.a = reach.other),
+c as (select reach.node, min(m.first_id) as class_id from reach join n m on m.node = reach.other group by reach.node),
+l as (select p.a as node, sum(m.copies) as links, count(*) as partners from p join n m on m.node = p.b group by p.a)
+select unnest(n.ids) as doc_id, class_id, cast(copies - 1 + coalesce(links, 0) as bigint) as n_links, copies, coalesce(partners, 0) as partners
+from n join c using (node) left join l using (node)
+""")
 def op3_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
     return found.select("doc_id", "class_id", "n_links", "copies", "partners")
