@@ -89,7 +89,48 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(toxicity.score(docs, model), 1, 3)
 
 
-@query()
+def _matches(kind: int, pattern: str, group: int, least: str) -> str:
+    """Matches with their code point offsets, from the parts between them."""
+    q = pattern.replace("'", "''")
+    return f"""select doc_id, {kind} as kind, start, start + length(hit) as stop, val from (
+  select doc_id, hits[i] as hit, vals[i] as val, cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) as bigint) as start
+  from (select *, unnest(range(1, len(hits) + 1)) as i from (
+    select doc_id, regexp_split_to_array(text, '{q}') as gaps, regexp_extract_all(text, '{q}', 0) as hits, regexp_extract_all(text, '{q}', {group}) as vals from dd where regexp_matches(text, '{q}'))))
+  where {least}"""
+
+
+_SIZE = secretscan.SIZE
+_CODES = f"list_transform(string_split(token, ''), lambda c: instr('{secretscan.ALPHABET}', c))"
+
+
+@query(f"""
+with d as (select row_number() over () as r, doc_id as id, coalesce(text, '') as text from documents),
+dd as (select r as doc_id, text from d),
+base as ({_matches(0, secretscan.ASSIGN, 2, "length(val) >= 6")}
+  union all {_matches(1, secretscan.ACCESS, 0, "length(hit) >= 20")}
+  union all {_matches(2, secretscan.HEX, 0, "length(hit) >= 24")}),
+h as (select sha256(cast(i as varchar)) as h from range(0, {secretscan.RANDOM_SAMPLE}) g(i)),
+tokens as (select true as random, unnest([substr(h, 1, 32), replace(to_base64(unhex(h)), '=', ''), upper(substr(h, 1, 20)),
+    substr(upper(regexp_replace(to_base64(unhex(h)), '[+/=]', '', 'g')), 1, 20)]) as token from h
+  union all select true, val from base
+  union all select false, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z_]{{3,}}', 0)) from (select text from d order by md5(text), text limit {secretscan.SAMPLE})),
+codes as (select random, {_CODES} as c from tokens),
+moves as (select random, c[j - 1] * {_SIZE} + c[j] as code from codes, unnest(range(2, len(c) + 1)) as g(j)),
+counts as (select code, count(*) filter (random) as r, count(*) filter (not random) as o from moves group by code),
+filled as (select i as code, coalesce(r, 0) as r, coalesce(o, 0) as o from range(0, {_SIZE * _SIZE}) g(i) left join counts on code = i),
+totals as (select code // {_SIZE} as previous, sum(r) as tr, sum(o) as tot from filled group by 1),
+ratios as (select code, cast(round(ln(((r + 0.5) / (tr + {0.5 * _SIZE})) / ((o + 0.5) / (tot + {0.5 * _SIZE}))) * 1000) as bigint) as v from filled join totals on previous = code // {_SIZE}),
+runs as ({_matches(3, secretscan.RUN + "{" + str(secretscan.LEAST) + ",}", 0, "true")}),
+steps as (select doc_id, start, stop, c[j - 1] * {_SIZE} + c[j] as code from (select doc_id, start, stop, {_CODES.replace("token", "val")} as c from runs), unnest(range(2, len(c) + 1)) as g(j)),
+likely as (select doc_id, 3 as kind, start, stop from steps join ratios using (code) group by doc_id, start, stop having sum(v) >= {secretscan.THRESHOLD} * (stop - start - 1)),
+more as (select * from likely l where not exists (select 1 from base b where b.doc_id = l.doc_id and b.start < l.stop and l.start < b.stop)),
+spans as (select doc_id, kind, start, stop from base union all select doc_id, kind, start, stop from more),
+said as (select doc_id, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as k, count(*) filter (kind = 2) as x,
+  string_agg(['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop) as s,
+  string_agg(['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop) filter (kind < 3) as b from spans group by doc_id)
+select d.id as doc_id, coalesce(a, 0) as n_assign, coalesce(k, 0) as n_access, coalesce(x, 0) as n_hex, sha256(coalesce(b, '')) as base_sha256, coalesce(s, '') as spans
+from d left join said on said.doc_id = d.r
+""")
 def op7_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secretscan.scan(docs, secretscan.train(secretscan.samples(docs)))

@@ -78,7 +78,7 @@ def samples(docs: DataFrame) -> DataFrame:
     drawn = numbers.select(F.explode(F.array(F.substring("h", 1, 32), F.regexp_replace(F.base64(F.unhex("h")), "=", ""), F.upper(F.substring("h", 1, 20)),
                                              F.substring(F.upper(F.regexp_replace(F.base64(F.unhex("h")), "[+/=]", "")), 1, 20))).alias("token"))
     found = docs.select(text.alias("text")).where(F.col("text").rlike(f"{WORDS}|AKIA|[0-9a-f]{{24}}")).select(F.explode(F.transform(base_spans(F.col("text")), lambda s: s["value"])).alias("token"))
-    chosen = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
+    chosen = docs.select(text.alias("text")).orderBy(F.md5("text"), "text").limit(SAMPLE)
     words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_]{3,}"), F.lit(0))).alias("token"))
     return drawn.unionByName(found).select(F.lit(True).alias("random"), "token").unionByName(words.select(F.lit(False).alias("random"), "token"))
 
