@@ -45,32 +45,55 @@ def pair_min_variance(s11: Column, s12: Column, s22: Column) -> Column:
     return F.when(a + b > 0, a / F.nullif(a + b, F.lit(0.0))).otherwise(F.lit(0.5))
 
 
+def pair_weights(cov: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Weights of groups of two series, in closed form: (keys, name, weight)."""
+    own, cross = F.col("i") == F.col("j"), F.col("i") < F.col("j")
+    both = cov.groupBy(*keys).agg(
+        F.min("i").alias("a"), F.max("i").alias("b"), F.min_by(F.when(own, F.col("sigma")), F.when(own, F.col("i"))).alias("s11"),
+        F.max_by(F.when(own, F.col("sigma")), F.when(own, F.col("i"))).alias("s22"), F.max(F.when(cross, F.col("sigma"))).alias("s12"))
+    w = pair_min_variance(F.col("s11"), F.col("s12"), F.col("s22"))
+    return both.withColumn("w", w).select(*keys, F.explode(F.array(
+        F.struct(F.col("a").alias("name"), F.col("w").alias("weight")), F.struct(F.col("b").alias("name"), (1 - F.col("w")).alias("weight")))).alias("z")).select(*keys, "z.*")
+
+
+def _long_only(m: np.ndarray) -> np.ndarray:
+    """Clipped, rescaled solutions of a stack of systems with the vector of ones; a singular one gets a small diagonal."""
+    ones, n = np.ones((len(m), m.shape[1])), m.shape[1]
+    try:
+        w = np.linalg.solve(m, ones[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        w = np.stack([_long_only_single(one) for one in m])
+    w = np.where(np.isfinite(w).all(1, keepdims=True), w, 1.0)
+    w = np.maximum(w, 0.0)
+    total = w.sum(1, keepdims=True)
+    return np.where(total > 0, w / np.where(total > 0, total, 1), 1.0 / n)
+
+
+def _long_only_single(m: np.ndarray) -> np.ndarray:
+    for extra in (0.0, 1e-8):
+        try:
+            return np.linalg.solve(m + extra * np.eye(len(m)), np.ones(len(m)))
+        except np.linalg.LinAlgError:
+            continue
+    return np.ones(len(m))
+
+
 def min_variance_weights(cov: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Long-only minimum-variance weights per group: (keys, name, weight). One small matrix per group."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["i"].unique())
-        m = pdf.pivot(index="i", columns="j", values="sigma").loc[names, names].to_numpy(float)
-        ones = np.ones(len(names))
-        w = None
-        for extra in (0.0, 1e-8):
-            try:
-                w = np.linalg.solve(m + extra * np.eye(len(names)), ones)
-                break
-            except np.linalg.LinAlgError:
-                continue
-        if w is None or not np.all(np.isfinite(w)):
-            w = ones
-        w = np.maximum(w, 0.0)
-        w = w / w.sum() if w.sum() > 0 else ones / len(names)
-        out = pd.DataFrame({"name": names, "weight": w})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "name", "weight"]]
+    """Long-only minimum-variance weights per group: (keys, name, weight). Small matrices, solved many at once."""
+    cells = cov.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j", "sigma"))).alias("cells"))
+    cells = cells.select(*keys, F.array_distinct("cells.i").alias("names"), F.col("cells.sigma").alias("sigma"))
+
+    def solve(batches):
+        for pdf in batches:
+            size = pdf["names"].map(len)
+            for n, rows in pdf.groupby(size):
+                w = _long_only(np.stack([np.asarray(v, float).reshape(n, n) for v in rows["sigma"]]))
+                out = {k: np.repeat(rows[k].to_numpy(), n) for k in keys}
+                yield pd.DataFrame({**out, "name": np.concatenate([np.asarray(v) for v in rows["names"]]), "weight": w.ravel()})
 
     types = dict(cov.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"name {types['i']}", "weight double"])
-    return cov.groupBy(*keys).applyInPandas(solve, schema)
+    return cells.mapInPandas(solve, schema)
 
 
 def rolling_min_variance(pair: DataFrame, window: int = 63, keys: tuple[str, ...] = ("universe",)) -> DataFrame:

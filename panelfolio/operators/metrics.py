@@ -113,27 +113,28 @@ def multi_factor_ols(returns: DataFrame, factors: DataFrame, names: list[str]) -
     moments = moments.filter(F.col("n") >= k + 5)
 
     def solve(batches):
+        upper = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                d = row._asdict()
-                xtx = np.array([[d[f"s_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
-                xty = np.array([d[f"y_{i}"] for i in range(k + 1)])
-                n, inverse = d["n"], np.linalg.pinv(xtx)
-                beta = inverse @ xty
-                ss_res = max(d["yy"] - beta @ xty, 0.0)
-                ss_tot = d["yy"] - xty[0] ** 2 / n
-                dof = n - k - 1
-                sigma2 = ss_res / dof
-                se = np.sqrt(np.maximum(np.diag(inverse) * sigma2, 0.0))
-                r2 = 1 - ss_res / ss_tot if ss_tot > 0 else 0.0
-                for i, name in enumerate(["alpha", *names]):
-                    out.append((d["universe"], d["run_id"], name, int(n), float(beta[i]),
-                                float(beta[i] / se[i]) if se[i] > 0 else None,
-                                float(beta[i] * xtx[0, i] / n * 252), float(r2),
-                                float(1 - (1 - r2) * (n - 1) / dof), float(np.sqrt(sigma2 * 252))))
-            yield pd.DataFrame(out, columns=["universe", "run_id", "factor", "n", "beta", "tstat", "contribution", "r2",
-                                             "r2_adj", "resid_vol"])
+            xtx = np.zeros((len(pdf), k + 1, k + 1))
+            for i, j in upper:
+                xtx[:, i, j] = xtx[:, j, i] = pdf[f"s_{i}_{j}"]
+            xty = pdf[[f"y_{i}" for i in range(k + 1)]].to_numpy(float)
+            n = pdf["n"].to_numpy(float)
+            inverse = np.linalg.pinv(xtx) if len(pdf) else xtx
+            beta = np.einsum("rij,rj->ri", inverse, xty)
+            ss_res = np.maximum(pdf["yy"].to_numpy(float) - (beta * xty).sum(1), 0.0)
+            ss_tot = pdf["yy"].to_numpy(float) - xty[:, 0] ** 2 / n
+            dof = n - k - 1
+            sigma2 = ss_res / dof
+            se = np.sqrt(np.maximum(np.einsum("rii->ri", inverse) * sigma2[:, None], 0.0))
+            r2 = np.where(ss_tot > 0, 1 - ss_res / np.where(ss_tot > 0, ss_tot, 1), 0.0)
+            tstat = np.where(se > 0, beta / np.where(se > 0, se, 1), np.nan)
+            run = np.repeat(np.arange(len(pdf)), k + 1)
+            yield pd.DataFrame({
+                "universe": pdf["universe"].to_numpy()[run], "run_id": pdf["run_id"].to_numpy()[run], "factor": ["alpha", *names] * len(pdf),
+                "n": pdf["n"].to_numpy()[run], "beta": beta.ravel(), "tstat": pd.array(tstat.ravel()).astype("Float64"),
+                "contribution": (beta * xtx[:, 0, :] / n[:, None] * 252).ravel(), "r2": r2[run], "r2_adj": (1 - (1 - r2) * (n - 1) / dof)[run],
+                "resid_vol": np.sqrt(sigma2 * 252)[run]})
 
     return moments.mapInPandas(solve, "universe string, run_id string, factor string, n long, beta double, tstat double, "
                                       "contribution double, r2 double, r2_adj double, resid_vol double")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelfolio.operators import signals as G
 from panelfolio.operators import weights as A
-from panelfolio.operators.covariance import min_variance_weights, shrunk_covariance
+from panelfolio.operators.covariance import min_variance_weights, pair_weights, shrunk_covariance
 from panelfolio.operators.panel import ASSET, Panel, rebalances
 from panelfolio.params import ParamSet
 from panelfolio.session import stage
@@ -177,7 +177,8 @@ class MinVarianceBlend:
             "universe", "reb_no", "k", F.col("member").alias("name"), "x")
         complete = F.size(F.collect_set("name").over(Window.partitionBy("universe", "reb_no"))) == n
         x = x.withColumn("_c", complete).filter("_c").drop("_c")
-        w = min_variance_weights(shrunk_covariance(x, ("universe", "reb_no")), ("universe", "reb_no"))
+        solve = pair_weights if n == 2 else min_variance_weights
+        w = solve(shrunk_covariance(x, ("universe", "reb_no")), ("universe", "reb_no"))
         floor = F.greatest(F.col("weight"), F.lit(self.min_weight))
         return w.select("universe", "reb_no", F.col("name").alias("member"),
                         (floor / F.sum(floor).over(Window.partitionBy("universe", "reb_no"))).alias("alloc"))
