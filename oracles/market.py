@@ -75,8 +75,8 @@ S["month_ends"] = Q.with_(PX + Q.panel(None), """select universe, reb_no, row_no
 S["month_end_days"] = """with o as (select distinct cast(o_orderdate as date) dt from orders),
  c as (select date_trunc('month', l_shipdate) m, cast(max(l_shipdate) as date) dt from lineitem join part on l_partkey = p_partkey where l_quantity > 0 group by 1)
  select 'types' universe, o.dt, true is_month_end from o join c using (dt)"""
-S["near_trading_days"] = Q.with_(PX + Q.panel(None), """select 'types' universe, cast(d as varchar) target_id, c.dt as_of_dt, c.row_no as_of_row
- from (select distinct cast(o_orderdate as date) d from orders) o asof join cal c on o.d >= c.dt""")
+S["near_trading_days"] = Q.with_(PX + Q.panel(None), """select 'types' universe, cast(d as varchar) target_id, c.dt as_of_dt, coalesce(c.row_no, -1) as_of_row
+ from (select distinct cast(o_orderdate as date) d from orders) o asof left join cal c on o.d >= c.dt""")
 S["long_history_assets"] = Q.with_(Q.prices("p_brand"), """select universe, asset, count(*) n_obs, min(dt) first_dt, round(avg(close), 6) mean_close
  from px group by 1, 2 having count(*) >= 750 and min(dt) <= date '1995-01-06'""")
 S["symbol_rules"] = """select p_partkey, code || case when code[1] in ('5', '6') then '.SH' else '.SZ' end symbol,

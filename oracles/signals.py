@@ -23,7 +23,7 @@ S["blended_momentum"] = Q.with_(ctes + [union([f"select universe, '{p.run_id}' r
 S["asset_vols"] = Q.with_(Q.base() + ["""v as (select universe, asset, dt, case when n > 63 then stddev_pop(ret) over (w rows between 62 preceding and current row) end vol_63_0,
  n, case when n > 126 then stddev_pop(ret) over (w rows between 125 preceding and current row) end v126 from obs window w as (partition by universe, asset order by n))""",
     "v2 as (select *, lag(v126, 21) over (partition by universe, asset order by n) vol_126_21 from v)"],
-    Q.final("v2", ["universe", "asset", "dt"], ["vol_63_0", "vol_126_21"], where="vol_126_21 is not null"))
+    Q.final("v2", ["universe", "asset", "dt"], ["vol_63_0", "vol_126_21"]))
 
 BASKET = [ParamSet("all"), ParamSet("top3", hold_all=False), ParamSet("inv", hold_all=False, weighting="inv_vol")]
 ctes = Q.base()
@@ -41,8 +41,8 @@ S["trend_flags"] = Q.with_(Q.base() + ["""f as (select universe, asset, dt,
 
 TSM = """ts as (select universe, asset, dt, n, row_no, close, (close / lag(close, 21) over w + close / lag(close, 63) over w + close / lag(close, 126) over w - 3) / 3 mom,
  avg(close) over (w rows between 199 preceding and current row) ma from obs window w as (partition by universe, asset order by n))"""
-S["ts_momentum"] = Q.with_(Q.base() + [TSM], """select universe, asset, dt, case when n >= 201 and close > ma then 1.0::double else 0.0::double end with_trend, 1.0::double plain
- from ts where n >= 127 and mom > 0""")
+S["ts_momentum"] = Q.with_(Q.base() + [TSM], """select universe, asset, dt, case when n >= 201 and mom > 0 and close > ma then 1.0::double else 0.0::double end with_trend,
+ case when n >= 127 and mom > 0 then 1.0::double else 0.0::double end plain from ts""")
 
 
 def zscore(i: str, gate: bool) -> list[str]:
@@ -116,7 +116,7 @@ TWO = Q.hold_asset([("ECONOMY", 1.0)], "bench", "b1", 1) + Q.hold_asset([("STAND
 ROLL = """rl as (select universe, run_id, dt, case when k = 252 then m * 252 / (sd * sqrt(252) + 1e-12) end roll_sharpe, case when k = 252 then sd * sqrt(252) end roll_vol,
  nav / max(nav) over (partition by universe, run_id order by dt) - 1 underwater from (select universe, run_id, dt, count(*) over w k, avg(net) over w m, stddev_samp(net) over w sd,
  product(1 + net) over (partition by universe, run_id order by dt) nav from two window w as (partition by universe, run_id order by dt rows between 251 preceding and current row)))"""
-S["rolling_metrics"] = Q.with_(Q.base() + TWO + [ROLL], Q.final("rl", ["universe", "run_id", "dt"], ["roll_sharpe", "roll_vol", "underwater"], where="roll_sharpe is not null"))
+S["rolling_metrics"] = Q.with_(Q.base() + TWO + [ROLL], Q.final("rl", ["universe", "run_id", "dt"], ["roll_sharpe", "roll_vol", "underwater"]))
 S["rolling_summary"] = Q.with_(Q.base() + TWO + [ROLL, """rs as (select universe, run_id, avg(roll_sharpe) mean_sharpe, min(roll_sharpe) min_sharpe,
  avg(cast(roll_sharpe > 0 as double)) share_positive from rl where roll_sharpe is not null group by 1, 2)"""],
     Q.final("rs", ["universe", "run_id"], ["mean_sharpe", "min_sharpe", "share_positive"]))

@@ -1,7 +1,8 @@
 """DuckDB statements that re-derive the registered queries in a dense, step-by-step form.
 
-They share no code with the library: panels are full dates x assets grids, the rebalance lookups are as-of joins and the
-overlay chain is applied leg by leg, so an agreement checks the sparse and closed forms of the Spark side.
+Panels are full dates x assets grids, the rebalance lookups are as-of joins and the overlay chain is applied leg by leg, so
+an agreement checks the sparse and closed forms of the Spark side. Parameter grids, universes and the coefficient tables of
+the normal distribution come from the library; ``normal_functions`` checks these tables against a series and its root.
 """
 
 from __future__ import annotations

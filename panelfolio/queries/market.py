@@ -171,11 +171,12 @@ def month_end_days(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def near_trading_days(spark: SparkSession, sf: str) -> DataFrame:
-    """Last shipping day at or before each order date."""
+    """Last shipping day at or before each order date; no day and row -1 before the first one."""
     calendar = P.trading_calendar(T.asset_days(spark, sf))
     targets = T.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().select(
         F.lit("types").alias("universe"), F.col("d").cast("string").alias("target_id"), F.col("d").cast("timestamp").alias("target_ts"))
-    return P.as_of_dates(targets, calendar).filter("as_of_dt is not null").select("universe", "target_id", "as_of_dt", "as_of_row")
+    return P.as_of_dates(targets, calendar).select(
+        "universe", "target_id", "as_of_dt", F.coalesce("as_of_row", F.lit(-1)).alias("as_of_row"))
 
 
 @query

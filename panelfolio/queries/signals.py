@@ -31,7 +31,7 @@ def blended_momentum(spark: SparkSession, sf: str) -> DataFrame:
 def asset_vols(spark: SparkSession, sf: str) -> DataFrame:
     df = G.with_observations(market(spark, sf).obs)
     df = G.with_asset_vol(G.with_asset_vol(df, 63), 126, 21)
-    return rounded(df.filter("vol_126_21 is not null").select("universe", "asset", "dt", "vol_63_0", "vol_126_21"))
+    return rounded(df.select("universe", "asset", "dt", "vol_63_0", "vol_126_21"))
 
 
 @query
@@ -56,7 +56,7 @@ def ts_momentum(spark: SparkSession, sf: str) -> DataFrame:
     """Both forms of the time-series signal: with and without the trend filter."""
     panel = market(spark, sf)
     pick = lambda trend, name: G.ts_momentum(panel.obs, trend).select("universe", "asset", "dt", F.col("signal").alias(name))
-    return pick(True, "with_trend").join(pick(False, "plain"), ["universe", "asset", "dt"]).filter("plain > 0")
+    return pick(True, "with_trend").join(pick(False, "plain"), ["universe", "asset", "dt"])
 
 
 @query
@@ -164,7 +164,7 @@ def two_series(panel: P.Panel) -> DataFrame:
 @query
 def rolling_metrics(spark: SparkSession, sf: str) -> DataFrame:
     rolled = G.rolling_metrics(two_series(market(spark, sf)))
-    return rounded(rolled.filter("roll_sharpe is not null").select("universe", "run_id", "dt", "roll_sharpe", "roll_vol", "underwater"))
+    return rounded(rolled.select("universe", "run_id", "dt", "roll_sharpe", "roll_vol", "underwater"))
 
 
 @query
