@@ -266,3 +266,20 @@ S["stripped_alpha"] = Q.with_(RUNS + CAPM + [FACTOR_CTE, """f3 as (select r.univ
     "fa as (select universe, run_id, (max(my) - max(b1) * max(m1) - max(b2) * max(m2) - max(b3) * max(m3)) * 252 factor_alpha from k1 group by 1, 2)",
     "sa as (select universe, run_id, alpha, factor_alpha, alpha - factor_alpha stripped from cq join fa using (universe, run_id))"],
     Q.final("sa", UR, ["alpha", "factor_alpha", "stripped"]))
+
+# Six factors and a constant: the inverse of the 7 x 7 cross products by Gauss-Jordan elimination, identity in columns 8 to 14.
+_SIX = RUNS + ["""pv as (select dt, coalesce(max(ret) filter (asset = 'ECONOMY'), 0) a, coalesce(max(ret) filter (asset = 'SMALL'), 0) b, coalesce(max(ret) filter (asset = 'STANDARD'), 0) c,
+ coalesce(max(ret) filter (asset = 'MEDIUM'), 0) d, coalesce(max(ret) filter (asset = 'PROMO'), 0) e, coalesce(max(ret) filter (asset = 'LARGE'), 0) f from obs group by 1)""",
+    "f6 as (select r.universe, r.run_id, r.net y, [1.0, a, b - a, c, d, e - f, f - c] x from rets r join pv using (dt) where r.run_id <> 'bench')",
+    "ix as (select unnest(range(1, 8)) i)",
+    "e0 as (select universe, run_id, i.i, j.i j, sum(x[i.i] * x[j.i]) v from f6, ix i, ix j group by 1, 2, 3, 4 union all select universe, run_id, i.i, 7 + j.i, case when i.i = j.i then 1.0 else 0.0 end from (select distinct universe, run_id from f6), ix i, ix j)"]
+_SIX += [f"""e{k} as (select a.universe, a.run_id, a.i, a.j, case when a.i = {k} then a.v / d.v else a.v - c.v * p.v / d.v end v from e{k - 1} a
+ join e{k - 1} p on p.universe = a.universe and p.run_id = a.run_id and p.i = {k} and p.j = a.j join e{k - 1} c on c.universe = a.universe and c.run_id = a.run_id and c.i = a.i and c.j = {k}
+ join e{k - 1} d on d.universe = a.universe and d.run_id = a.run_id and d.i = {k} and d.j = {k})""" for k in range(1, 8)]
+_SIX += ["xy as (select universe, run_id, i, sum(x[i] * y) xty, avg(x[i]) m, count(*) n from f6, ix group by 1, 2, 3)",
+    "be6 as (select v.universe, v.run_id, v.i, sum(v.v * xy.xty) beta, max(case when v.j = 7 + v.i then v.v end) dg from e7 v join xy on xy.universe = v.universe and xy.run_id = v.run_id and v.j = 7 + xy.i group by 1, 2, 3)",
+    "fit as (select f6.universe, f6.run_id, count(*) n, sum((y - (select sum(beta * x[i]) from be6 where be6.run_id = f6.run_id)) ** 2) rss, var_pop(y) * count(*) tss from f6 group by 1, 2)",
+    """ou6 as (select b.universe, b.run_id, ['alpha', 'MKT', 'SIZE', 'BOND', 'MID', 'PROMO', 'TERM'][b.i] factor, f.n, beta, beta / sqrt(dg * rss / (f.n - 7)) tstat, beta * xy.m * 252 contribution,
+ 1 - rss / tss r2, 1 - rss / tss * (f.n - 1) / (f.n - 7) r2_adj, sqrt(rss / (f.n - 7) * 252) resid_vol
+ from be6 b join fit f using (universe, run_id) join xy on xy.universe = b.universe and xy.run_id = b.run_id and xy.i = b.i)"""]
+S["multi_factor_six"] = Q.with_(_SIX, Q.final("ou6", UR + ["factor", "n"], ["beta", "tstat", "contribution", "r2", "r2_adj", "resid_vol"]))

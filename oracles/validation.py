@@ -10,11 +10,18 @@ U = T.TYPES
 SELECT, HOLD = FULL.but("select", hold_all=False), FULL.but("hold")
 GRID = Q.base() + Q.runs(selection_grid(), U)
 
-WF = ["""sp as (select min(dt) filter (row_no = 126) s, max(dt) e from cal)""",
-      """wd as (select k window_id, t0, (select max(dt) from cal where dt <= t0 + interval 3 year) tr_e, (select max(dt) from cal where dt <= t0 + interval 3 year + interval 1 day) te_s,
- (select max(dt) from cal where dt <= t0 + interval 4 year) te_e from (select k, cast(s + to_years(cast(k as int)) as date) t0 from sp, range(0, 20) r(k)))""",
-      "ww as (select * from wd where te_s < (select e from sp))",
-      """wr as (select r.*, window_id, 'train' part from rets r join ww on dt between t0 and tr_e union all select r.*, window_id, 'test' from rets r join ww on dt between te_s and te_e)"""]
+
+def walk(years: int) -> list[str]:
+    """Windows of ``years`` to train and one year to test."""
+    return ["""sp as (select min(dt) filter (row_no = 126) s, max(dt) e from cal)""",
+            f"""wd as (select k window_id, t0, (select max(dt) from cal where dt <= t0 + interval {years} year) tr_e,
+ (select max(dt) from cal where dt <= t0 + interval {years} year + interval 1 day) te_s,
+ (select max(dt) from cal where dt <= t0 + interval {years + 1} year) te_e from (select k, cast(s + to_years(cast(k as int)) as date) t0 from sp, range(0, 20) r(k)))""",
+            "ww as (select * from wd where te_s < (select e from sp))",
+            """wr as (select r.*, window_id, 'train' part from rets r join ww on dt between t0 and tr_e union all select r.*, window_id, 'test' from rets r join ww on dt between te_s and te_e)"""]
+
+
+WF = walk(3)
 PCV = ["""sp as (select cast(min(dt) filter (row_no = 126) as timestamp) s, cast(max(dt) as timestamp) e from cal)""",
        """ww as (select k window_id, to_timestamp(epoch(s) + k * (epoch(e) - epoch(s)) / 6)::timestamp te_s, to_timestamp(epoch(s) + (k + 1) * (epoch(e) - epoch(s)) / 6)::timestamp te_e from sp, range(0, 6) r(k))""",
        """wr as (select r.*, window_id, 'test' part from rets r join ww on dt between te_s and te_e union all
@@ -41,6 +48,7 @@ for name, w in (("walk_forward", WF), ("purged_cv", PCV)):
     S[f"{name}_summary"] = Q.with_(GRID + w + SCORES + SUMMARY + stitched_perf() + [
         "su as (select po.*, best_run, best_sharpe, case when best_sharpe > 0 then sharpe / best_sharpe end decay from po cross join bs)"],
         Q.final("su", SUM, Q.PERF + ["best_sharpe", "decay"]))
+S["walk_forward_five_years"] = Q.with_(GRID + walk(5) + SCORES, REPORT)
 RANK = """rk as (select b.universe, b.window_id, b.run_id, b.score train_score, t.test_rank, t.n_runs from be b join
  (select *, row_number() over (partition by window_id order by round(score, 10) desc, run_id) - 1 test_rank, count(*) over (partition by window_id) n_runs from sc where part = 'test') t
  on t.window_id = b.window_id and t.run_id = b.run_id)"""

@@ -120,3 +120,8 @@ def limit_by_rule(code: Column) -> Column:
     for prefix, pct in LIMIT_BY_PREFIX.items():
         rule = F.when(code.startswith(prefix), F.lit(pct)).otherwise(rule)
     return rule
+
+
+def sql_text(value: str) -> str:
+    """A string literal for SQL text, whatever characters a name has."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

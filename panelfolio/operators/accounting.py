@@ -126,8 +126,8 @@ def portfolio_returns(periods: DataFrame, panel: Panel, runs: DataFrame, cost_ra
 
 def runs_of(panel: Panel, needs: list[tuple[str, int]]) -> DataFrame:
     """runs(universe, run_id, need): every listed run on every universe of the panel."""
-    runs = ", ".join(f"struct('{r}' as run_id, {n} as need)" for r, n in needs)
-    return panel.calendar.filter("row_no = 0").selectExpr("universe", f"inline(array({runs}))")
+    runs = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(n).alias("need")) for r, n in needs])
+    return panel.calendar.filter("row_no = 0").select("universe", F.inline(runs))
 
 
 def backtest_targets(targets: DataFrame, panel: Panel, runs: DataFrame, flags: DataFrame | None = None,

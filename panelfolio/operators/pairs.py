@@ -5,8 +5,6 @@ Pairs are an explicit list or all unordered pairs of a short asset list; the joi
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +20,17 @@ PAIR = ("universe", "a", "b")
 CRITICAL = (("<0.01", -3.89644, -10.9519), ("<0.05", -3.33613, -6.1101), ("<0.10", -3.04445, -4.2412))
 
 
-def pair_prices(panel: Panel, assets: list[str], min_rows: int = 300, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(universe, a, b, dt, pa, pb, t) on dates where both have a price; short pairs drop out."""
-    spec = F.broadcast(panel.obs.sparkSession.createDataFrame(pairs or list(combinations(sorted(assets), 2)), "a string, b string"))
-    left = panel.obs.select("universe", F.col("asset").alias("a"), "dt", F.col("close").alias("pa")).join(spec, "a")
+def pair_prices(panel: Panel, assets: list[str], min_rows: int = 300, pairs: DataFrame | None = None) -> DataFrame:
+    """(universe, a, b, dt, pa, pb, t) on dates where both have a price; short pairs drop out.
+
+    ``pairs`` (a, b and perhaps universe) are the caller's; without them all pairs a < b of ``assets`` that the universe lists.
+    """
+    if pairs is None:
+        listed = panel.obs.filter(F.col("asset").isin(*assets)).select("universe", "asset").distinct()
+        spec = listed.select("universe", F.col("asset").alias("a")).join(listed.select("universe", F.col("asset").alias("b")), "universe").filter("a < b")
+    else:
+        spec = pairs.select(*[c for c in ("universe", "a", "b") if c in pairs.columns])
+    left = panel.obs.select("universe", F.col("asset").alias("a"), "dt", F.col("close").alias("pa")).join(spec, [c for c in ("universe", "a") if c in spec.columns])
     right = panel.obs.select("universe", F.col("asset").alias("b"), "dt", F.col("close").alias("pb"))
     both = left.join(right, ["universe", "b", "dt"])
     size = F.count(F.lit(1)).over(Window.partitionBy(*PAIR))

@@ -63,7 +63,7 @@ def _run_struct(p: ParamSet) -> str:
     optional = lambda v: "cast(null as double)" if v is None else f"{float(v)}D"
     flag = lambda v: "true" if v else "false"
     fields = {
-        "run_id": f"'{p.run_id}'", "need": str(p.need), "momentum": momentum,
+        "run_id": S.sql_text(p.run_id), "need": str(p.need), "momentum": momentum,
         "vol": f"vol_{p.inv_vol_window}_0" if p.weighting == "inv_vol" else "cast(null as double)",
         "tail": f"tail_{p.vol_window}" if p.vol_target else "cast(null as array<double>)",
         "below": f"below_{p.trend_ma}" if p.trend_ma else "false",

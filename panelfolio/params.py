@@ -36,14 +36,14 @@ UNIVERSE_SCHEMA = ("universe string, asset string, pool_order int, bond_asset st
 
 
 def universe_dim(spark: SparkSession, universes: list[Universe]) -> DataFrame:
-    """Dimension rows of every pool asset; defence legs keep pool_order null. Built from driver-side lists, so broadcast."""
+    """Dimension rows of every pool asset; defence legs keep pool_order null. Whether to broadcast them is left to Spark's size check."""
     rows = []
     for u in universes:
         for i, a in enumerate(u.pool):
             rows.append((u.name, a, i, u.bond, u.cash_leg, u.benchmark, u.labels.get(a)))
         for a in sorted({u.bond, u.cash_leg} - set(u.pool)):
             rows.append((u.name, a, None, u.bond, u.cash_leg, u.benchmark, u.labels.get(a)))
-    return F.broadcast(spark.createDataFrame(rows, UNIVERSE_SCHEMA))
+    return spark.createDataFrame(rows, UNIVERSE_SCHEMA)
 
 
 @dataclass(frozen=True)

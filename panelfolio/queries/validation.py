@@ -29,6 +29,13 @@ def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.walk_forward(panel, V.grid_returns(panel, dim(spark)), TRAIN_YEARS)[0])
 
 
+@query
+def walk_forward_five_years(spark: SparkSession, sf: str) -> DataFrame:
+    """The default lengths: five years to train, one to test."""
+    panel = market(spark, sf)
+    return rounded(V.walk_forward(panel, V.grid_returns(panel, dim(spark)))[0])
+
+
 @query
 def walk_forward_summary(spark: SparkSession, sf: str) -> DataFrame:
     panel = market(spark, sf)
