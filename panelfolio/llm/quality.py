@@ -2,8 +2,8 @@
 
 Two dictionaries are trained from labelled texts. A text is cut into blocks of ``BLOCK`` bytes, so that the dictionary and
 not the text's own beginning decides throughout, and every block is compressed with each dictionary. The difference of the
-two compressed sizes, divided by the text's size, is positive for texts like the good ones; a logistic curve fitted on other
-labelled rows turns it into a score.
+two compressed sizes, divided by the text's size, is positive for texts like the good ones; isotonic regression on other
+labelled rows turns it into a score. (A logistic curve is thrown by the few good texts with very negative differences.)
 
 A Zstandard dictionary has a fixed size whatever it is trained from, so training takes a bounded sample: ``SAMPLE`` labelled rows of
 each class, those with the smallest hash of their id. Whole texts are used. Everything else covers all rows.
@@ -12,7 +12,7 @@ each class, those with the smallest hash of their id. Whole texts are used. Ever
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -20,15 +20,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelfolio.llm.toxicity import fit_logistic
+from panelfolio.llm.calibration import Curve, curve_of
 
 BLOCK = 1024
 SAMPLE = 2_000  # labelled rows of each class that train a dictionary
 DICTIONARY = 112_640  # bytes
 LEVEL = 3
 SOFT = 64.0  # bytes added to a text's size, so that a few bytes do not decide
-STEP = 1.0 / 1024
-EDGE = 2048
+STEP = 1.0 / 4096
+EDGE = 8192
+CURVE = 3  # one learning id in so many sets the curve
 
 
 def blocks(data: bytes) -> list[bytes]:
@@ -48,8 +49,7 @@ def dictionary(samples: list[bytes]) -> bytes:
 class Model:
     good: bytes
     bad: bytes
-    slope: float = 0.0
-    offset: float = 0.0
+    curve: Curve = field(default_factory=Curve)
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         out = []
@@ -69,24 +69,20 @@ def difference(text: str | None, compressors: list[zstandard.ZstdCompressor]) ->
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id, quality). Only rows where ``learn`` (a column over doc_id) is true give
-    labels: the first ``SAMPLE`` of each class by hash train the dictionaries, all others set the curve.
+    labels: one in ``CURVE`` by hash sets the curve, so that this sees the classes in their true proportion; of the others
+    the first ``SAMPLE`` of each class by another hash train the dictionaries.
 
     A label is used once per doc_id, the largest where they differ; null labels are none. Without labelled rows of both
     classes every score is 0.5."""
     marks = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("kind"))
-    marks = marks.withColumn("place", F.xxhash64("doc_id", F.lit("quality")))
-    sample, rest = None, marks
+    marks = marks.withColumn("place", F.xxhash64("doc_id", F.lit("quality"))).withColumn("sets_curve", F.pmod(F.xxhash64("doc_id"), F.lit(CURVE)) == 0)
+    sample = None
     for kind in (0, 1):
-        first = marks.where(F.col("kind") == kind).orderBy("place", "doc_id").limit(SAMPLE)
+        first = marks.where("not sets_curve").where(F.col("kind") == kind).orderBy("place", "doc_id").limit(SAMPLE)
         sample = first if sample is None else sample.unionByName(first)
     chosen = [(int(r["doc_id"]), int(r["kind"])) for r in sample.collect()]  # 2 * SAMPLE ids at most
     if {k for _, k in chosen} != {0, 1}:
         return Model(b"\x00" * 8, b"\x00" * 8)
-    # one class may be so small that all of it is in the sample: a third of it stays for the curve
-    for kind in (0, 1):
-        own = [c for c in chosen if c[1] == kind]
-        if 2 < len(own) < SAMPLE:
-            chosen = [c for c in chosen if c[1] != kind] + own[: -(len(own) // 3)]
     spark = docs.sparkSession
     ids = spark.createDataFrame(chosen, "doc_id long, kind int")
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(learn & F.col("doc_id").isNotNull())
@@ -100,23 +96,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
             x = np.array([difference(t, pair) for t in batch["text"]], float)
             yield pd.DataFrame({"kind": batch["kind"].to_numpy("int32"), "bin": np.clip(np.round(x / STEP), -EDGE, EDGE).astype("int32")})
 
-    rest = marks.select("doc_id", "kind").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti")
+    rest = marks.where("sets_curve").select("doc_id", "kind")
     # labels grow with the documents, so this is a shuffled join whatever their size
-    points = mine.join(rest.hint("merge"), "doc_id").select("kind", "text").mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas()
-    model.slope, model.offset = fit_logistic(points["bin"].to_numpy(float) * STEP, points["kind"].to_numpy(float), points["count"].to_numpy(float))
+    points = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(CURVE)) == 0).join(rest.hint("merge"), "doc_id").select("kind", "text").mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas()
+    model.curve = curve_of(points, STEP)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row of ``docs`` (doc_id, text; others are ignored). Null text: as empty, difference 0, the
-    curve's own offset. Null doc_id stays null, repeated rows are scored each, an empty table gives no rows."""
+    """(doc_id, score) of every row of ``docs`` (doc_id, text; others are ignored). Null text: as empty, whose difference is 0. Null doc_id stays null, repeated rows are scored each, an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair, m = sent.value.compressors(), sent.value
         for batch in batches:
             x = np.array([difference(t, pair) for t in batch["text"]], float)
-            p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -50, 50)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": p})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": m.curve.probability(x)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")

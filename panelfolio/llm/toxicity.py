@@ -4,7 +4,7 @@ Texts are UTF-8 bytes folded to 32 symbols (letters, digits, blank, other, bytes
 Kneser-Ney models of order 5 are built from labelled rows, one of toxic and one of ordinary texts: raw counts at order 5,
 continuation counts of the class at orders 4 and 3. Below these both classes share one backoff: continuation counts at
 orders 2 and 1 over all documents. A text's score is the difference of its two log-likelihoods, divided by its length
-plus ``SOFT`` symbols, mapped to a probability by a logistic curve fitted on labelled rows kept out of the counts.
+plus ``SOFT`` symbols, mapped to a probability by isotonic regression on labelled rows kept out of the counts.
 
 Five symbols of five bits are 2^25 possible n-grams, a bound that no corpus moves: counts are summed per n-gram on the
 executors and the table of log ratios (contexts seen in training, and order 4 for the rest) is broadcast.
@@ -12,15 +12,16 @@ executors and the table of log ratios (contexts seen in training, and order 4 fo
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelfolio.llm.calibration import Curve, curve_of
+
 ORDER = 5
 A = 32  # symbols
 SOFT = 30.0
@@ -95,8 +96,7 @@ class Model:
 
     row_of: np.ndarray
     table: np.ndarray
-    slope: float = 0.0
-    offset: float = 0.0
+    curve: Curve = field(default_factory=Curve)
 
     def lengthwise(self, texts: list[str | None]) -> np.ndarray:
         codes, sizes = grams(texts)
@@ -104,9 +104,6 @@ class Model:
         starts = np.cumsum(sizes) - sizes
         return np.add.reduceat(ratio.astype(np.float64), starts) / (sizes + SOFT) if len(sizes) else np.zeros(0)
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * x + self.offset, -50, 50)))
-
 
 def _interpolate(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Discounted shares of each row of ``counts``, the discount going to ``lower`` of the same shape."""
@@ -149,25 +146,6 @@ def build(counts: dict[int, tuple[np.ndarray, np.ndarray]], shared: np.ndarray)
     return Model(row_of, table)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through weighted points, by Newton steps; x is scaled first."""
-    if not n.sum():
-        return 0.0, 0.0
-    mean = (x * n).sum() / n.sum()
-    spread = math.sqrt(((x - mean) ** 2 * n).sum() / n.sum()) or 1.0
-    z = np.stack([(x - mean) / spread, np.ones_like(x)], 1)
-    w = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (n * (y - p)) - ridge * w * np.array([0.01, 0.01])
-        hessian = (z * (n * p * (1 - p))[:, None]).T @ z + ridge * 0.01 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w[0] / spread, w[1] - w[0] * mean / spread
-
-
 def train(docs: DataFrame, labels: DataFrame, learn: Column, calibrate_one_in: int = 5) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id, toxic). Only rows where ``learn`` (a column over doc_id) is true
     give labels; of these one in ``calibrate_one_in``, by a hash of the id, sets the curve and the others the counts.
@@ -186,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, calibrate_one_in: i
     if set(counts) != {TOXIC, ORDINARY}:
         model.table[:] = 0
     sent = spark.sparkContext.broadcast(model)
-    width = 1.0 / 1024
+    width = 1.0 / 2048
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, calibrate_one_in: i
                 yield pd.DataFrame({"kind": part["kind"].to_numpy("int32"), "bin": place})
 
     points = labelled.where("held").select("kind", "text").mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas()
-    model.slope, model.offset = fit_logistic(points["bin"].to_numpy(float) * width, points["kind"].to_numpy(float), points["count"].to_numpy(float))
+    model.curve = curve_of(points, width)
     return model
 
 
@@ -208,7 +186,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in chunks(batch):
-                p = sent.value.probability(sent.value.lengthwise(part["text"].tolist()))
+                p = sent.value.curve.probability(sent.value.lengthwise(part["text"].tolist()))
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": p})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
@@ -223,7 +201,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     @F.pandas_udf("double")
     def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            scored = [sent.value.probability(sent.value.lengthwise(p["text"].tolist())) for p in chunks(t.to_frame("text"))]
+            scored = [sent.value.curve.probability(sent.value.lengthwise(p["text"].tolist())) for p in chunks(t.to_frame("text"))]
             yield pd.Series(np.concatenate(scored) if scored else np.zeros(0))
 
     return plain.where(toxic(F.col(at).cast("string")) < threshold).toDF(*names)

@@ -11,7 +11,7 @@ WORDS = "ertion tien anesble that rean thonener hean ntble rendlynd onatwh whnd
 RUDE = ["idiot", "moron", "stupid", "loser"]
 
 
-def corpus(spark, n=900):
+def corpus(spark, n=1800):
     rng = np.random.default_rng(8)
     docs, labels = [], []
     for i in range(n):
@@ -37,7 +37,7 @@ def test_held_out_accuracy(spark, name, module):
     model = module.train(docs, labels, learn())
     got = {r["doc_id"]: r["score"] for r in module.score(docs, model).collect()}
     held = [(got[i], t if name == "toxic" else q) for i, q, t in rows if i % 10 >= 6]
-    assert len(got) == 900 and all(0 <= s <= 1 for s in got.values())
+    assert len(got) == 1800 and all(0 <= s <= 1 for s in got.values())
     assert np.mean([(s >= 0.7) == y for s, y in held]) > 0.95
 
 
