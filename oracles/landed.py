@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 from oracles import sql as Q
-from oracles.portfolios import TG, all_targets
+from oracles.portfolios import FULL, TG, U, UR, all_targets
+from oracles.signals import REG, TSM, timing, zscore
+from oracles.validation import BOOT, bootstrap
 from panelfolio import testpanel as T
 from panelfolio.queries.landed import RISK
 
@@ -36,3 +38,12 @@ S["python_strategy"] = Q.with_(Q.base() + [f"""m as (select universe, asset, dt,
 FLAT = [PX[0], PX[1].replace("px as (", "px_raw as (", 1),
         "px as (select * replace (case when asset = 'SMALL' and dt >= date '1997-01-01' then 100.0 else close end as close) from px_raw)"]
 S["suspended_asset"] = Q.with_(FLAT + Q.panel() + all_targets(RISK), Q.final("tgs", TG, ["weight"]))
+CANDIDATES = Q.base() + Q.runs([FULL], U, name="base_r") + [TSM, REG,
+    "s2 as (select universe, asset, dt, close, case when n >= 201 and mom > 0 and close > ma then 1.0 else 0.0 end sig from ts where asset = 'STANDARD')"] + timing("s2", "t2", 200) + zscore(
+    "zscore", False) + Q.hold_asset([("ECONOMY", 0.6), ("STANDARD", 0.4)], "60_40", "bh") + [
+    """ca as (select universe, 'bond' run_id, dt, net from t2 union all select universe, 'zscore', dt, net from zrzscore where row_no >= 19 union all select universe, run_id, dt, net from bh)"""]
+S["candidate_regimes"] = Q.with_(CANDIDATES + ["rr as (select ca.*, regime from ca join rg using (universe, dt))"] + Q.perf("rr", "universe, run_id, regime") + [
+    "rc as (select universe, run_id, regime, count(*) n_days, count(*) / sum(count(*)) over (partition by universe, run_id) as share from rr group by 1, 2, 3)",
+    "ro as (select * from pf join rc using (universe, run_id, regime))"], Q.final("ro", UR + ["regime", "n_days"], Q.PERF + ["share"]))
+S["candidate_bootstrap"] = Q.with_(CANDIDATES + ["rets as (select universe, run_id, dt, net from ca union all select universe, run_id, dt, net from base_r)"]
+                                   + bootstrap([(c, FULL.run_id) for c in ("bond", "zscore", "60_40")]), BOOT)

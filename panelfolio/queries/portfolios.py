@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelfolio import testpanel as T
 from panelfolio.operators import accounting as B
+from panelfolio.operators import bootstrap as BS
 from panelfolio.operators import metrics as M
 from panelfolio.operators import panel as P
 from panelfolio.operators import signals as G
@@ -300,12 +301,32 @@ def normal_functions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df.withColumn("ppf", S.norm_ppf(inner)), 7)
 
 
-@query
-def candidate_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Bond momentum, 60/40 and the z-score book as candidates next to the overlay run."""
-    panel = market(spark, sf)
+def candidates(spark: SparkSession, panel: P.Panel) -> tuple[DataFrame, DataFrame]:
+    """(candidates, base): bond momentum, 60/40 and the z-score book next to the overlay run."""
     base = stage(backtest(panel, dim(spark), [FULL]).select(*R.SERIES), "base")
     bond = B.single_asset_timing(panel, G.ts_momentum(panel.obs.filter(F.col("asset") == BOND), True), 200).withColumn("run_id", F.lit("bond"))
     z = B.daily_weights_backtest(G.zscore_weights(panel, list(T.TYPES.pool), BOND, BENCH, 20), panel, "zscore").filter("row_no >= 19")
     mix = B.fixed_mix(panel, [(BENCH, 0.6), (BOND, 0.4)], "60_40")
-    return rounded(R.candidate_report(stage(R.series(bond, z, mix), "candidates"), base, G.regime_labels(panel, BENCH)))
+    return stage(R.series(bond, z, mix), "candidates"), base
+
+
+@query
+def candidate_report(spark: SparkSession, sf: str) -> DataFrame:
+    panel = market(spark, sf)
+    runs, base = candidates(spark, panel)
+    return rounded(R.candidate_report(runs, base, G.regime_labels(panel, BENCH)))
+
+
+@query
+def candidate_regimes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate inside each market regime."""
+    panel = market(spark, sf)
+    return rounded(M.regime_report(candidates(spark, panel)[0], G.regime_labels(panel, BENCH)))
+
+
+@query
+def candidate_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate against the overlay run by paired block bootstrap."""
+    runs, base = candidates(spark, market(spark, sf))
+    series = BS.pair_series(R.series(runs, base), [(c, FULL.run_id) for c in ("bond", "zscore", "60_40")])
+    return rounded(BS.paired_bootstrap(stage(series, "pairs")))
