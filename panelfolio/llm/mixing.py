@@ -62,7 +62,7 @@ def source_rates(docs: DataFrame, weights: DataFrame, budget: int | None = None)
     return both.select("source", "n", (share / F.col("n")).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: DataFrame, budget: int | None = None, seed: int = 0, rows_per_shard: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, budget: int | None = None, seed: int = 0, rows_per_shard: int = 5_000) -> DataFrame:
     """All columns of ``docs`` (doc_id, source, ...) plus replica (from 0), rate, shard and shuffle_key.
 
     ``budget`` is the expected number of rows, by default that of ``docs``. A null source is a source of its own. A

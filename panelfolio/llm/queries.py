@@ -29,7 +29,7 @@ def query(statement: str | None = None):
 with k as (select doc_id, source, text, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) as key from documents),
 c as (select source, count(*) as n, sqrt(count(*)) as weight from documents group by source),
 r as (select source, n, weight * (select sum(n) from c) / (select sum(weight) from c) / n as rate from c),
-s as (select greatest(1, ceil(round(sum(n * rate)) / 20000)) as shards from r),
+s as (select greatest(1, ceil(round(sum(n * rate)) / 5000)) as shards from r),
 drawn as (select k.*, r.rate, cast(ceil(rate + sqrt(rate) * 12 + 24) as int) as terms,
   (cast('0x' || substr(md5('7|n|1|' || key), 1, 13) as bigint) + 0.5) / 4503599627370496.0 as u
   from k join r on k.source is not distinct from r.source),
