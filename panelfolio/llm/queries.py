@@ -113,7 +113,7 @@ h as (select sha256(cast(i as varchar)) as h from range(0, {secretscan.RANDOM_SA
 tokens as (select true as random, unnest([substr(h, 1, 32), replace(to_base64(unhex(h)), '=', ''), upper(substr(h, 1, 20)),
     substr(upper(regexp_replace(to_base64(unhex(h)), '[+/=]', '', 'g')), 1, 20)]) as token from h
   union all select true, val from base
-  union all select false, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z_]{{3,}}', 0)) from (select text from d order by md5(text), text limit {secretscan.SAMPLE})),
+  union all select false, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z_]{{3,}}', 0)) from (select text from (select distinct text from d) order by md5(text) limit {secretscan.SAMPLE})),
 codes as (select random, {_CODES} as c from tokens),
 moves as (select random, c[j - 1] * {_SIZE} + c[j] as code from codes, unnest(range(2, len(c) + 1)) as g(j)),
 counts as (select code, count(*) filter (random) as r, count(*) filter (not random) as o from moves group by code),

@@ -2,7 +2,7 @@
 
 Two first-order models over 66 characters are trained from labelled samples. Random: strings hashed from numbers in the
 usual alphabets (hexadecimal, base 64, upper case) and the values the fixed patterns find in the corpus. Ordinary: the
-identifiers and words of ``SAMPLE`` documents. A run of at least ``LEAST`` token characters is a secret if its log-likelihood
+identifiers and words of ``SAMPLE`` different documents. A run of at least ``LEAST`` token characters is a secret if its log-likelihood
 ratio, in thousandths of a nat for each transition, reaches ``THRESHOLD``. Ratios are rounded to integers, so sums do not
 depend on their order. The models are 66 x 66 numbers, a bound no corpus moves, and travel as a constant.
 
@@ -78,7 +78,10 @@ def samples(docs: DataFrame) -> DataFrame:
     drawn = numbers.select(F.explode(F.array(F.substring("h", 1, 32), F.regexp_replace(F.base64(F.unhex("h")), "=", ""), F.upper(F.substring("h", 1, 20)),
                                              F.substring(F.upper(F.regexp_replace(F.base64(F.unhex("h")), "[+/=]", "")), 1, 20))).alias("token"))
     found = docs.select(text.alias("text")).where(F.col("text").rlike(f"{WORDS}|AKIA|[0-9a-f]{{24}}")).select(F.explode(F.transform(base_spans(F.col("text")), lambda s: s["value"])).alias("token"))
-    chosen = docs.select(text.alias("text")).orderBy(F.md5("text"), "text").limit(SAMPLE)
+    # only keys are ranked, so that no task gathers texts; copies of a chosen text are one
+    keyed = docs.select(text.alias("text")).withColumn("key", F.md5("text"))
+    keys = keyed.select("key").distinct().orderBy("key").limit(SAMPLE)
+    chosen = keyed.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("text").alias("text"))
     words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_]{3,}"), F.lit(0))).alias("token"))
     return drawn.unionByName(found).select(F.lit(True).alias("random"), "token").unionByName(words.select(F.lit(False).alias("random"), "token"))
 
