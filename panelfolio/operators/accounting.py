@@ -159,6 +159,17 @@ def single_asset_timing(panel: Panel, signals: DataFrame, min_row: int, cost_rat
         *ASSET, "dt", "row_no", "signal", "pos", "net", "is_rebalance")
 
 
+def slot_book(panel: Panel, signals: DataFrame, min_row: int, run_id: str, slots: int | None = None) -> DataFrame:
+    """Every asset timed on its own and worth one of ``slots`` parts of the book (by default one per asset of the
+    universe); days without a row add nothing."""
+    timed = single_asset_timing(panel, signals, min_row).groupBy("universe", "dt").agg(F.sum("net").alias("net"))
+    if slots is None:
+        n = panel.obs.groupBy("universe").agg(F.count_distinct("asset").alias("_n"))
+        timed = timed.join(n, "universe")
+    share = F.col("_n") if slots is None else F.lit(slots)
+    return timed.select("universe", "dt", (F.col("net") / share).alias("net"), F.lit(run_id).alias("run_id"))
+
+
 def daily_weights_backtest(weights: DataFrame, panel: Panel, run_id: str, cost_rate: float = COST_RATE,
                            gap_policy: str = "pad") -> DataFrame:
     """Signals that trade every day: fill a row later, earn a row after that, pay for every change."""

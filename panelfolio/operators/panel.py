@@ -341,7 +341,3 @@ def label(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Display name from the universe dimension, else the code itself."""
     names = dim.select("universe", "asset", "label")
     return df.join(names, list(ASSET), "left").withColumn("label", F.coalesce("label", "asset"))
-
-
-def flag_columns(obs: DataFrame) -> list[Column]:
-    return [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("cant_buy", "cant_sell")]

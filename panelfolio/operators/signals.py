@@ -196,6 +196,18 @@ def term_structure(settles: DataFrame) -> DataFrame:
             .filter("next is not null").withColumn("curve", F.col("near") / F.col("next") - 1))
 
 
+def curve_signal(obs: DataFrame, curve: DataFrame) -> DataFrame:
+    """``signal`` 1 while the asset's curve in force is inverted. ``curve``: universe, asset, dt, curve.
+
+    A curve value stays in force until the next one: both time lines of the asset are united and carry the last value.
+    """
+    line = obs.select(*ASSET, "dt", "row_no", F.lit(None).cast("double").alias("curve"), F.lit(1).alias("kind")).unionByName(
+        curve.select(*ASSET, "dt", F.lit(None).cast("int").alias("row_no"), "curve", F.lit(0).alias("kind")))
+    w = Window.partitionBy(*ASSET).orderBy("dt", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("curve", ignorenulls=True).over(w)
+    return line.withColumn("last_curve", last).filter("kind = 1").withColumn("signal", F.when(F.col("last_curve") > 0, 1.0).otherwise(0.0))
+
+
 def forward_return(h: int, order: str = "dt", keys: tuple[str, ...] = ASSET) -> Column:
     w = Window.partitionBy(*keys).orderBy(order)
     return F.lead("close", h).over(w) / F.col("close") - 1

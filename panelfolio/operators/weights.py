@@ -153,12 +153,12 @@ def picks(panel: Panel, dim: DataFrame, params: list[ParamSet]) -> DataFrame:
                        (F.col("hold_all") | (F.col("momentum") > 0)).alias("held"))
 
 
-def equal_weight_targets(calendar: DataFrame, assets: list[str], run_id: str, min_row: int) -> DataFrame:
-    """1/n of a fixed list, set again at every rebalance from ``min_row`` on."""
-    n = len(assets)
-    return (rebalances(calendar).filter(F.col("reb_row") >= min_row)
-            .select("universe", F.lit(run_id).alias("run_id"), "reb_no",
-                    F.explode(F.array(*[F.lit(a) for a in assets])).alias("asset"), F.lit(1.0 / n).alias("weight")))
+def equal_weight_targets(panel: Panel, run_id: str, min_row: int = 0) -> DataFrame:
+    """1/n of all assets of the panel, set again at every rebalance from ``min_row`` on."""
+    held = panel.obs.select(*ASSET).distinct()
+    held = held.withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("universe")))
+    at = rebalances(panel.calendar).filter(F.col("reb_row") >= min_row).select("universe", "reb_no")
+    return held.join(at, "universe").select("universe", F.lit(run_id).alias("run_id"), "reb_no", "asset", "weight")
 
 
 def cross_section_targets(scored: DataFrame, panel: Panel, run_id: str, n: int, min_row: int) -> DataFrame:

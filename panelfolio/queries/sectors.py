@@ -47,13 +47,9 @@ def method_targets(panel: P.Panel, n: int = TOP) -> DataFrame:
 
 def basket_returns(panel: P.Panel, n: int = TOP) -> DataFrame:
     """The three selections and the equal-weight reference, from the first rebalance on."""
-    held = panel.obs.select("universe", "asset").distinct()
-    size = F.count(F.lit(1)).over(G.Window.partitionBy("universe"))
-    equal = held.withColumn("weight", 1 / size).join(P.rebalances(panel.calendar).select("universe", "reb_no"), "universe").select(
-        "universe", F.lit("equal").alias("run_id"), "reb_no", "asset", "weight")
     first = P.rebalances(panel.calendar).groupBy("universe").agg(F.min("reb_row").alias("need"))
     runs = first.select("universe", F.explode(F.array(*[F.lit(r) for r in ("momentum", "low_vol", "reversal", "equal")])).alias("run_id"), "need")
-    targets = stage(method_targets(panel, n).unionByName(equal), "targets")
+    targets = stage(method_targets(panel, n).unionByName(A.equal_weight_targets(panel, "equal")), "targets")
     return B.backtest_targets(targets, panel, runs)
 
 
@@ -62,8 +58,7 @@ def slot_timing(panel: P.Panel, n: int) -> DataFrame:
     real = panel.obs.filter("not is_filled")
     long_enough = P.min_history(real, MIN_ROW + 126)
     own = P.Panel(long_enough, panel.calendar)
-    slots = B.single_asset_timing(own, G.ts_momentum(long_enough, True), MIN_ROW)
-    return slots.groupBy("universe", "dt").agg((F.sum("net") / n).alias("net")).withColumn("run_id", F.lit("slots"))
+    return B.slot_book(own, G.ts_momentum(long_enough, True), MIN_ROW, "slots", n)
 
 
 @query

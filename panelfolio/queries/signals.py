@@ -146,15 +146,7 @@ def curve_timing(spark: SparkSession, sf: str) -> DataFrame:
     px = prices(spark, sf)
     curve = G.term_structure(settles(spark, sf)).select(F.lit("types").alias("universe"), F.col("product").alias("asset"), "dt", "curve")
     panel = P.prepare_panel(px, limit=0, staged=True)
-    # A curve value stays in force until the next one: union both time lines of the asset and carry the last value.
-    line = panel.obs.select("universe", "asset", "dt", "row_no", F.lit(None).cast("double").alias("curve"), F.lit(1).alias("kind")).unionByName(
-        curve.withColumn("row_no", F.lit(None).cast("int")).withColumn("kind", F.lit(0)))
-    w = G.Window.partitionBy("universe", "asset").orderBy("dt", "kind").rowsBetween(G.Window.unboundedPreceding, 0)
-    sig = line.withColumn("last_curve", F.last("curve", ignorenulls=True).over(w)).filter("kind = 1").withColumn(
-        "signal", F.when(F.col("last_curve") > 0, 1.0).otherwise(0.0))
-    slots = B.single_asset_timing(panel, sig, 200)
-    book = slots.groupBy("universe", "dt").agg((F.sum("net") / 6).alias("net")).withColumn("run_id", F.lit("curve_timing"))
-    return rounded(M.perf(book))
+    return rounded(M.perf(B.slot_book(panel, G.curve_signal(panel.obs, curve), 200, "curve_timing")))
 
 
 def two_series(panel: P.Panel) -> DataFrame:
