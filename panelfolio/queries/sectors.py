@@ -118,7 +118,7 @@ def pair_spread_z(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pair_states(spark: SparkSession, sf: str) -> DataFrame:
     s = PR.hysteresis_state(PR.spread_z(PR.pair_prices(market(spark, sf), ASSETS)))
-    return s.filter("pos <> 0").select("universe", "a", "b", "dt", "pos")
+    return s.select("universe", "a", "b", "dt", "pos")
 
 
 @query
