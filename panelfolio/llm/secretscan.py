@@ -3,7 +3,8 @@
 Two first-order models over 66 characters are trained from labelled samples. Random: strings hashed from numbers in the
 usual alphabets (hexadecimal, base 64, upper case) and the values the fixed patterns find in the corpus. Ordinary: the
 identifiers and words of ``SAMPLE`` different documents. A run of at least ``LEAST`` token characters is a secret if its log-likelihood
-ratio, in thousandths of a nat for each transition, reaches ``THRESHOLD``. Ratios are rounded to integers, so sums do not
+ratio, in thousandths of a nat for each transition, reaches ``THRESHOLD``; of a run that does not, the segments of ``LEAST``
+characters or more that do, such as a key behind a path. Ratios are rounded to integers, so sums do not
 depend on their order. The models are 66 x 66 numbers, a bound no corpus moves, and travel as a constant.
 
 Spans are found where the text is read: the parts between matches give the offsets, in code points. Nothing is shuffled but counts.
@@ -99,30 +100,104 @@ def train(labelled: DataFrame) -> list[int]:
     return [r["v"] for r in rows.select("code", ratio.alias("v")).orderBy("code").collect()]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _segments(excess: Column) -> Column:
+    """Segments (start, end), in characters and end exclusive, of a run whose transitions exceed the threshold by ``excess`` (first item 0).
+
+    Every segment has ``LEAST`` characters or more and a mean that reaches the threshold, and no such segment is left outside
+    them. One is opened where the running sum reaches the running minimum of the sums at least ``LEAST`` - 1 transitions before,
+    goes on to the largest sum after it, and begins at the smallest sum of its first transitions.
+    """
+    least = LEAST - 1
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    number = lambda v, name: F.lit(v).cast("long").alias(name)
+    place = lambda v, name: F.lit(v).cast("int").alias(name)
+    # p, q: sums up to transition j and j - least; low, at: least q since ``free``, the first character a segment may begin at
+    # first, start, end, base, peak: the last segment, where it was opened, and the sums at its start and end
+    start = F.struct(place(-1, "j"), number(0, "p"), number(0, "q"), number(None, "low"), place(0, "at"), place(0, "free"), place(0, "first"),
+                     place(None, "start"), place(None, "end"), number(None, "base"), number(None, "peak"), none.alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        moved = F.struct((a["j"] + 1).alias("j"), (a["p"] + x["new"]).alias("p"), (a["q"] + x["old"]).alias("q"))
+        return _let(moved, lambda m: _let(F.struct(
+            (m["j"] - least >= a["free"]).alias("may"),
+            ((m["j"] - least >= a["free"]) & (a["low"].isNull() | (m["q"] <= a["low"]))).alias("lower"),
+            F.coalesce(m["p"] > a["peak"], F.lit(False)).alias("longer")), lambda t: _let(F.struct(
+                F.when(t["lower"], m["q"]).otherwise(a["low"]).alias("low"), F.when(t["lower"], m["j"] - least).otherwise(a["at"]).alias("at")),
+                lambda l: _next(a, m, t, l))))
+
+    def _next(a: Column, m: Column, t: Column, l: Column) -> Column:
+        opened = ~t["longer"] & t["may"] & (m["p"] >= l["low"])
+        better = t["longer"] & (m["q"] < a["base"]) & (m["j"] - least > a["start"]) & (m["j"] - least - a["first"] < least)
+        ends = opened | t["longer"]
+        pick = lambda new, shifted, old, name: F.when(opened, new).when(better, shifted).otherwise(a[old]).alias(name)
+        closed = F.when(opened & a["start"].isNotNull(), F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), (a["end"] + 1).alias("end"))))).otherwise(a["out"])
+        return F.struct(m["j"].alias("j"), m["p"].alias("p"), m["q"].alias("q"), F.when(ends, F.lit(None).cast("long")).otherwise(l["low"]).alias("low"), l["at"].alias("at"),
+                        F.when(ends, m["j"] + 1).otherwise(a["free"]).alias("free"), F.when(opened, l["at"]).otherwise(a["first"]).alias("first"),
+                        pick(l["at"], m["j"] - least, "start", "start"), F.when(ends, m["j"]).otherwise(a["end"]).alias("end"),
+                        pick(l["low"], m["q"], "base", "base"), F.when(ends, m["p"]).otherwise(a["peak"]).alias("peak"), closed.alias("out"))
+
+    def finish(a: Column) -> Column:
+        return F.when(a["start"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), (a["end"] + 1).alias("end")))))
+
+    moves = _let(excess, lambda e: F.transform(e, lambda v, j: F.struct(v.alias("new"), F.coalesce(F.get(e, j - least), F.lit(0).cast("long")).alias("old"))))
+    return F.aggregate(moves, start, step, finish)
+
+
 def markov_spans(text: Column, ratios: list[int], threshold: int = THRESHOLD) -> Column:
-    """Runs of token characters whose ratio reaches the threshold."""
+    """Runs of token characters whose ratio reaches the threshold, and of other runs the segments that reach it."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
 
-    def likely(span: Column) -> Column:
+    def excess(span: Column) -> Column:
         codes = F.transform(F.split(span["value"], ""), lambda c: F.instr(F.lit(ALPHABET), c))
-        sums = F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("sum")), lambda a, c: F.struct(
-            c.alias("last"), (a["sum"] + F.when(a["last"] < 0, 0).otherwise(F.get(table, a["last"] * SIZE + c))).alias("sum")))
-        return sums["sum"] >= F.lit(threshold).cast("long") * (span["end"] - span["start"] - 1)
+        return _let(codes, lambda c: F.transform(c, lambda v, j: F.when(j == 0, F.lit(0)).otherwise(F.get(table, F.get(c, j - 1) * SIZE + v) - threshold).cast("long")))
+
+    def within(span: Column, e: Column) -> Column:
+        # the ends of a key may score low, so a segment goes on to the next of / _ - on either side, but not into another
+        def part(found: Column, s: Column, k: Column) -> Column:
+            cut = lambda a, b: F.split(F.substring(span["value"], a + 1, b - a), "[/_-]", -1)
+            before = cut(F.coalesce(F.when(k > 0, F.get(found, k - 1)["end"]), F.lit(0)), s["start"])
+            after = cut(s["end"], F.coalesce(F.get(found, k + 1)["start"], span["end"] - span["start"]))
+            more = F.when((k == 0) | (F.size(before) > 1), F.char_length(F.element_at(before, -1))).otherwise(0)
+            sides = F.struct((s["start"] - more).alias("a"), (s["end"] + F.char_length(F.get(after, 0))).alias("b"))
+            return _let(sides, lambda x: F.struct((span["start"] + x["a"]).alias("start"), span["kind"].alias("kind"), (span["start"] + x["b"]).alias("end"),
+                                                  F.substring(span["value"], x["a"] + 1, x["b"] - x["a"]).alias("value")).cast(SPAN))
+
+        return _let(_segments(e), lambda found: F.transform(found, lambda s, k: part(found, s, k)))
+
+    def likely(span: Column) -> Column:
+        return _let(excess(span), lambda e: F.when(F.aggregate(e, F.lit(0).cast("long"), lambda a, v: a + v) >= 0, F.array(span)).otherwise(within(span, e)))
 
     runs = find(text, f"{RUN}{{{LEAST},}}", "markov")
-    return F.when(text.rlike(f"{RUN}{{{LEAST}}}"), F.filter(runs, likely)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(f"{RUN}{{{LEAST}}}"), F.flatten(F.transform(runs, likely))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _outside(span: Column, base: Column) -> Column:
+    """The parts of ``span`` outside all ``base`` spans, which are in order of their starts."""
+    part = lambda a, b: F.struct(a.alias("start"), span["kind"].alias("kind"), b.alias("end"), F.substring(span["value"], a - span["start"] + 1, b - a).alias("value")).cast(SPAN)
+    begin = F.struct(span["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts"))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] > acc["at"], F.concat(acc["parts"], F.array(part(acc["at"], b["start"])))).otherwise(acc["parts"]).alias("parts"))
+
+    meets = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    return F.aggregate(meets, begin, step, lambda acc: F.when(acc["at"] < span["end"], F.concat(acc["parts"], F.array(part(acc["at"], span["end"])))).otherwise(acc["parts"]))
 
 
 def scan(docs: DataFrame, ratios: list[int], threshold: int = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` (text, ...) plus base_spans and spans, arrays of ``SPAN`` in code points, end exclusive.
 
-    Null text: as empty, no spans. A model's span that overlaps a base span is left out; base spans always stay. Columns
+    Null text: as empty, no spans. Of a model's span the parts outside base spans stay; base spans always stay. Columns
     named as the two new ones are replaced. Repeated rows are scanned each; an empty table gives no rows.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     row = row.withColumn("scanned", F.coalesce(F.col("row.text").cast("string"), F.lit("")))
     both = row.select("row", base_spans(F.col("scanned")).alias("base"), markov_spans(F.col("scanned"), ratios, threshold).alias("model"))
-    apart = F.filter("model", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    apart = F.flatten(F.transform("model", lambda m: _outside(m, F.col("base"))))
     both = both.select("row", F.col("base").alias("base_spans"), F.array_sort(F.concat("base", apart)).alias("spans"))
     return both.select(*others(docs, "row", ["base_spans", "spans"]), "base_spans", "spans")
 

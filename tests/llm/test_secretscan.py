@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from helpers import LONG, empty_documents, hard_documents, with_clashes
 from pyspark.sql import functions as F
 
@@ -62,3 +63,46 @@ def test_hard_rows_and_empty_table(spark):
     got = S.scan(docs, [0] * S.SIZE**2)
     assert got.count() == docs.count() and all(r["spans"] == [] and r["base"] == "x" for r in got.collect())
     assert S.scan(empty_documents(spark), S.train(S.samples(empty_documents(spark)))).count() == 0
+
+
+def test_keys_inside_longer_runs(spark):
+    ratios = model(spark)
+    rng = np.random.default_rng(3)
+    key = lambda n: "".join(rng.choice(list(S.ALPHABET[:62]), n))
+    path = lambda n: "/".join(rng.choice(["quick", "brown", "jumps", "lazy", "while", "pretty", "stand", "words"], n))
+    texts = []
+    for _ in range(40):
+        texts.append(("see /" + path(12) + "/", key(32), "/" + path(3) + " end"))
+        texts.append((path(9).replace("/", "_") + "_", key(24), ""))
+    docs = spark.createDataFrame([(i, "".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in S.scan(docs, ratios).select("doc_id", "spans").collect()}
+    for i, (before, k, _) in enumerate(texts):
+        a, e = len(before), len(before) + len(k)
+        assert sum(max(0, min(e, y) - max(a, x)) for x, y in found[i]) == len(k), texts[i]
+        assert sum(y - x for x, y in found[i]) <= len(k) + 20  # the path stays
+
+
+def test_segments_are_all_that_reach_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    least, runs = S.LEAST - 1, []
+    for n in [19, 20, 21, 40, 75, 150, 400] * 20:
+        level = np.repeat(rng.choice([-3, -1, 1, 2], n // 10 + 1), 10)[:n]
+        runs.append([0] + [int(v) for v in rng.integers(-4, 5, n) + level][1:])
+    df = spark.createDataFrame(list(enumerate(runs)), "i long, e array<long>")
+    got = {r["i"]: [(s["start"], s["end"]) for s in r["s"]] for r in df.select("i", S._segments(F.col("e")).alias("s")).collect()}
+    assert any(len(v) > 1 for v in got.values())
+    for i, e in enumerate(runs):
+        sums = np.cumsum(e)
+        at = 0
+        for a, b in [*got[i], (len(e), len(e))]:
+            assert a >= at
+            assert a == len(e) or b - a > least and sums[b - 1] >= sums[a]
+            assert all(sums[y] < sums[x] for x in range(at, a) for y in range(x + least, a))  # nothing is left between
+            at = b
+
+
+def test_rest_of_a_model_span_stays(spark):
+    text = "x Zk9qX2vB7mN4pL8sT1wY" + "deadbeef01" * 3 + "Rq7cR6hJ3gD5fA0Wm2 end"
+    spans = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model(spark)).first()["spans"]
+    assert [S.KINDS[s["kind"]] for s in spans] == ["markov", "hex", "markov"]
+    assert "".join(text[s["start"] : s["end"]] for s in spans) == text[2:-4] == "".join(s["value"] for s in spans)
