@@ -63,6 +63,9 @@ def zscore(i: str, gate: bool) -> list[str]:
 S["zscore_weights"] = Q.with_(Q.base() + zscore("gated", True), Q.final("zwgated", ["universe", "asset", "row_no"], ["weight"], where="weight > 0"))
 S["zscore_reversion"] = Q.with_(Q.base() + zscore("open", False) + zscore("gated", True) + [
     "za as (select * from zropen where row_no >= 199 union all select * from zrgated where row_no >= 199)"] + Q.perf("za"), Q.final("pf", ["universe", "run_id"], Q.PERF))
+S["zscore_reversion_whole"] = Q.with_(Q.base() + zscore("open", False) + zscore("gated", True) + [
+    "zf as (select universe, min(row_no) f from (select universe, row_no from zopen group by 1, 2 having count(*) = 5) group by 1)",
+    "za as (select r.* from (select * from zropen union all select * from zrgated) r join zf using (universe) where row_no >= f)"] + Q.perf("za"), Q.final("pf", ["universe", "run_id"], Q.PERF))
 
 OLS = """ols as (select universe, asset, dt, close, case when k = 18 then regr_slope(high, low) over w end slope, case when k = 18 then regr_r2(high, low) over w end r2 from
  (select *, count(*) over (partition by universe, asset order by dt rows between 17 preceding and current row) k from {src})

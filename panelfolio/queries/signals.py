@@ -78,6 +78,20 @@ def zscore_reversion(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.perf(runs.filter("row_no >= 199")))
 
 
+@query
+def zscore_reversion_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Both books from their first day with valid weights of all assets; a gate without its average is shut, which is valid."""
+    panel = market(spark, sf)
+    runs = None
+    for name, gate in (("open", None), ("gated", 200)):
+        w = G.zscore_weights(panel, list(T.TYPES.pool), BOND, BENCH, 20, gate)
+        first = w.filter(F.col("asset") != BOND).groupBy("universe", "row_no").count().filter(F.col("count") == len(T.TYPES.pool))
+        first = first.groupBy("universe").agg(F.min("row_no").alias("first"))
+        r = B.daily_weights_backtest(w, panel, name).join(first, "universe").filter("row_no >= first").drop("first")
+        runs = r if runs is None else runs.unionByName(r)
+    return rounded(M.perf(runs))
+
+
 @query
 def rolling_ols(spark: SparkSession, sf: str) -> DataFrame:
     fits = G.rolling_ols(T.test_prices(spark, sf), 18)

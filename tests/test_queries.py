@@ -59,3 +59,9 @@ def test_staged_tables_follow_the_configured_folder(spark):
     with pytest.raises(ValueError):
         shared_dir(FakeSession(None))
     assert stage(spark.range(3), "t").count() == 3
+
+
+def test_reversion_books_start_at_their_first_weights(spark):
+    years = lambda name: {r["run_id"]: r["years"] for r in entry.queries()[name](spark, SF).collect()}
+    cut, whole = years("zscore_reversion"), years("zscore_reversion_whole")
+    assert set(cut) == set(whole) == {"open", "gated"} and all(whole[k] > cut[k] + 0.45 for k in whole)
