@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelfolio.llm import chattree, jaccard, mixing, packing, phrases, quality, secretscan, topk, toxicity, warc
+from panelfolio.llm import chattree, hnsw, jaccard, mixing, packing, phrases, quality, secretscan, spelling, topk, toxicity, warc, whitening
 from panelfolio.llm.common import new_folder, stage, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,38 @@ def op3_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16)
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query("""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i)) as t),
+runs as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as c
+  from (select coalesce(cast(doc_id as varchar), '') as doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents) group by all),
+bytes as (select *, hex(encode(doc_id || ':' || run)) as x from runs),
+h as (select run, c, xor(4294967295, list_reduce(list_transform(range(1, length(x), 2), lambda i: cast('0x' || substr(x, i, 2) as bigint)),
+  lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295)) as h from bytes, crc),
+w as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from h),
+words as (select word, cast(sum(c) as bigint) as n from w where length(word) >= 6 group by word having sum(c) >= 5),
+gaps as (select word, n, unnest(range(0, length(word))) as i from words),
+shapes as (select word, n, substr(word, 1, i) || '?' || substr(word, i + 2) as shape from gaps),
+cut as (select distinct word, n, substr(word, 1, i) || substr(word, i + 2) as shape from gaps),
+near as (select a.word, b.word as other, b.n as m from shapes a join shapes b using (shape) where a.word <> b.word
+  union select c.word, s.word, s.n from cut c join words s on s.word = c.shape union select s.word, c.word, c.n from cut c join words s on s.word = c.shape),
+ranked as (select word, other, m, count(*) over (partition by word) as k from near qualify row_number() over (partition by word order by m desc, other) = 1),
+known as (select word, n, coalesce(k, 0) as n_near, case when m >= 5 * n then other end as form, case when m >= 5 * n then m end as form_n from words left join ranked using (word)),
+steps as (select word, word as root from known union all select s.word, k.form from steps s join known k on k.word = s.root where k.form is not null),
+ends as (select s.word, s.root from steps s join known k on k.word = s.root where k.form is null)
+select word, form, root, n, n_near, form_n from known join ends using (word)
+""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), least_length=6, least_count=5, one_in=199), ratio=5)
+
+
+@query()
+def op13_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
