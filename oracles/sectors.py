@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 from oracles import sql as Q
-from oracles.portfolios import FULL, UR
+from oracles.portfolios import FULL, UR, cdf
 from oracles.signals import timing
 from panelfolio import testpanel as T
+from panelfolio.functions import scalars as SC
 
 S: dict[str, str] = {}
 U = T.TYPES
@@ -100,11 +101,31 @@ S["pair_perf"] = Q.with_(PAIRS + STATE + ["""pn as (select universe, a || '/' ||
     "pa2 as (select universe, run_id, dt, net from pn union all select universe, 'mean', dt, avg(net) from pn group by 1, 2, 3)"] + Q.perf("pa2") + [
     "pt as (select pf.*, coalesce(n_trades, 0) n_trades from pf left join (select run_id, count(*) filter (ch) n_trades from pn group by 1) using (run_id))"],
     Q.final("pt", UR + ["n_trades"], Q.PERF))
-S["pair_screen"] = Q.with_(PAIRS + ["er as (select p.universe, p.a, p.b, p.dt, pa - s * p.pb - i e from pp p join (select a, b, regr_slope(pa, pb) s, regr_intercept(pa, pb) i from pp group by 1, 2) using (a, b))",
-    "ed as (select *, e - x d, lag(e - x) over (partition by a, b order by dt) l from (select *, lag(e) over (partition by a, b order by dt) x from er))",
-    """em as (select universe, a, b, count(*) n, sum(d * d) dd, sum(d * x) dx, sum(d * l) dl, sum(x * x) xx, sum(x * l) xl, sum(l * l) ll from ed where l is not null group by 1, 2, 3)""",
-    "eb as (select *, (dx * ll - dl * xl) / (xx * ll - xl * xl) rho, (dl * xx - dx * xl) / (xx * ll - xl * xl) gam from em)",
-    "et as (select *, rho / sqrt((dd - rho * dx - gam * dl) / (n - 2) * ll / (xx * ll - xl * xl)) tstat from eb)",
-    "ec as (select *, case when tstat < -3.89644 - 10.9519 / n then '<0.01' when tstat < -3.33613 - 6.1101 / n then '<0.05' when tstat < -3.04445 - 4.2412 / n then '<0.10' else '>=0.10' end band from et)",
-    "es as (select *, count(*) filter (band <> '>=0.10') over () c, row_number() over (order by tstat, a, b) k from ec)"],
-    Q.final("es", ["universe", "a", "b", "n", "band"], ["tstat"], where="(c > 0 and band <> '>=0.10') or (c = 0 and k <= 2)"))
+
+
+def _tested(name: str, lags: str) -> list[str]:
+    """Regressions by definition: every row's variables as a list (level, change, lagged changes), all cross products summed, lags eliminated in turn."""
+    return [f"""{name}v as (select a, b, k, t, lags, [e0, d] || ds v from (select r.a, r.b, r.k, r.t, l.lags, r.x e0, r.d, list(q.d order by q.k desc) ds
+ from ed r join {lags} l on l.a = r.a and l.b = r.b join ed q on q.a = r.a and q.b = r.b and q.k between r.k - l.lags and r.k - 1 where r.k > l.lags group by all
+ union all select r.a, r.b, r.k, r.t, 0, r.x, r.d, [] from ed r join {lags} l on l.a = r.a and l.b = r.b where l.lags = 0))""",
+            f"""{name}c as (select a, b, t, lags, i, j, sum(v[i] * v[j]) s from {name}v, range(1, lags + 3) g(i), range(1, lags + 3) h(j) group by all)""",
+            f"""{name}m as (select a, b, t, lags, 0 p, list(s order by i, j) m from {name}c group by all
+ union all select a, b, t, lags, p + 1, list_transform(m, lambda v, i: v - m[(i - 1) // (lags + 2) * (lags + 2) + p + 3] * m[(p + 2) * (lags + 2) + (i - 1) % (lags + 2) + 1] / m[(p + 2) * (lags + 2) + p + 3])
+ from {name}m where p < lags)""",
+            f"""{name}r as (select a, b, t, lags, p, m[2] / m[1] rho, m[1] sxx, m[lags + 4] - m[2] * m[2] / m[1] rss, t - 1 - lags nobs from {name}m)""",
+            f"""{name} as (select *, rho / sqrt(rss / (nobs - p - 1) / sxx) tstat, nobs * ln(rss / nobs) + 2 * (p + 1) aic from {name}r)"""]
+
+
+def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    return " + ".join(f"({c}) * {x} ** {i}" for i, c in enumerate(coefficients))
+
+
+TESTS = PAIRS + ["""er as (select p.a, p.b, p.dt, p.t, pa - s * p.pb - i e from pp p join (select a, b, regr_slope(pa, pb) s, regr_intercept(pa, pb) i from pp group by 1, 2) using (a, b))""",
+    "ed as (select * from (select a, b, t, row_number() over w - 1 k, lag(e) over w x, e - lag(e) over w d from er window w as (partition by a, b order by dt)) where k > 0)",
+    "lg as (select distinct a, b, cast(ceil(12 * (t / 100) ** 0.25) as int) lags from ed)"] + _tested("ea", "lg") + [
+    "cl as (select a, b, arg_min(p, (aic, p)) lags from ea group by 1, 2)"] + _tested("eb", "cl") + [
+    f"""ep as (select a, b, t n, cast(lags as int) lag, tstat, case when tstat <= {SC.RESIDUAL_TURN} then {_polynomial(SC.RESIDUAL_SMALL, "tstat")} else {_polynomial(SC.RESIDUAL_LARGE, "tstat")} end z from eb where p = lags)""",
+    f"""ez as (select 'types' universe, a, b, n, lag, tstat, case when tstat < {SC.RESIDUAL_LEAST} then 0.0 when tstat > {SC.RESIDUAL_MOST} then 1.0 else {cdf("z")} end p from ep)""",
+    "es as (select *, count(*) filter (p < 0.1) over () c, row_number() over (order by p, a, b) k from ez)"]
+S["pair_tests"] = Q.with_(TESTS, Q.final("es", ["universe", "a", "b", "n", "lag"], ["tstat", "p"]))
+S["pair_screen"] = Q.with_(TESTS, Q.final("es", ["universe", "a", "b", "n", "lag"], ["tstat", "p"], where="(c > 0 and p < 0.1) or (c = 0 and k <= 2)"))

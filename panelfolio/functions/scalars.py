@@ -64,6 +64,19 @@ def norm_ppf(p: Column) -> Column:
     return F.when((p > 0) & (p < 1), value)
 
 
+# Response surface for the residual test of two series with a constant, MacKinnon (1994), tables 3 and 4:
+# powers of the statistic, lowest first, below and above the turning point; limits beyond which the probability is 0 or 1.
+RESIDUAL_SMALL = (2.92, 1.5012, 0.039796)
+RESIDUAL_LARGE = (2.1945, 0.64695, -0.29198, -0.042377)
+RESIDUAL_TURN, RESIDUAL_LEAST, RESIDUAL_MOST = -2.62, -18.86, 0.92
+
+
+def residual_test_p(t: Column) -> Column:
+    """Probability of a residual unit-root statistic as low as ``t`` without cointegration."""
+    p = norm_cdf(F.when(t <= RESIDUAL_TURN, poly(t, RESIDUAL_SMALL[::-1])).otherwise(poly(t, RESIDUAL_LARGE[::-1])))
+    return F.when(t.isNull(), F.lit(None)).when(t < RESIDUAL_LEAST, F.lit(0.0)).when(t > RESIDUAL_MOST, F.lit(1.0)).otherwise(p)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null when b is zero (ANSI mode raises otherwise)."""
     return a / F.nullif(b, F.lit(0.0))

@@ -6,10 +6,13 @@ between rebalances, so a holding is one row per (run, asset, decision), never on
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelfolio.operators.panel import ASSET, Panel, daily_returns, rebalances
+from panelfolio.operators.scan import running
 from panelfolio.operators.signals import hold_between_rebalances
 from panelfolio.params import COST_RATE
 
@@ -61,18 +64,43 @@ def execute_all(targets: DataFrame, calendar: DataFrame) -> DataFrame:
         "until", F.coalesce("until", "n_reb")).drop("n_reb")
 
 
-def _filled(old: Column, row: Column) -> Column:
-    target = row["target"]
-    leave = F.when((old > 1e-12) & ~row["cant_sell"], F.lit(0.0)).otherwise(old)
-    blocked = ((target > old + 1e-9) & row["cant_buy"]) | ((target < old - 1e-9) & row["cant_sell"])
-    return F.when(target.isNull(), leave).when(blocked, old).otherwise(target)
+SOME = math.nextafter(1e-12, 1.0)  # the least weight that a sale finds
+EVERY = float("inf")
+
+
+def _piece(low: Column, high: Column, value: Column) -> Column:
+    return F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"), value.cast("double").alias("value"))
+
+
+def decision_map() -> Column:
+    """A decision as a map from the old weight to the new one: pieces on which the new weight is a constant, elsewhere the old
+    one stays. Where the target cannot be bought old weights below it stay, where it cannot be sold those above it."""
+    target, buy, sell = F.col("target"), F.col("cant_buy"), F.col("cant_sell")
+    low = F.when(buy, target - 1e-9).otherwise(F.lit(-EVERY))
+    high = F.when(sell, target + 1e-9).otherwise(F.lit(EVERY))
+    nothing = F.array().cast("array<struct<low:double,high:double,value:double>>")
+    leave = F.when(sell, nothing).otherwise(F.array(_piece(F.lit(SOME), F.lit(EVERY), F.lit(0.0))))
+    return F.when(target.isNull(), leave).otherwise(F.array(_piece(low, high, target)))
+
+
+def weight_after(pieces: Column, old: Column) -> Column:
+    """The value of the first piece that holds the old weight, else the old weight."""
+    return F.coalesce(F.get(F.filter(pieces, lambda p: (p["low"] <= old) & (old <= p["high"])), 0)["value"], old)
+
+
+def then(first: Column, second: Column) -> Column:
+    """First one map, then the other: the first one's constants go through the second, whose own pieces serve what is left.
+    Pieces behind the whole line, and those that the piece before holds, are never reached and leave."""
+    moved = F.transform(first, lambda p: _piece(p["low"], p["high"], weight_after(second, p["value"])))
+    fresh = F.filter(second, lambda q: ~F.exists(first, lambda p: (p["low"] <= q["low"]) & (q["high"] <= p["high"])))
+    whole = F.exists(second, lambda q: (q["low"] == -EVERY) & (q["high"] == EVERY)) & (F.size(second) == 1)
+    return F.when(whole, second).otherwise(F.concat(moved, fresh))
 
 
 def execute_with_limits(grid: DataFrame, flags: DataFrame, calendar: DataFrame) -> DataFrame:
     """Blocked sides keep the old weight. ``flags``: universe, asset, dt, cant_buy, cant_sell; missing = tradable.
 
-    The old weight is path dependent, so each (run, asset) folds over its own decisions; the array is bounded by the
-    number of month ends.
+    The old weight is path dependent; decisions are maps on it, composed by a running scan from weight 0.
     """
     fill_rows = rebalances(calendar).select("universe", "reb_no", (F.col("reb_row") + 1).alias("row_no"))
     fill_dates = fill_rows.join(calendar.select("universe", "row_no", "dt"), ["universe", "row_no"]).select(
@@ -80,15 +108,8 @@ def execute_with_limits(grid: DataFrame, flags: DataFrame, calendar: DataFrame)
     at_fill = flags.filter("cant_buy or cant_sell").join(fill_dates, ["universe", "dt"]).select(
         *ASSET, "reb_no", "cant_buy", "cant_sell")
     rows = grid.join(at_fill, [*ASSET, "reb_no"], "left").na.fill(False, ["cant_buy", "cant_sell"])
-    step = F.struct("dec_no", "reb_no", "target", "cant_buy", "cant_sell")
-    path = rows.groupBy(*RUN, "asset").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    start = F.struct(F.lit(0.0).alias("old"), F.array().cast("array<double>").alias("path"))
-    folded = F.aggregate("steps", start, lambda acc, row: F.struct(
-        _filled(acc["old"], row).alias("old"), F.array_append(acc["path"], _filled(acc["old"], row)).alias("path")),
-        lambda acc: acc["path"])
-    out = path.select(*RUN, "asset", F.explode(F.arrays_zip("steps", folded.alias("weight"))).alias("z"))
-    return out.select(*RUN, "asset", F.col("z.steps.dec_no").alias("dec_no"), F.col("z.steps.reb_no").alias("reb_no"),
-                      F.col("z.weight").alias("weight"))
+    done = running(rows, (*RUN, "asset"), "dec_no", decision_map(), then, "_map")
+    return done.select(*RUN, "asset", "dec_no", "reb_no", weight_after(F.col("_map"), F.lit(0.0)).alias("weight"))
 
 
 def with_periods(holdings: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -132,7 +132,13 @@ def pair_perf(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.perf(each.select(*cols).unionByName(mean.select(*cols))).join(trades, ["universe", "run_id"], "left").na.fill(0, ["n_trades"]))
 
 
+@query
+def pair_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Chosen lag, statistic and probability of every pair."""
+    return rounded(PR.cointegration(PR.pair_prices(market(spark, sf), ASSETS)))
+
+
 @query
 def pair_screen(spark: SparkSession, sf: str) -> DataFrame:
     tests = PR.cointegration(PR.pair_prices(market(spark, sf), ASSETS))
-    return rounded(PR.pair_screen(tests).select("universe", "a", "b", "n", "tstat", "band"))
+    return rounded(PR.pair_screen(tests))
