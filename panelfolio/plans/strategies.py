@@ -122,8 +122,8 @@ def member_returns(members: DataFrame, panel: Panel, window: int) -> DataFrame:
     The previous target is that of the previous month end; k = 1 is the latest return.
     """
     before = members.select("universe", (F.col("reb_no") + 1).alias("reb_no"), "member", "asset", "weight")
-    tails = A.in_force_at_rebalances(G.with_tail(G.with_observations(panel.obs), window)).select(
-        "universe", "asset", "reb_no", F.col(f"tail_{window}").alias("tail"))
+    closes = A.closes_at_rebalances(panel.obs.select(*ASSET, "row_no", "reb_before", "n_reb", "close"), window + 1)
+    tails = closes.select("universe", "asset", "reb_no", F.filter(A.returns_of(F.col("closes")), lambda r: r.isNotNull()).alias("tail"))
     rows = before.join(tails, ["universe", "asset", "reb_no"]).withColumn(
         "len", F.min(F.size("tail")).over(Window.partitionBy("universe", "reb_no"))).filter("len > 0")
     spread = rows.select("universe", "reb_no", "member", "weight", "tail", "len", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("k"))
