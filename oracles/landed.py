@@ -13,8 +13,8 @@ S["vendor_files"] = Q.with_(PX + ["l as (select *, lag(close) over (partition by
     "v as (select *, case when date_trunc('quarter', dt) <> date_trunc('quarter', bd) then before * 0.8 else before end pre_close from l)"],
     Q.final("v", ["universe", "asset", "dt"], ["close", "pre_close"]))
 S["price_csv_files"] = Q.with_(PX, Q.final("px", ["universe", "asset", "dt"], ["close"]))
-S["localized_bar_files"] = Q.with_(PX, "select dt, round(low, 6) as open, round(close, 6) as close, round(high, 6) as high, round(low, 6) as low, cast(volume as double) as volume from px "
-                                   f"where asset = '{T.TYPES.benchmark}' and day(dt) % 7 <> 0")
+S["localized_bar_files"] = Q.with_(PX, "select asset, dt, round(low, 8) as open, round(close, 8) as close, round(high, 8) as high, round(low, 8) as low, cast(volume as double) as volume from px "
+                                   "where day(dt) % 7 <> 0")
 S["settle_files"] = Q.with_(PX + ["""c as (select substr(asset, 1, 2) as product, strftime(dt + interval 1 month, '%y%m') as ym4, dt, close as settle from px)"""],
     "select product || ym4 || '.SHF' as contract, product, cast(200000 + cast(ym4 as int) as int) as ym, dt, round(settle, 6) + 0.0 as settle from c")
 S["report_files"] = Q.with_(PX, "select universe, asset as run_id, count(*) as days, round(avg(close), 6) + 0.0 as mean_close from px group by 1, 2")

@@ -58,14 +58,14 @@ LIM = """lim as (select *, case asset when 'PROMO' then 0.02::double when 'SMALL
 FLAG = """fl as (select *, coalesce(close >= round(pre_close * (1 + limit_pct), 2), false) cant_buy,
  coalesce(close <= round(pre_close * (1 - limit_pct), 2), false) cant_sell from lim)"""
 S["limit_flags"] = Q.with_(PX + [PRE, LIM.format(src="pre"), FLAG], Q.final("fl", ["universe", "asset", "dt", "cant_buy", "cant_sell"],
-                                                                           ["close", "pre_close", "limit_pct"], where="cant_buy or cant_sell"))
+                                                                           ["close", "pre_close", "limit_pct"]))
 LAGGED = "lg as (select *, lag(close) over (partition by universe, asset order by dt) pre_close from px)"
 S["limit_flags_derived"] = Q.with_(PX + [LAGGED, LIM.format(src="lg"), FLAG], """select universe, asset,
  count(*) filter (cant_buy) n_buy, count(*) filter (cant_sell) n_sell from fl group by 1, 2""")
 S["limit_flags_approx"] = Q.with_(PX + [LAGGED, LIM.format(src="lg"), """ap as (select *, coalesce(move >= limit_pct - 1e-4, false) cant_buy,
  coalesce(move <= -limit_pct + 1e-4 and not coalesce(move >= limit_pct - 1e-4, false), false) cant_sell
  from (select *, close / pre_close - 1 move from lim))"""],
-    Q.final("ap", ["universe", "asset", "dt", "cant_buy", "cant_sell"], ["move"], where="cant_buy or cant_sell"))
+    Q.final("ap", ["universe", "asset", "dt", "cant_buy", "cant_sell"], ["move"]))
 S["quality_guard"] = Q.with_(PX + [LAGGED, LIM.format(src="lg"), "qg as (select *, close / pre_close - 1 move from lim)"],
                              Q.final("qg", ["universe", "asset", "dt"], ["move"], where="abs(move) > limit_pct * 1.5"))
 S["daily_returns"] = Q.with_(PX + Q.panel(None, 0) + ["""r as (select universe, asset, dt, coalesce(ret, 0) ret_pad,
@@ -74,7 +74,7 @@ S["daily_returns"] = Q.with_(PX + Q.panel(None, 0) + ["""r as (select universe,
 S["month_ends"] = Q.with_(PX + Q.panel(None), """select universe, reb_no, row_no reb_row, dt signal_dt from cal where is_month_end and row_no >= 126""")
 S["month_end_days"] = """with o as (select distinct cast(o_orderdate as date) dt from orders),
  c as (select date_trunc('month', l_shipdate) m, cast(max(l_shipdate) as date) dt from lineitem join part on l_partkey = p_partkey where l_quantity > 0 group by 1)
- select 'types' universe, o.dt, true is_month_end from o join c using (dt)"""
+ select 'types' universe, o.dt, c.dt is not null is_month_end from o left join c using (dt)"""
 S["near_trading_days"] = Q.with_(PX + Q.panel(None), """select 'types' universe, cast(d as varchar) target_id, c.dt as_of_dt, coalesce(c.row_no, -1) as_of_row
  from (select distinct cast(o_orderdate as date) d from orders) o asof left join cal c on o.d >= c.dt""")
 S["long_history_assets"] = Q.with_(Q.prices("p_brand"), """select universe, asset, count(*) n_obs, min(dt) first_dt, round(avg(close), 6) mean_close

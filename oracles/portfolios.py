@@ -243,7 +243,7 @@ S["normal_functions"] = f"""with recursive c as (select c_custkey, c_acctbal / 2
 S["candidate_report"] = Q.with_(Q.base() + Q.runs([FULL], U, name="base_r") + [TSM, REG,
     "s2 as (select universe, asset, dt, close, case when n >= 201 and mom > 0 and close > ma then 1.0 else 0.0 end sig from ts where asset = 'STANDARD')"] + timing("s2", "t2", 200)
     + zscore("zscore", False) + Q.hold_asset([("ECONOMY", 0.6), ("STANDARD", 0.4)], "60_40", "bh") + [
-    """ca as (select universe, 'bond' run_id, dt, net from t2 union all select universe, 'zscore', dt, net from zrzscore where row_no >= 19 union all select universe, run_id, dt, net from bh)""",
+    """ca as (select universe, 'bond' run_id, dt, net from t2 union all select universe, 'zscore', dt, net from zrzscore where row_no >= (select min(row_no) from (select row_no from zzscore group by 1 having count(*) = 5)) union all select universe, run_id, dt, net from bh)""",
     "bo as (select c.universe, c.run_id, c.dt, c.net, b.net b from ca c join base_r b using (universe, dt))", "mi as (select universe, run_id, dt, 0.5 * net + 0.5 * b net from bo)"]
     + Q.perf("ca", name="pf") + Q.perf("mi", name="pm") + [
     "an as (select universe, run_id, avg(net) / (stddev_samp(net) + 1e-12) * sqrt(252) own_sharpe from ca group by 1, 2)",

@@ -93,7 +93,7 @@ STATE = ["""hs as (select a, b, k, case when z is null then 0 when z < -2.0 then
  union all select p.a, p.b, p.k, case when z is null then state when state = 0 then case when z < -2.0 then 1 when z > 2.0 then -1 else 0 end
  when state = 1 and z > -0.5 then 0 when state = -1 and z < 0.5 then 0 else state end from hs join pz p on p.a = hs.a and p.b = hs.b and p.k = hs.k + 1)""",
          "po as (select pz.*, case when z is null then 0 else state end pos from pz join hs using (a, b, k))"]
-S["pair_spread_z"] = Q.with_(PAIRS, Q.final("pz", ["universe", "a", "b", "dt"], ["beta", "z"], where="z is not null"))
+S["pair_spread_z"] = Q.with_(PAIRS, Q.final("pz", ["universe", "a", "b", "dt"], ["beta", "z"]))
 S["pair_states"] = Q.with_(PAIRS + STATE, "select universe, a, b, dt, pos from po")
 S["pair_perf"] = Q.with_(PAIRS + STATE + ["""pn as (select universe, a || '/' || b run_id, dt, p2 * (0.5 * ra - 0.5 * beta * rb) - abs(p1 - p2) * 0.5 * (1 + abs(beta)) * 0.00075 net, ch from (
  select *, coalesce(pa / lag(pa) over w - 1, 0) ra, coalesce(pb / lag(pb) over w - 1, 0) rb, coalesce(lag(pos, 1) over w, 0) p1, coalesce(lag(pos, 2) over w, 0) p2, coalesce(pos <> lag(pos) over w, false) ch

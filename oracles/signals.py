@@ -37,7 +37,7 @@ S["trend_flags"] = Q.with_(Q.base() + ["""f as (select universe, asset, dt,
  n >= 200 and close < avg(close) over (w rows between 199 preceding and current row) below_200,
  coalesce(n > 22 and close / lag(close, 21) over w - 1 >= 0.10, false) rebound,
  n > 126 and close / max(close) over (w rows between 125 preceding and current row) - 1 <= -0.10 fallen
- from obs window w as (partition by universe, asset order by n))"""], "select * from f where below_200 or rebound or fallen")
+ from obs window w as (partition by universe, asset order by n))"""], "select * from f")
 
 TSM = """ts as (select universe, asset, dt, n, row_no, close, (close / lag(close, 21) over w + close / lag(close, 63) over w + close / lag(close, 126) over w - 3) / 3 mom,
  avg(close) over (w rows between 199 preceding and current row) ma from obs window w as (partition by universe, asset order by n))"""
@@ -60,22 +60,21 @@ def zscore(i: str, gate: bool) -> list[str]:
  select *, coalesce(lag(weight, 1) over w, 0) w1, coalesce(lag(weight, 2) over w, 0) w2 from zd{i} window w as (partition by asset order by row_no)) group by 1, 2, 3, 4)"""]
 
 
-S["zscore_weights"] = Q.with_(Q.base() + zscore("gated", True), Q.final("zwgated", ["universe", "asset", "row_no"], ["weight"], where="weight > 0"))
-S["zscore_reversion"] = Q.with_(Q.base() + zscore("open", False) + zscore("gated", True) + [
-    "za as (select * from zropen where row_no >= 199 union all select * from zrgated where row_no >= 199)"] + Q.perf("za"), Q.final("pf", ["universe", "run_id"], Q.PERF))
+S["zscore_weights"] = Q.with_(Q.base() + zscore("gated", True), Q.final("zwgated", ["universe", "asset", "row_no"], ["weight"]))
 S["zscore_reversion_whole"] = Q.with_(Q.base() + zscore("open", False) + zscore("gated", True) + [
     "zf as (select universe, min(row_no) f from (select universe, row_no from zopen group by 1, 2 having count(*) = 5) group by 1)",
     "za as (select r.* from (select * from zropen union all select * from zrgated) r join zf using (universe) where row_no >= f)"] + Q.perf("za"), Q.final("pf", ["universe", "run_id"], Q.PERF))
+S["zscore_reversion"] = S["zscore_reversion_whole"]
 
 OLS = """ols as (select universe, asset, dt, close, case when k = 18 then regr_slope(high, low) over w end slope, case when k = 18 then regr_r2(high, low) over w end r2 from
  (select *, count(*) over (partition by universe, asset order by dt rows between 17 preceding and current row) k from {src})
  window w as (partition by universe, asset order by dt rows between 17 preceding and current row))"""
 SCORE = """sc as (select *, coalesce(score > 0.7, false) "signal" from (select *, case when count(slope) over w = 600 then (slope - avg(slope) over w) / stddev_samp(slope) over w * r2 end score
  from ols window w as (partition by universe, asset order by dt rows between 599 preceding and current row)))"""
-S["rolling_ols"] = Q.with_(Q.prices() + [OLS.format(src="px")], Q.final("ols", ["universe", "asset", "dt"], ["slope", "r2"], where="slope is not null"))
+S["rolling_ols"] = Q.with_(Q.prices() + [OLS.format(src="px")], Q.final("ols", ["universe", "asset", "dt"], ["slope", "r2"]))
 S["modified_score"] = Q.with_(Q.prices() + [OLS.format(src="px"), SCORE, """ag as (select universe, asset, dt, score, "signal", "signal" and n >= 200 and close > ma agree from
  (select *, row_number() over (partition by universe, asset order by dt) n, avg(close) over (partition by universe, asset order by dt rows between 199 preceding and current row) ma from sc))"""],
-    Q.final("ag", ["universe", "asset", "dt", '"signal"', "agree"], ["score"], where="score is not null"))
+    Q.final("ag", ["universe", "asset", "dt", '"signal"', "agree"], ["score"]))
 
 
 def timing(src: str, name: str, min_row: int) -> list[str]:

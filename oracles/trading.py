@@ -34,17 +34,17 @@ REC = ["tw as (select * from tg union all select acct, '__cash__', greatest(1 -
        "re as (select acct, asset, coalesce(tw.weight, 0) target, coalesce(aw.weight, 0) actual, coalesce(aw.weight, 0) - coalesce(tw.weight, 0) deviation from tw full join aw using (acct, asset))",
        "rf as (select *, abs(deviation) >= 0.10 flagged from re)"]
 S["reconcile"] = Q.with_(BOOK + REC, Q.final("rf", ["acct", "asset", "flagged"], ["target", "actual", "deviation"]))
-S["month_done"] = Q.with_(BOOK + REC, """select acct, round(max(abs(deviation)), 6) max_deviation, count(*) filter (flagged) n_flagged, max(abs(deviation)) < 0.45 "done" from rf group by 1""")
+S["month_done"] = Q.with_(BOOK + REC, """select acct, round(max(abs(deviation)), 6) max_deviation, count(*) filter (flagged) n_flagged, arg_max(asset, (abs(deviation), asset)) worst_asset, max(abs(deviation)) < 0.45 "done" from rf group by 1""")
 S["price_drift"] = """with c as (select l_partkey asset, arg_max(l_extendedprice / l_quantity, {'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_extendedprice, 'e': l_quantity}) close
  from lineitem where l_quantity > 0 group by 1),
- d as (select c.asset, c.close, coalesce(p_retailprice, c.close) price from c left join (select * from part where p_size > 5) p on p_partkey = c.asset)
- select asset, round(price, 6) price, round((price - close) / close, 6) + 0.0 drift from d where abs((price - close) / close) >= 0.0005"""
+ d as (select c.asset, c.close, coalesce(p_retailprice, c.close) price from c left join part p on p_partkey = c.asset)
+ select asset, round(price, 6) price, round((price - close) / close, 6) + 0.0 drift, abs((price - close) / close) >= 0.0005 acts from d where close <> 0"""
 LED = [FILLS, """fn as (select *, case side when 'BUY' then shares else -shares end delta, row_number() over (partition by acct, asset order by dt, line_no, part, shares, price, side) k
  from fi where price > 0 and shares > 0)""",
-       """pa as (select acct, asset, k, dt, cast(0 as bigint) bef, greatest(delta, 0) aft, delta, price from fn where k = 1 union all
- select n.acct, n.asset, n.k, n.dt, p.aft, greatest(p.aft + n.delta, 0), n.delta, n.price from pa p join fn n on n.acct = p.acct and n.asset = p.asset and n.k = p.k + 1)""",
+       """pa as (select acct, asset, k, dt, cast(0 as bigint) bef, greatest(delta, 0) aft, delta, price, line_no, part, side, shares from fn where k = 1 union all
+ select n.acct, n.asset, n.k, n.dt, p.aft, greatest(p.aft + n.delta, 0), n.delta, n.price, n.line_no, n.part, n.side, n.shares from pa p join fn n on n.acct = p.acct and n.asset = p.asset and n.k = p.k + 1)""",
        """bo as (select *, case when delta > 0 then -(aft - bef) * price * (1 + 0.0005) * (1 + 0.00025) else (bef - aft) * price * (1 - 0.0005) * (1 - 0.00025) end cash_flow from pa)"""]
-S["ledger"] = Q.with_(LED, """select acct, asset, count(*) n_fills, max(aft) peak, cast(sum(abs(aft - bef)) as bigint) moved, round(sum(cash_flow), 3) + 0.0 cash_flow from bo group by 1, 2""")
+S["ledger"] = Q.with_(LED, "select acct, asset, dt, line_no, part, side, shares, bef as before, aft as after, round(cash_flow, 3) + 0.0 cash_flow from bo")
 S["ledger_balances"] = Q.with_(LED, """select c_custkey acct, round(10000000 + coalesce(f, 0), 2) cash, coalesce(n_positions, 0) n_positions, coalesce(sh, 0) shares from customer
  left join (select acct, sum(cash_flow) f from bo group by 1) x on x.acct = c_custkey
  left join (select acct, count(*) n_positions, cast(sum(aft) as bigint) sh from (select acct, asset, arg_max(aft, k) aft from bo group by 1, 2) where aft > 0 group by 1) y on y.acct = c_custkey""")

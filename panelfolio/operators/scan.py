@@ -1,9 +1,9 @@
 """Running compositions: the state after every row of a path whose next state depends on the one before.
 
 A row is a map from the state before it to the state after it. Maps compose, and composition is associative, so the composite
-of all rows up to each one needs no loop over rows: pass k joins the composites that end 8^k, 2 * 8^k, ... 7 * 8^k rows before a row
+of all rows up to each one needs no loop over rows: pass k joins the composites that end 16^k, 2 * 16^k, ... 15 * 16^k rows before a row
 with its own. Every pass is a set of lags over one window, hence all passes share one exchange and one sort, no row holds
-more than eight maps, and no path is ever an array. Rows of a key are dates, of which there are fewer than ``8 ** PASSES``.
+more than sixteen maps, and no path is ever an array. Rows of a key are dates, of which there are fewer than ``16 ** PASSES``.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RADIX = 8
-PASSES = 8
+RADIX = 16
+PASSES = 6
 
 
 def running(df: DataFrame, keys: tuple[str, ...], order: str, step: Column, compose: Callable[[Column, Column], Column], name: str) -> DataFrame:

@@ -48,13 +48,16 @@ def price_csv_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def localized_bar_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars with localized headers; rows without a close are dropped."""
+    """One file per asset with localized headers, in one column order for some assets and in another for the rest; rows without a close are dropped."""
     at = landing(spark, "bars")
-    bars = T.test_prices(spark, sf).filter(F.col("asset") == T.TYPES.benchmark)
+    bars = T.test_prices(spark, sf)
     close = F.when(F.dayofmonth("dt") % 7 != 0, F.col("close"))
     values = {"dt": F.col("dt"), "open": F.col("low"), "close": close, "high": F.col("high"), "low": F.col("low"), "volume": F.col("volume")}
-    bars.select(*[values[v].alias(k) for k, v in files.BAR_HEADERS.items()]).write.option("header", True).csv(at)
-    return rounded(files.read_bars_localized(spark, at))
+    some = F.col("asset").isin("ECONOMY", "LARGE")
+    for mine, order in ((some, list(files.BAR_HEADERS.items())), (~some, list(files.BAR_HEADERS.items())[::-1])):
+        rows = bars.filter(mine).select(F.concat("asset", F.lit(".csv")).alias("file"), *[values[v].alias(k) for k, v in order])
+        rows.write.mode("append").partitionBy("file").option("header", True).csv(at)
+    return rounded(files.read_bars_localized(spark, at), 8)  # prices per unit end within eight places or never
 
 
 @query

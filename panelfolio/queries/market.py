@@ -124,7 +124,7 @@ def adjustment_audit(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def limit_flags(spark: SparkSession, sf: str) -> DataFrame:
     px = limited(spark, T.with_preclose(T.test_prices(spark, sf)))
-    return rounded(P.limit_flags(px).filter("cant_buy or cant_sell").select(
+    return rounded(P.limit_flags(px).select(
         "universe", "asset", "dt", "close", "pre_close", "limit_pct", "cant_buy", "cant_sell"))
 
 
@@ -139,7 +139,7 @@ def limit_flags_derived(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def limit_flags_approx(spark: SparkSession, sf: str) -> DataFrame:
     px = P.limit_flags_approx(limited(spark, T.test_prices(spark, sf)))
-    return rounded(px.filter("cant_buy or cant_sell").select("universe", "asset", "dt", "move", "cant_buy", "cant_sell"))
+    return rounded(px.select("universe", "asset", "dt", "move", "cant_buy", "cant_sell"))
 
 
 @query
@@ -166,7 +166,7 @@ def month_end_days(spark: SparkSession, sf: str) -> DataFrame:
     """Is each order date the last trading day of its month in the shipping calendar?"""
     calendar = T.asset_days(spark, sf).select("universe", "dt")
     days = T.table(spark, sf, "orders").select(F.lit("types").alias("universe"), F.to_date("o_orderdate").alias("dt")).distinct()
-    return P.is_month_end_trading_day(days, calendar).filter("is_month_end")
+    return P.is_month_end_trading_day(days, calendar)
 
 
 @query

@@ -16,6 +16,7 @@ from panelfolio.params import ParamSet, overlay_ladder, universe_dim
 from panelfolio.plans import reports as R
 from panelfolio.plans import strategies as X
 from panelfolio.plans.backtest import backtest, holdings_log as holdings_log_of
+from panelfolio.queries.signals import zscore_book
 from panelfolio.queries.common import market, prices, query, rounded
 from panelfolio.queries.market import FACTORS, limited
 from panelfolio.session import stage
@@ -305,7 +306,7 @@ def candidates(spark: SparkSession, panel: P.Panel) -> tuple[DataFrame, DataFram
     """(candidates, base): bond momentum, 60/40 and the z-score book next to the overlay run."""
     base = stage(backtest(panel, dim(spark), [FULL]).select(*R.SERIES), "base")
     bond = B.single_asset_timing(panel, G.ts_momentum(panel.obs.filter(F.col("asset") == BOND), True), 200).withColumn("run_id", F.lit("bond"))
-    z = B.daily_weights_backtest(G.zscore_weights(panel, list(T.TYPES.pool), BOND, BENCH, 20), panel, "zscore").filter("row_no >= 19")
+    z = zscore_book(panel, "zscore")
     mix = B.fixed_mix(panel, [(BENCH, 0.6), (BOND, 0.4)], "60_40")
     return stage(R.series(bond, z, mix), "candidates"), base
 

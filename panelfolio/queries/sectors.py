@@ -112,7 +112,7 @@ ASSETS = [*T.TYPES.pool, T.TYPES.bond]
 @query
 def pair_spread_z(spark: SparkSession, sf: str) -> DataFrame:
     z = PR.spread_z(PR.pair_prices(market(spark, sf), ASSETS))
-    return rounded(z.filter("z is not null").select("universe", "a", "b", "dt", "beta", "z"))
+    return rounded(z.select("universe", "a", "b", "dt", "beta", "z"))
 
 
 @query

@@ -48,7 +48,7 @@ def trend_flags(spark: SparkSession, sf: str) -> DataFrame:
     df = G.with_past_closes(G.with_observations(market(spark, sf).obs), {21})
     df = G.with_peak(G.with_trend(df, 200), 126)
     return df.select("universe", "asset", "dt", "below_200", F.expr(G.rebound_sql(21, 0.10)).alias("rebound"),
-                     F.expr(G.drawdown_sql(126, -0.10)).alias("fallen")).filter("below_200 or rebound or fallen")
+                     F.expr(G.drawdown_sql(126, -0.10)).alias("fallen"))
 
 
 @query
@@ -63,39 +63,36 @@ def ts_momentum(spark: SparkSession, sf: str) -> DataFrame:
 def zscore_weights(spark: SparkSession, sf: str) -> DataFrame:
     panel = market(spark, sf)
     w = G.zscore_weights(panel, list(T.TYPES.pool), BOND, BENCH, 20, 200)
-    return rounded(w.filter("weight > 0"))
+    return rounded(w)
+
+
+def zscore_book(panel: P.Panel, name: str, gate: int | None = None) -> DataFrame:
+    """Returns of the z-score weights from the first day on which all assets of the pool have one."""
+    w = G.zscore_weights(panel, list(T.TYPES.pool), BOND, BENCH, 20, gate)
+    first = w.filter(F.col("asset") != BOND).groupBy("universe", "row_no").count().filter(F.col("count") == len(T.TYPES.pool))
+    first = first.groupBy("universe").agg(F.min("row_no").alias("first"))
+    return B.daily_weights_backtest(w, panel, name).join(first, "universe").filter("row_no >= first").drop("first")
 
 
 @query
 def zscore_reversion(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily backtest of the z-score weights, open and gated."""
-    panel = market(spark, sf)
-    runs = None
-    for name, gate in (("open", None), ("gated", 200)):
-        w = G.zscore_weights(panel, list(T.TYPES.pool), BOND, BENCH, 20, gate)
-        r = B.daily_weights_backtest(w, panel, name)
-        runs = r if runs is None else runs.unionByName(r)
-    return rounded(M.perf(runs.filter("row_no >= 199")))
+    """Daily backtest of the z-score weights, open and gated, each from its first valid weights."""
+    return zscore_reversion_whole(spark, sf)
 
 
 @query
 def zscore_reversion_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Both books from their first day with valid weights of all assets; a gate without its average is shut, which is valid."""
     panel = market(spark, sf)
-    runs = None
-    for name, gate in (("open", None), ("gated", 200)):
-        w = G.zscore_weights(panel, list(T.TYPES.pool), BOND, BENCH, 20, gate)
-        first = w.filter(F.col("asset") != BOND).groupBy("universe", "row_no").count().filter(F.col("count") == len(T.TYPES.pool))
-        first = first.groupBy("universe").agg(F.min("row_no").alias("first"))
-        r = B.daily_weights_backtest(w, panel, name).join(first, "universe").filter("row_no >= first").drop("first")
-        runs = r if runs is None else runs.unionByName(r)
-    return rounded(M.perf(runs))
+    open_book, gated = (zscore_book(panel, name, gate) for name, gate in (("open", None), ("gated", 200)))
+    return rounded(M.perf(open_book.unionByName(gated)))
+
 
 
 @query
 def rolling_ols(spark: SparkSession, sf: str) -> DataFrame:
     fits = G.rolling_ols(T.test_prices(spark, sf), 18)
-    return rounded(fits.filter("slope is not null").select("universe", "asset", "dt", "slope", "r2"))
+    return rounded(fits.select("universe", "asset", "dt", "slope", "r2"))
 
 
 @query
@@ -106,7 +103,7 @@ def modified_score(spark: SparkSession, sf: str) -> DataFrame:
     trend = G.with_rolling(px, "close", 200, "t", std=False, order="dt").withColumn(
         "above", F.coalesce(F.col("close") > F.col("t_mean"), F.lit(False))).select("universe", "asset", "dt", "above")
     both = scored.join(trend, ["universe", "asset", "dt"]).withColumn("agree", G.signal_and("signal", "above"))
-    return rounded(both.filter("score is not null").select("universe", "asset", "dt", "score", "signal", "agree"))
+    return rounded(both.select("universe", "asset", "dt", "score", "signal", "agree"))
 
 
 @query

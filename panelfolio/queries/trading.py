@@ -90,26 +90,25 @@ def month_done(spark: SparkSession, sf: str) -> DataFrame:
     """Deviation summary per account and whether its month may close (wide threshold on this data)."""
     r = O.reconcile(*book(spark, sf))
     done = O.month_done(r, "2001-11", 0.45).withColumn("done", F.lit(True))
-    return rounded(O.max_deviation(r).drop("worst_asset").join(done, "acct", "left").na.fill(False, ["done"]).drop("month"))
+    return rounded(O.max_deviation(r).join(done, "acct", "left").na.fill(False, ["done"]).drop("month"))
 
 
 @query
 def price_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """Retail price as the quote of each part against its last traded unit price."""
+    """Retail price as the quote of each part against its last traded unit price, with whether the move is large enough to act on."""
     lines = T.table(spark, sf, "lineitem").filter("l_quantity > 0")
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     close = lines.groupBy(F.col("l_partkey").alias("asset")).agg(F.max_by(unit, F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")).alias("close"))
-    quotes = T.table(spark, sf, "part").filter("p_size > 5").select(F.col("p_partkey").alias("asset"), F.col("p_retailprice").alias("quote"))
-    return rounded(O.price_drift(quotes, close).drop("close"))
+    quotes = T.table(spark, sf, "part").select(F.col("p_partkey").alias("asset"), F.col("p_retailprice").alias("quote"))
+    drift = O.price_drift(quotes, close, threshold=0.0)
+    return rounded(drift.select("asset", "price", "drift", (F.abs("drift") >= O.DRIFT).alias("acts")))
 
 
 @query
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Position after every fill with sales clipped to the holding."""
     out = O.ledger(numbered_fills(spark, sf))
-    return rounded(out.groupBy("acct", "asset").agg(
-        F.count(F.lit(1)).alias("n_fills"), F.max("after").alias("peak"), F.sum(F.abs(F.col("after") - F.col("before"))).alias("moved"),
-        F.sum("cash_flow").alias("cash_flow")), 3)
+    return rounded(out.select("acct", "asset", "dt", "line_no", "part", "side", "shares", "before", "after", "cash_flow"), 3)
 
 
 @query

@@ -36,7 +36,15 @@ def test_localized_bars(spark, tmp_path):
     p = tmp_path / "bars.csv"
     p.write_text("日期,开盘,收盘,最高,最低,成交量\n2024-01-02,1,2,3,0.5,100\n2024-01-03,1,,3,0.5,100\n", encoding="utf-8")
     got = files.read_bars_localized(spark, str(p)).collect()
-    assert len(got) == 1 and (got[0].open, got[0].close, got[0].high, got[0].low) == (1.0, 2.0, 3.0, 0.5)
+    assert len(got) == 1 and (got[0].asset, got[0].open, got[0].close, got[0].high, got[0].low) == ("bars", 1.0, 2.0, 3.0, 0.5)
+
+
+def test_localized_bars_are_mapped_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("日期,开盘,收盘,最高,最低,成交量\n2024-01-02,1,2,3,0.5,100\n", encoding="utf-8")
+    (tmp_path / "B.csv").write_text("x,成交量,最低,最高,收盘,开盘,日期\n\"a,b\",200,0.4,4,3,2,2024-01-03\n", encoding="utf-8")
+    (tmp_path / "C.csv").write_text("日期,开盘,收盘\n2024-01-02,1,2\n", encoding="utf-8")
+    got = {r.asset: (r.open, r.close, r.high, r.low, r.volume) for r in files.read_bars_localized(spark, str(tmp_path)).collect()}
+    assert got == {"A": (1.0, 2.0, 3.0, 0.5, 100.0), "B": (2.0, 3.0, 4.0, 0.4, 200.0)}
 
 
 def test_contracts_and_settles(spark, tmp_path):
