@@ -1,10 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models over symbol n-grams.
 
-Texts are UTF-8 bytes folded to 32 symbols (letters, digits, blank, other, bytes of accented letters). Two interpolated
+Texts are lower-cased and written in 32 symbols: letters, digits, blank, other, accented letters as two symbols. A letter of another
+script is one of the 26 letters by its code point, a syllable or an ideograph two of them, so words of every script
+differ as words do. Two interpolated
 Kneser-Ney models of order 5 are built from labelled rows, one of toxic and one of ordinary texts: raw counts at order 5,
 continuation counts of the class at orders 4 and 3. Below these both classes share one backoff: continuation counts at
 orders 2 and 1 over all documents. A text's score is the difference of its two log-likelihoods, divided by its length
-plus ``SOFT`` symbols, mapped to a probability by isotonic regression on labelled rows kept out of the counts.
+plus ``SOFT`` symbols, mapped to a probability by isotonic regression on cross-fitted scores of all labelled rows.
 
 Five symbols of five bits are 2^25 possible n-grams, a bound that no corpus moves: counts are summed per n-gram on the
 executors and the table of log ratios (contexts seen in training, and order 4 for the rest) is broadcast.
@@ -31,29 +33,43 @@ TOXIC, ORDINARY, ALL = 1, 0, 2
 CHUNK = 2_000_000  # symbols handled at once in a task
 
 
-def _symbols() -> np.ndarray:
-    table = np.empty(256, np.uint8)
-    for byte in range(256):
-        char = chr(byte)
-        if byte >= 0xC0:
-            table[byte] = 29
-        elif byte >= 0x80:
-            table[byte] = 30 + byte % 2
-        elif char.isalpha():
-            table[byte] = ord(char.lower()) - 96
-        else:
-            table[byte] = 27 if char.isdigit() else 0 if char.isspace() else 28
-    return table
-
-
-SYMBOLS = _symbols()
+def _symbols() -> tuple[np.ndarray, np.ndarray]:
+    """First and second symbol of every code point (NONE: no second)."""
+    first, second = np.full(0x110000, 28, np.uint8), np.full(0x110000, NONE, np.uint8)
+    for c in range(128):
+        char = chr(c)
+        first[c] = ord(char.lower()) - 96 if char.isalpha() else 27 if char.isdigit() else 0 if char.isspace() else 28
+    first[[0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B)]] = 0
+    latin = np.arange(0xC0, 0x250)
+    first[latin], second[latin] = 29, 30 + latin % 2
+    for low, high in LETTERS:
+        code = np.arange(low, high)
+        first[code] = 1 + code % 26
+        if low >= IDEOGRAPHS:
+            second[code] = 1 + code // 26 % 26
+    return first, second
+
+
+NONE = 255
+# Code points taken as letters outside Latin script; punctuation, symbols and emoji between them are not. From IDEOGRAPHS on a
+# letter is a syllable or a word.
+LETTERS = ((0x250, 0x2000), (0x2C00, 0x2E00), (0x2E80, 0x3000), (0x3005, 0x3008), (0x3021, 0x302A), (0x3031, 0x3036), (0x3041, 0xD800), (0xF900, 0xFE00), (0xFE70, 0xFF00),
+           (0xFF66, 0xFFE0), (0x10000, 0x1D000), (0x1E000, 0x1F000), (0x20000, 0x40000))
+IDEOGRAPHS = 0x2E80
+FIRST, SECOND = _symbols()
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram code at every symbol of every text, four blanks before each, and the number of symbols per text."""
-    raw = [b"    " + (t or "").lower().encode("utf-8", "replace") + b" " for t in texts]
-    sizes = np.array([len(r) - 4 for r in raw], np.int64)
-    s = SYMBOLS[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int32)
+    raw = ["    " + (t or "").lower() + " " for t in texts]
+    points = np.frombuffer("".join(raw).encode("utf-32-le", "replace"), np.uint32)
+    two = SECOND[points] != NONE
+    place = np.arange(len(points)) + np.cumsum(two) - two
+    s = np.empty(len(points) + int(two.sum()), np.int32)
+    s[place] = FIRST[points]
+    s[place[two] + 1] = SECOND[points[two]]
+    starts = np.cumsum([0, *map(len, raw)])[:-1]
+    sizes = np.diff(np.append(place[starts] if len(raw) else [], len(s))).astype(np.int64) - 4
     code = s[: len(s) - 4].copy()
     for j in range(1, ORDER):
         code = code * A + s[j : len(s) - 4 + j]
@@ -146,9 +162,10 @@ def build(counts: dict[int, tuple[np.ndarray, np.ndarray]], shared: np.ndarray)
     return Model(row_of, table)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, calibrate_one_in: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 4) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id, toxic). Only rows where ``learn`` (a column over doc_id) is true
-    give labels; of these one in ``calibrate_one_in``, by a hash of the id, sets the curve and the others the counts.
+    give labels. All of them are counted; the curve is cross-fitted: a row of a fold (by a hash of its id) is scored by counts
+    of the other folds.
 
     A label is used once per doc_id, the largest where they differ; null labels are none. Without any labelled row of a
     class both models fall back to the shared counts, and every score is the same."""
@@ -156,24 +173,34 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, calibrate_one_in: i
     marks = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("kind"))
     mine = docs.select("doc_id", "text").where(learn & F.col("doc_id").isNotNull())
     # labels grow with the documents, so this is a shuffled join whatever their size
-    labelled = mine.join(marks.hint("merge"), "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(calibrate_one_in)) == 0)
+    labelled = mine.join(marks.hint("merge"), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int"))
     shared_rows = _counted(docs.select(F.lit(ALL).alias("kind"), "text"), 3).select("gram").toPandas()["gram"].to_numpy(np.int64)  # at most 32^3
-    rows = _counted(labelled.where("not held").select("kind", "text"), ORDER).toPandas()  # at most 2 * 32^5, in practice the n-grams of the languages
-    counts = {k: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for k, g in rows.groupby("kind")}
-    model = build(counts, shared_backoff(shared_rows))
-    if set(counts) != {TOXIC, ORDINARY}:
-        model.table[:] = 0
-    sent = spark.sparkContext.broadcast(model)
+    # at most 2 * folds * 32^5, in practice the n-grams of the languages
+    rows = _counted(labelled.select((F.col("kind") + 2 * F.col("fold")).alias("kind"), "text"), ORDER).toPandas()
+    shared = shared_backoff(shared_rows)
+
+    def fitted(used: pd.DataFrame) -> Model:
+        summed = used.groupby([used["kind"] % 2, "gram"], sort=True)["n"].sum()
+        counts = {k: (g.index.get_level_values("gram").to_numpy(np.int64), g.to_numpy(np.float64)) for k, g in summed.groupby(level=0)}
+        model = build(counts, shared)
+        if set(counts) != {TOXIC, ORDINARY}:
+            model.table[:] = 0
+        return model
+
+    sent = spark.sparkContext.broadcast([fitted(rows[rows["kind"] // 2 != fold]) for fold in range(folds)])
     width = 1.0 / 2048
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in chunks(batch):
-                x = sent.value.lengthwise(part["text"].tolist())
-                place = np.clip(np.round(x / width), -BINS // 2, BINS // 2).astype("int32")
-                yield pd.DataFrame({"kind": part["kind"].to_numpy("int32"), "bin": place})
-
-    points = labelled.where("held").select("kind", "text").mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas()
+            for fold, mine in batch.groupby("fold"):
+                for part in chunks(mine):
+                    x = sent.value[fold].lengthwise(part["text"].tolist())
+                    place = np.clip(np.round(x / width), -BINS // 2, BINS // 2).astype("int32")
+                    yield pd.DataFrame({"kind": part["kind"].to_numpy("int32"), "bin": place})
+
+    points = labelled.select("kind", "fold", "text").mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas()
+    sent.destroy()
+    model = fitted(rows)
     model.curve = curve_of(points, width)
     return model
 

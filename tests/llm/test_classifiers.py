@@ -31,13 +31,14 @@ def learn():
     return F.col("doc_id") % 10 < 6
 
 
+@pytest.mark.parametrize("n", [900, 1800])
 @pytest.mark.parametrize("name,module", [("toxic", toxicity), ("quality", quality)])
-def test_held_out_accuracy(spark, name, module):
-    docs, labels, rows = corpus(spark)
+def test_held_out_accuracy(spark, name, module, n):
+    docs, labels, rows = corpus(spark, n)
     model = module.train(docs, labels, learn())
     got = {r["doc_id"]: r["score"] for r in module.score(docs, model).collect()}
     held = [(got[i], t if name == "toxic" else q) for i, q, t in rows if i % 10 >= 6]
-    assert len(got) == 1800 and all(0 <= s <= 1 for s in got.values())
+    assert len(got) == n and all(0 <= s <= 1 for s in got.values())
     assert np.mean([(s >= 0.7) == y for s, y in held]) > 0.95
 
 
@@ -116,3 +117,36 @@ def test_whole_texts_count():
     assert quality.difference(LONG, pair) != quality.difference(LONG + "%%$$ " * 3000, pair)
     codes, sizes = toxicity.grams([LONG, "", None, "é"])
     assert sizes.tolist() == [len(LONG) + 1, 1, 1, 3] and len(codes) == sizes.sum()
+
+
+SCRIPTS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "cjk": "".join(chr(0x4E00 + 37 * i) for i in range(200))}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_every_script(spark, script):
+    """Words of random letters, a quarter of the texts with words of a second vocabulary."""
+    rng = np.random.default_rng(5)
+    letters = list(SCRIPTS[script])
+    word = lambda: "".join(rng.choice(letters, int(rng.integers(2, 5) if script == "cjk" else rng.integers(3, 9))))
+    ordinary, rude = [word() for _ in range(200)], [word() for _ in range(4)]
+    docs, labels = [], []
+    for i in range(3000):
+        words = rng.choice(ordinary, int(rng.integers(20, 60))).tolist()
+        if i % 4 == 0:
+            for at in rng.integers(0, len(words), 3):
+                words[at] = str(rng.choice(rude))
+        docs.append((i, ("" if script == "cjk" else " ").join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 10 < 7)
+    held = [(r["score"] >= 0.7, r["doc_id"] % 4 == 0) for r in toxicity.score(df, model).collect() if r["doc_id"] % 10 >= 7]
+    caught, false = sum(p for p, y in held if y), sum(p for p, y in held if not y)
+    assert caught >= 0.9 * sum(y for _, y in held) and false <= 0.02 * len(held)
+
+
+def test_every_symbol_of_every_text_has_its_window():
+    texts = ["ab é", "идиот", "漢字 x", "\U0001f600!", ""]
+    codes, sizes = toxicity.grams(texts)
+    assert sizes.tolist() == [6, 6, 7, 3, 1] and len(codes) == sizes.sum()
+    alone = np.concatenate([toxicity.grams([t])[0] for t in texts])
+    assert codes.tolist() == alone.tolist()
