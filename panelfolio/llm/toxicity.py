@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelfolio.llm.calibration import Curve, curve_of
+from panelfolio.llm.common import stage
 
 ORDER = 5
 A = 32  # symbols
@@ -151,18 +152,24 @@ def build(counts: dict[int, tuple[np.ndarray, np.ndarray]], shared: np.ndarray)
         logs4.append(np.log(four))
         classes.append((codes, n, four))
     contexts = np.unique(np.concatenate([codes // A for codes, _, _ in classes]))
-    logs5 = []
-    for codes, n, four in classes:
-        raw = np.zeros((len(contexts), A))
-        raw[np.searchsorted(contexts, codes // A), codes % A] = n
-        logs5.append(np.log(_interpolate(raw, four[contexts % A**3])))
-    table = np.concatenate([logs4[0] - logs4[1], logs5[0] - logs5[1]]).astype(np.float32).reshape(-1)
+    table = np.empty((A**3 + len(contexts), A), np.float32)
+    table[: A**3] = logs4[0] - logs4[1]
+    for at in range(0, len(contexts), 2**15):  # blocks bound what is in memory besides the table
+        some = contexts[at : at + 2**15]
+        logs5 = []
+        for codes, n, four in classes:
+            lo, hi = np.searchsorted(codes, [some[0] * A, (some[-1] + 1) * A])
+            raw = np.zeros((len(some), A))
+            raw[np.searchsorted(some, codes[lo:hi] // A), codes[lo:hi] % A] = n[lo:hi]
+            logs5.append(np.log(_interpolate(raw, four[some % A**3])))
+        table[A**3 + at : A**3 + at + len(some)] = logs5[0] - logs5[1]
+    table = table.reshape(-1)
     row_of = (np.arange(A**4) % A**3).astype(np.int32)
     row_of[contexts] = A**3 + np.arange(len(contexts))
     return Model(row_of, table)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 3) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id, toxic). Only rows where ``learn`` (a column over doc_id) is true
     give labels. All of them are counted; the curve is cross-fitted: a row of a fold (by a hash of its id) is scored by counts
     of the other folds.
@@ -173,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 4) ->
     marks = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("kind"))
     mine = docs.select("doc_id", "text").where(learn & F.col("doc_id").isNotNull())
     # labels grow with the documents, so this is a shuffled join whatever their size
-    labelled = mine.join(marks.hint("merge"), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int"))
+    labelled = mine.join(marks.hint("merge"), "doc_id").select("kind", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold"), "text")
+    labelled = stage(labelled, "toxicity-labelled")  # read for the counts and again for the curve
     shared_rows = _counted(docs.select(F.lit(ALL).alias("kind"), "text"), 3).select("gram").toPandas()["gram"].to_numpy(np.int64)  # at most 32^3
     # at most 2 * folds * 32^5, in practice the n-grams of the languages
     rows = _counted(labelled.select((F.col("kind") + 2 * F.col("fold")).alias("kind"), "text"), ORDER).toPandas()
@@ -187,7 +195,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 4) ->
             model.table[:] = 0
         return model
 
-    sent = spark.sparkContext.broadcast([fitted(rows[rows["kind"] // 2 != fold]) for fold in range(folds)])
+    models = [fitted(rows[rows["kind"] // 2 != fold]) for fold in range(folds)]
+    for model in models:
+        model.table = model.table.astype(np.float16)  # the curve's bins are coarser
+    sent = spark.sparkContext.broadcast(models)
+    del models
     width = 1.0 / 2048
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
