@@ -55,5 +55,6 @@ S["fill_stream"] = """with o as (select event_id order_id, user_id acct, ts, cas
  f as (select user_id acct, ts, cast(ceil(value * 2) as bigint) shares from events where event_type = 'click')
  select order_id, o.acct, ordered, cast(coalesce(sum(shares), 0) as bigint) filled, coalesce(sum(shares), 0) >= ordered complete
  from o left join f on f.acct = o.acct and f.ts between o.ts and o.ts + interval 2 hour group by 1, 2, 3"""
+S["fill_stream_joined"] = S["fill_stream"]
 S["drift_stream"] = """with l as (select user_id asset, arg_max(value, (ts, value)) as quote, avg(value) as close from events group by 1)
  select asset, round(close, 6) as close, round(quote, 6) as quote, round((quote - close) / close, 6) + 0.0 drift from l where abs((quote - close) / close) >= 0.0005"""
