@@ -47,3 +47,5 @@ S["candidate_regimes"] = Q.with_(CANDIDATES + ["rr as (select ca.*, regime from
     "ro as (select * from pf join rc using (universe, run_id, regime))"], Q.final("ro", UR + ["regime", "n_days"], Q.PERF + ["share"]))
 S["candidate_bootstrap"] = Q.with_(CANDIDATES + ["rets as (select universe, run_id, dt, net from ca union all select universe, run_id, dt, net from base_r)"]
                                    + bootstrap([(c, FULL.run_id) for c in ("bond", "zscore", "60_40")]), BOOT)
+S["month_close"] = """with o as (select o_custkey acct, cast(o_orderdate as date) dt, strftime(o_orderdate, '%Y-%m') "month", o_orderstatus from orders)
+ select acct, dt, "month" from o where "month" >= '1997-01' and not exists (select 1 from o d where d.o_orderstatus = 'F' and d.acct = o.acct and d."month" = o."month")"""

@@ -154,6 +154,9 @@ S["annual_sharpe"] = Q.with_(RUNS + ["an as (select universe, run_id, avg(net) /
 S["segment_perf"] = Q.with_(RUNS + ["""sg as (select r.*, segment, count(*) over (partition by universe, run_id, segment) c from rets r join (values ('all', date '1900-01-01', date '2100-01-01'),
  ('early', date '1900-01-01', date '1998-06-30'), ('late', date '1998-07-01', date '2100-01-01'), ('short', date '1997-01-01', date '1997-01-31')) s(segment, lo, hi) on dt between lo and hi)""",
     "sh as (select * from sg where c >= 60)"] + Q.perf("sh", "universe, run_id, segment"), Q.final("pf", UR + ["segment"], Q.PERF))
+S["segment_table"] = Q.with_(RUNS + ["sp as (select cast(o_custkey as varchar) segment, cast(min(o_orderdate) as date) lo, cast(max(o_orderdate) as date) hi from orders group by 1)",
+    "sg as (select universe, run_id, segment, count(*) n_days, product(1 + net) - 1 cum_return from rets join sp on dt between lo and hi where run_id = 'bench' group by 1, 2, 3)"],
+    Q.final("sg", UR + ["segment", "n_days"], ["cum_return"]))
 S["recent_vs_full"] = Q.with_(RUNS + ["""sp as (select *, 'full' span from rets union all select r.*, 'recent' from rets r where dt >= (select max(dt) - interval 3 year from rets))"""]
     + Q.perf("sp", "universe, run_id, span") + ["""rf as (select universe, run_id, """ + ", ".join(
         f"max({c}) filter (span = '{s}') {s}_{c}" for c in ("cagr", "sharpe", "mdd") for s in ("full", "recent")) + " from pf group by 1, 2)"],

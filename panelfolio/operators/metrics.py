@@ -44,21 +44,39 @@ def perf(returns: DataFrame, keys: tuple[str, ...] = RUN, ret: str = "net", orde
         "mdd", years.alias("years"), "var95", "cvar95", "var99", "cvar99")
 
 
-def segment_perf(returns: DataFrame, segments: list[tuple[str, str | None, str | None]], min_rows: int = 60) -> DataFrame:
-    """perf per (run, segment): segments are (name, from, to) with both ends included; short ones drop out."""
-    named = [F.when((F.col("dt") >= F.to_date(F.lit(lo)) if lo else F.lit(True))
-                    & (F.col("dt") <= F.to_date(F.lit(hi)) if hi else F.lit(True)), F.lit(name))
-             for name, lo, hi in segments]
-    rows = returns.withColumn("segment", F.explode(F.array_compact(F.array(*named))))
+def segment_rows(returns: DataFrame, segments: DataFrame | list[tuple[str, str | None, str | None]]) -> DataFrame:
+    """Every row of ``returns`` once per segment that holds its date (column ``segment``).
+
+    ``segments`` is a table (segment, lo, hi; perhaps universe and run_id, then for those only) or a short list of the same; both
+    ends are included and null ends are open. A range join by quarters: a segment is laid out over the quarters it
+    touches, meets the rows of each by equality, and the ends are checked exactly, so any number of segments of any length spreads.
+    """
+    spark = returns.sparkSession
+    if not isinstance(segments, DataFrame):
+        segments = spark.createDataFrame([tuple(s) for s in segments], "segment string, lo string, hi string")
+    keys = [c for c in ("universe", "run_id") if c in segments.columns]
+    quarter = lambda c: (F.year(c) * 4 + F.quarter(c)).cast("int")
+    spec = segments.select(*keys, "segment", F.col("lo").cast("date").alias("_lo"), F.col("hi").cast("date").alias("_hi"))
+    if spec.filter("_lo is null or _hi is null").isEmpty():
+        closed = spec
+    else:  # open ends reach as far as there are rows
+        span = returns.agg(F.min("dt").alias("_first"), F.max("dt").alias("_last"))
+        closed = spec.crossJoin(F.broadcast(span)).select(*keys, "segment", F.coalesce("_lo", "_first").alias("_lo"), F.coalesce("_hi", "_last").alias("_hi"))
+    laid = closed.filter("_lo <= _hi").withColumn("_q", F.explode(F.sequence(quarter("_lo"), quarter("_hi"))))
+    rows = returns.withColumn("_q", quarter("dt")).join(laid, [*keys, "_q"])
+    return rows.filter(F.col("dt").between(F.col("_lo"), F.col("_hi"))).drop("_q", "_lo", "_hi")
+
+
+def segment_perf(returns: DataFrame, segments: DataFrame | list[tuple[str, str | None, str | None]], min_rows: int = 60) -> DataFrame:
+    """perf per (run, segment), see `segment_rows`; short ones drop out."""
     size = F.count(F.lit(1)).over(Window.partitionBy(*RUN, "segment"))
-    return perf(rows.withColumn("_n", size).filter(F.col("_n") >= min_rows), (*RUN, "segment"))
+    return perf(segment_rows(returns, segments).withColumn("_n", size).filter(F.col("_n") >= min_rows), (*RUN, "segment"))
 
 
-def segment_cumulative_return(returns: DataFrame, segments: list[tuple[str, str, str]], min_rows: int = 5) -> DataFrame:
-    named = [F.when(F.col("dt").between(F.to_date(F.lit(lo)), F.to_date(F.lit(hi))), F.lit(name)) for name, lo, hi in segments]
-    rows = returns.withColumn("segment", F.explode(F.array_compact(F.array(*named))))
-    return (rows.groupBy(*RUN, "segment").agg(F.count(F.lit(1)).alias("n_days"), (F.product(1 + F.col("net")) - 1).alias("cum_return"))
-            .filter(F.col("n_days") >= min_rows))
+def segment_cumulative_return(returns: DataFrame, segments: DataFrame | list[tuple[str, str, str]], min_rows: int = 5) -> DataFrame:
+    """Days and compounded return per (run, segment), see `segment_rows`."""
+    return (segment_rows(returns, segments).groupBy(*RUN, "segment")
+            .agg(F.count(F.lit(1)).alias("n_days"), (F.product(1 + F.col("net")) - 1).alias("cum_return")).filter(F.col("n_days") >= min_rows))
 
 
 def trailing_slice(returns: DataFrame, years: int) -> DataFrame:

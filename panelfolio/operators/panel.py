@@ -120,18 +120,26 @@ def is_month_end_trading_day(days: DataFrame, calendar: DataFrame) -> DataFrame:
 def as_of_dates(targets: DataFrame, calendar: DataFrame) -> DataFrame:
     """Last trading date (and its row) at or before each ``target_ts``: keys (universe, target_id, target_ts).
 
-    Union of both time lines and a running last value: linear in the two inputs, no range join. Times are wall-clock, so
-    the session time zone does not matter.
+    Two levels, no range join: both time lines are cut into months; inside a month a running last value over their union
+    finds the date, and where a month has none so far, the last date of the months before it, which one row per month of the
+    calendar tells. So targets spread over months. Times are wall-clock, so the session time zone does not matter.
     """
-    line = targets.select("universe", "target_id", F.col("target_ts").cast("timestamp_ntz").alias("at"),
-                          F.lit(None).cast("date").alias("dt"), F.lit(None).cast("int").alias("row_no"),
-                          F.lit(1).alias("kind")).unionByName(
-        calendar.select("universe", F.lit(None).cast("string").alias("target_id"),
-                        F.col("dt").cast("timestamp_ntz").alias("at"), "dt", "row_no", F.lit(0).alias("kind")))
-    w = Window.partitionBy("universe").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return (line.withColumn("as_of_dt", F.last("dt", ignorenulls=True).over(w))
-            .withColumn("as_of_row", F.last("row_no", ignorenulls=True).over(w))
-            .filter("kind = 1").select("universe", "target_id", F.col("at").alias("target_ts"), "as_of_dt", "as_of_row"))
+    at = F.col("at")
+    asked = targets.select("universe", "target_id", F.col("target_ts").cast("timestamp_ntz").alias("at"))
+    days = calendar.select("universe", F.col("dt").cast("timestamp_ntz").alias("at"), "dt", "row_no")
+    line = asked.select("*", F.lit(None).cast("date").alias("dt"), F.lit(None).cast("int").alias("row_no"), F.lit(1).alias("kind")).unionByName(
+        days.select("universe", F.lit(None).cast("string").alias("target_id"), "at", "dt", "row_no", F.lit(0).alias("kind")))
+    inside = Window.partitionBy("universe", "_m").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("_m", F.year(at) * 12 + F.month(at)).withColumn("_last", F.last(F.when(F.col("kind") == 0, F.struct("dt", "row_no")), ignorenulls=True).over(inside))
+    months = days.groupBy("universe", (F.year(at) * 12 + F.month(at)).alias("_month")).agg(F.max(F.struct("dt", "row_no")).alias("_carried"))
+    following = F.lead("_month").over(Window.partitionBy("universe").orderBy("_month"))
+    months = months.withColumn("_next", following)
+    # a month's last date serves up to the next month that has one; months behind the last have no end and take it from below
+    served = months.filter("_next is not null").select("universe", "_carried", F.explode(F.sequence(F.col("_month") + 1, F.col("_next"))).alias("_m"))
+    final = months.filter("_next is null").select("universe", F.col("_month").alias("_end"), F.col("_carried").alias("_final"))
+    out = line.filter("kind = 1").join(served, ["universe", "_m"], "left").join(final, "universe", "left")
+    found = F.coalesce("_last", "_carried", F.when(F.col("_m") > F.col("_end"), F.col("_final")))
+    return out.select("universe", "target_id", at.alias("target_ts"), found["dt"].alias("as_of_dt"), found["row_no"].alias("as_of_row"))
 
 
 def _spread(obs: DataFrame, calendar: DataFrame, limit: int | None, carry: tuple[str, ...]) -> DataFrame:

@@ -125,3 +125,17 @@ def suspended_asset(spark: SparkSession, sf: str) -> DataFrame:
     halted = (F.col("asset") == "SMALL") & (F.col("dt") >= "1997-01-01")
     px = stage(T.test_prices(spark, sf).withColumn("close", F.when(halted, F.lit(100.0)).otherwise(F.col("close"))), "prices")
     return rounded(A.decide_targets(P.prepare_panel(px, anchors=ANCHORS, staged=True), universe_dim(spark, [T.TYPES]), RISK))
+
+
+@query
+def month_close(spark: SparkSession, sf: str) -> DataFrame:
+    """Gate, close, replay of the close, gate, close of old months, gate: order days of customers in months still open."""
+    control = landing(spark, "control")
+    orders = T.table(spark, sf, "orders").select(F.col("o_custkey").alias("acct"), F.to_date("o_orderdate").alias("dt"), "o_orderstatus")
+    month = F.date_format("dt", "yyyy-MM").alias("month")
+    finished = orders.filter("o_orderstatus = 'F'").select("acct", month)
+    for attempt in ("1", "1"):
+        sinks.close_months(finished, control, attempt)
+    still_open = sinks.month_gate(orders.select("acct", "dt"), sinks.closed_months(spark, control))
+    sinks.close_months(still_open.filter("month < '1997-01'").select("acct", "month"), control, "2")
+    return sinks.month_gate(orders.select("acct", "dt"), sinks.closed_months(spark, control)).select("acct", "dt", "month")

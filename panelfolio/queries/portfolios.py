@@ -212,6 +212,15 @@ def segment_perf(spark: SparkSession, sf: str) -> DataFrame:
                                          ("short", "1997-01-01", "1997-01-31")]))
 
 
+@query
+def segment_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Return of the benchmark between the first and the last order of every customer: one segment each, from a table."""
+    runs = base_runs(spark, market(spark, sf)).filter("run_id = 'bench'")
+    spans = T.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("segment")).agg(
+        F.to_date(F.min("o_orderdate")).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi"))
+    return rounded(M.segment_cumulative_return(runs, spans, 1))
+
+
 @query
 def recent_vs_full(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.recent_vs_full(base_runs(spark, market(spark, sf)), 3))

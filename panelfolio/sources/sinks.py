@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelfolio.session import stage
+
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = "run_id", mode: str = "overwrite") -> None:
     writer = df.write.mode(mode).format(fmt)
@@ -42,3 +44,27 @@ def month_gate(days: DataFrame, done: DataFrame) -> DataFrame:
     """(acct, dt) rows whose month has not been closed yet. ``done``: acct, month 'yyyy-MM'."""
     return (days.withColumn("month", F.date_format("dt", "yyyy-MM"))
             .join(done.select("acct", "month").distinct(), ["acct", "month"], "left_anti"))
+
+
+CONTROL = "acct bigint, month string"
+
+
+def closed_months(spark: SparkSession, control: str) -> DataFrame:
+    """The control table: every (acct, month) that some attempt closed."""
+    return spark.read.schema(f"{CONTROL}, attempt string").parquet(control)
+
+
+def close_months(done: DataFrame, control: str, attempt: str) -> None:
+    """Add the months of ``done`` (acct, month) that no other attempt closed to the control table.
+
+    The rows of an attempt are a partition of its own: what it closed before and what it closes now. So a replay leaves the same
+    table, also where ``done`` comes from a gate that already sees the first try. Concurrent attempts write apart; what both
+    close counts once for the gate.
+    """
+    spark = done.sparkSession
+    spark.createDataFrame([], CONTROL).write.mode("ignore").parquet(f"{control}/attempt=none")  # a table before its first attempt
+    known = closed_months(spark, control)
+    mine = done.select(F.col("acct").cast("long").alias("acct"), F.col("month").cast("string").alias("month"))
+    mine = mine.unionByName(known.filter(F.col("attempt") == attempt).drop("attempt")).distinct()
+    rows = stage(mine.join(known.filter(F.col("attempt") != attempt), ["acct", "month"], "left_anti"), "closed")
+    rows.write.mode("overwrite").parquet(f"{control}/attempt={attempt}")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from panelfolio.operators.tradeops import DRIFT
+from panelfolio.session import stage
 
 
 def unfilled_orders(orders: DataFrame, fills: DataFrame, within: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
@@ -121,7 +122,10 @@ def end_marks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mark_end(spark: SparkSession, folder: str) -> None:
-    """Says that the input is complete: a mark far ahead in event time moves the watermark past every limit."""
+    """Says that the input is complete: a mark far ahead in event time moves the watermark past every limit.
+
+    What comes in a later batch than the mark is late, so it is written when all other input has been read or will be read in the same batch.
+    """
     spark.createDataFrame([("end", None, -1, None, None)], "kind string, id long, acct long, ts timestamp, shares long").withColumn(
         "ts", F.lit(END).cast("timestamp")).write.mode("append").parquet(folder)
 
@@ -154,36 +158,55 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
             .outputMode("append").trigger(availableNow=True).start())
 
 
-SLOTS = 2
+BUCKETS = 64
+QUOTED = "quote double, ts timestamp"
+
+
+def _versions(spark: SparkSession, state: str, epoch: int) -> dict[int, int]:
+    """The version of every bucket after batch ``epoch``, from its manifest: at most ``BUCKETS`` rows."""
+    if epoch < 0:
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").json(f"{state}/manifest/epoch={epoch}").collect()}
+
+
+def _bucket_rows(spark: SparkSession, state: str, key: str, versions: dict[int, int]) -> DataFrame:
+    """Rows of the given buckets, each of its version."""
+    schema = f"asset {key}, {QUOTED}"
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{state}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())])
 
 
 def drift_monitor(quotes: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest quote per asset (of any type) in a table that each micro-batch writes anew, in turn in one of two slots.
+    """Keep the latest quote per asset (of any type) in a table of hash buckets; a micro-batch writes only the buckets it touches.
 
-    A batch is collapsed to one row per asset before it meets the table. It reads the slot of the batch before and
-    overwrites its own, so a replayed batch gives the same table and old versions do not pile up. Of quotes of one time the largest stays.
+    A batch is collapsed to one row per asset before it meets the table. It reads the buckets of the versions that the manifest of
+    the batch before names, writes theirs under its own number and then its manifest, so a replayed batch gives the same
+    table and readers see whole batches. Of quotes of one time the largest stays.
     """
     key = quotes.schema["asset"].dataType.simpleString()
-    schema = f"asset {key}, quote double, ts timestamp, version bigint"
     newest = lambda rows: rows.groupBy("asset").agg(F.max(F.struct("ts", "quote")).alias("last")).select("asset", "last.quote", "last.ts")
+    bucket = F.pmod(F.xxhash64("asset"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows = newest(batch)
-        if epoch > 0:
-            before = spark.read.schema(schema).parquet(f"{state}/slot={(epoch - 1) % SLOTS}")
-            rows = newest(rows.unionByName(before.select("asset", "quote", "ts")))
-        rows.withColumn("version", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{state}/slot={epoch % SLOTS}")
+        fresh = stage(newest(batch), "quotes")
+        touched = [r["bucket"] for r in fresh.select(bucket).distinct().collect()]
+        versions = _versions(spark, state, epoch - 1)
+        before = _bucket_rows(spark, state, key, {b: versions[b] for b in touched if b in versions})
+        rows = newest(fresh.unionByName(before))
+        rows.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/data/version={epoch}")
+        named = {**versions, **dict.fromkeys(touched, epoch)}
+        spark.createDataFrame(list(named.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").json(f"{state}/manifest/epoch={epoch}")
 
     return (quotes.select("asset", F.col("quote").cast("double").alias("quote"), "ts").writeStream.foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def latest_quotes(spark: SparkSession, state: str) -> DataFrame:
-    """The newest version of the table of `drift_monitor`."""
-    rows = spark.read.option("basePath", state).parquet(state)
-    newest = rows.agg(F.max("version").alias("version"))
-    return rows.join(F.broadcast(newest), "version").select("asset", "quote", "ts")
+def latest_quotes(spark: SparkSession, state: str, key: str = "long") -> DataFrame:
+    """The table of `drift_monitor` after its last whole batch; ``key`` is the type of the asset column."""
+    last = spark.read.json(f"{state}/manifest").agg(F.max("epoch")).first()[0]
+    return _bucket_rows(spark, state, key, _versions(spark, state, int(last)))
 
 
 def drift_alerts(latest: DataFrame, closes: DataFrame, threshold: float = DRIFT) -> DataFrame:

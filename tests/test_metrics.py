@@ -162,3 +162,18 @@ def test_cointegration_finds_the_linked_pair(spark):
     wide["c"] = 20 + 1.5 * wide["a"] + rng.normal(0, 1, 900)
     tests = {(r.a, r.b): r for r in PR.cointegration(PR.pair_prices(make_panel(spark, wide), ["a", "b", "c"])).collect()}
     assert tests[("a", "c")].p < 0.01 and tests[("a", "b")].tstat > tests[("a", "c")].tstat
+
+
+def test_segments_from_a_table(spark):
+    import datetime as dt
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(900)]
+    rets = spark.createDataFrame([("u", r, d, 0.001 * (i % 7)) for r in "xy" for i, d in enumerate(days)], "universe string, run_id string, dt date, net double")
+    rng = np.random.default_rng(2)
+    spans = [(f"s{k}", days[0] + dt.timedelta(int(a)), days[0] + dt.timedelta(int(a + b))) for k, (a, b) in enumerate(zip(rng.integers(-50, 890, 300), rng.integers(0, 400, 300)))]
+    spans += [("open", None, None), ("from", days[800], None), ("none", days[5], days[4])]
+    table = spark.createDataFrame(spans, "segment string, lo date, hi date")
+    got = {(r.run_id, r.segment): r.n_days for r in M.segment_cumulative_return(rets, table, 1).collect()}
+    count = lambda lo, hi: sum((lo or days[0]) <= d <= (hi or days[-1]) for d in days)
+    assert got == {(r, s): count(lo, hi) for r in "xy" for s, lo, hi in spans if count(lo, hi)}
+    own = table.filter("segment = 's1'").selectExpr("'x' as run_id", "*")
+    assert {r.run_id for r in M.segment_cumulative_return(rets, own, 0).collect()} <= {"x"}

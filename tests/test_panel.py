@@ -135,3 +135,19 @@ def test_rolling_frames_of_all_lengths(spark, rows):
     inside = [i for i in range(200 + rows - 1, 560)]
     assert (got["r_std"][inside] == 0).all() and (got["r_mean"][inside] == 0.1 + 0.2).all()
     assert {"x", "r_mean", "r_std"} <= set(got.columns) and not [c for c in got.columns if c.startswith("_")]
+
+
+def test_as_of_over_empty_months_and_beyond_both_ends(spark):
+    import datetime as dt
+    days = [dt.date(2020, 1, 10), dt.date(2020, 1, 31), dt.date(2020, 5, 4), dt.date(2021, 2, 1)]
+    calendar = spark.createDataFrame([("u", d, i) for i, d in enumerate(days)] + [("v", dt.date(2020, 3, 1), 0)], "universe string, dt date, row_no int")
+    ask = [dt.datetime(2019, 6, 1), dt.datetime(2020, 1, 9, 23, 59), dt.datetime(2020, 1, 10), dt.datetime(2020, 3, 3), dt.datetime(2020, 5, 3), dt.datetime(2020, 5, 4, 12),
+           dt.datetime(2021, 1, 31), dt.datetime(2021, 2, 1), dt.datetime(2030, 1, 1)]
+    rows = [(u, f"{i}", t) for u in "uvw" for i, t in enumerate(ask)]
+    targets = spark.createDataFrame(rows, "universe string, target_id string, target_ts timestamp_ntz")
+    got = {(r.universe, int(r.target_id)): (r.as_of_dt, r.as_of_row) for r in P.as_of_dates(targets, calendar).collect()}
+    known = {"u": days, "v": [dt.date(2020, 3, 1)], "w": []}
+    for u in "uvw":
+        for i, t in enumerate(ask):
+            before = [(d, k) for k, d in enumerate(known[u]) if d <= t.date()]
+            assert got[u, i] == (before[-1] if before else (None, None))

@@ -113,3 +113,21 @@ def test_price_csv_of_any_width(spark, tmp_path):
     (tmp_path / "SLIM.csv").write_text("date,close\r\n2024-01-02,1\r\n")
     got = {(r.asset, r.dt, r.close) for r in files.read_price_csv(spark, str(tmp_path), "us").collect()}
     assert got == {("WIDE", D[0], 7.5), ("SLIM", D[0], 1.0)}
+
+
+def test_months_close_once_whatever_is_replayed(spark, tmp_path):
+    from panelfolio.sources import sinks
+    control = str(tmp_path / "control")
+    done = lambda *rows: spark.createDataFrame(list(rows), "acct long, month string")
+    closed = lambda: sorted((r.acct, r.month, r.attempt) for r in sinks.closed_months(spark, control).collect())
+    sinks.close_months(done((1, "2024-01"), (1, "2024-01"), (2, "2024-01")), control, "a")
+    first = closed()
+    sinks.close_months(done((1, "2024-01"), (2, "2024-01")), control, "a")
+    assert closed() == first == [(1, "2024-01", "a"), (2, "2024-01", "a")]
+    sinks.close_months(done((1, "2024-01"), (1, "2024-02")), control, "b")
+    want = [(1, "2024-01", "a"), (1, "2024-02", "b"), (2, "2024-01", "a")]
+    assert closed() == want
+    days = spark.sql("select 1L as acct, date '2024-02-03' as dt union all select 1L, date '2024-03-01'")
+    for _ in range(2):  # what is left to close comes from the gate, which sees the first try of the same attempt
+        sinks.close_months(sinks.month_gate(days, sinks.closed_months(spark, control)).select("acct", "month"), control, "c")
+        assert closed() == sorted([*want, (1, "2024-03", "c")])
