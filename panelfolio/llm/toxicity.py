@@ -185,34 +185,42 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 3) ->
     shared_rows = _counted(docs.select(F.lit(ALL).alias("kind"), "text"), 3).select("gram").toPandas()["gram"].to_numpy(np.int64)  # at most 32^3
     # at most 2 * folds * 32^5, in practice the n-grams of the languages
     rows = _counted(labelled.select((F.col("kind") + 2 * F.col("fold")).alias("kind"), "text"), ORDER).toPandas()
+    gram, n, kind = rows["gram"].to_numpy(np.int32), rows["n"].to_numpy(np.float64), rows["kind"].to_numpy(np.int16)
+    del rows
+    order = np.argsort(gram, kind="stable")
+    gram, n, kind = gram[order], n[order], kind[order]
     shared = shared_backoff(shared_rows)
 
-    def fitted(used: pd.DataFrame) -> Model:
-        summed = used.groupby([used["kind"] % 2, "gram"], sort=True)["n"].sum()
-        counts = {k: (g.index.get_level_values("gram").to_numpy(np.int64), g.to_numpy(np.float64)) for k, g in summed.groupby(level=0)}
+    def fitted(without: int | None = None) -> Model:
+        counts = {}
+        for k in (TOXIC, ORDINARY):
+            mine = (kind % 2 == k) & (kind // 2 != without if without is not None else True)
+            if mine.any():
+                codes = gram[mine]
+                first = np.flatnonzero(np.diff(codes, prepend=-1))
+                counts[k] = (codes[first].astype(np.int64), np.add.reduceat(n[mine], first))
         model = build(counts, shared)
-        if set(counts) != {TOXIC, ORDINARY}:
+        if len(counts) < 2:
             model.table[:] = 0
         return model
 
-    models = [fitted(rows[rows["kind"] // 2 != fold]) for fold in range(folds)]
-    for model in models:
-        model.table = model.table.astype(np.float16)  # the curve's bins are coarser
-    sent = spark.sparkContext.broadcast(models)
-    del models
     width = 1.0 / 2048
-
-    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for fold, mine in batch.groupby("fold"):
-                for part in chunks(mine):
-                    x = sent.value[fold].lengthwise(part["text"].tolist())
+    points = []
+    for fold in range(folds):  # one model at a time is in memory
+        sent = spark.sparkContext.broadcast(fitted(without=fold))
+
+        def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for part in chunks(batch):
+                    x = sent.value.lengthwise(part["text"].tolist())
                     place = np.clip(np.round(x / width), -BINS // 2, BINS // 2).astype("int32")
                     yield pd.DataFrame({"kind": part["kind"].to_numpy("int32"), "bin": place})
 
-    points = labelled.select("kind", "fold", "text").mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas()
-    sent.destroy()
-    model = fitted(rows)
+        mine = labelled.where(F.col("fold") == fold).select("kind", "text")
+        points.append(mine.mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas())
+        sent.destroy()
+    points = pd.concat(points)
+    model = fitted()
     model.curve = curve_of(points, width)
     return model
 
