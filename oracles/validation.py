@@ -118,3 +118,9 @@ CROSS = [SELECT, HOLD, ParamSet("bare", vol_target=None)]
 S["cross_market"] = Q.with_(TWO + Q.runs(CROSS, U, name="r2") + Q.hold_asset([("ECONOMY", 1.0)], "bench", "bh") + [
     "allr as (select universe, run_id, dt, net from r2 union all select universe, run_id, dt, net from bh)"] + Q.perf("allr"), Q.final("pf", UR, Q.PERF))
 S["cross_market_bootstrap"] = Q.with_(TWO + Q.runs(CROSS[:2], U) + bootstrap([("select", "hold")]), BOOT)
+
+S["calendar_windows"] = Q.with_(Q.base() + [c.replace("sp as", "sw as").replace("from sp", "from sw") for c in walk(3)[:3]] + [PCV[0], PCV[1].replace("ww as", "pw as")] + [
+    """rg as (select 'walk_forward' kind, window_id, 'train' part, t0::timestamp a, tr_e::timestamp b from ww union all select 'walk_forward', window_id, 'test', te_s, te_e from ww
+ union all select 'purged', window_id, 'test', te_s, te_e from pw union all select 'purged', window_id, 'train', timestamp '1900-01-01', te_s - interval 21 day - interval 1 microsecond from pw
+ union all select 'purged', window_id, 'train', te_e + interval 21 day + interval 1 microsecond, timestamp '2100-01-01' from pw)"""],
+    """select kind, universe, cast(window_id as int) window_id, part, cast(min(row_no) as int) lo, cast(max(row_no) as int) hi from rg join cal on dt between a and b group by kind, universe, window_id, part, a""")

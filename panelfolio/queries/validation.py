@@ -13,6 +13,7 @@ from panelfolio.params import ParamSet, momentum_weight_grid, robust_grid, sweep
 from panelfolio.plans import reports as R
 from panelfolio.plans import validation as V
 from panelfolio.plans.backtest import backtest
+from panelfolio.functions import tables
 from panelfolio.queries.common import ANCHORS, market, query, rounded
 from panelfolio.queries.market import limited
 from panelfolio.queries.portfolios import BENCH, BOND, FULL, dim
@@ -158,3 +159,13 @@ def cross_market_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     panel = two_markets(spark, sf)
     rets = V.grid_returns(panel, universe_dim(spark, [T.RETURNED, T.KEPT]), CROSS[:2])
     return rounded(V.compare(rets, [("select", "hold")]))
+
+
+@query
+def calendar_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Walk-forward and purged windows of the market's calendar by the table function, called from SQL."""
+    tables.register(spark)
+    days = market(spark, sf).calendar.select("universe", "dt")
+    calls = {"walk_forward": "126, 3, 1", "purged": "126, 6, 21, 21"}
+    both = [spark.sql(f"select '{kind}' as kind, w.* from calendar_windows(table({{days}}), '{kind}', {numbers}) w", days=days) for kind, numbers in calls.items()]
+    return both[0].unionByName(both[1])
