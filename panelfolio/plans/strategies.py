@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable, Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,30 +60,41 @@ class PythonStrategy:
     """Escape hatch: any per-decision Python on the recent closes of the listed assets.
 
     ``decide(closes)`` gets a frame (asset, k, close), newest k = 0, the whole past of each asset or its last
-    ``history`` rows, and returns (asset, weight) rows. Each decision is a task's group, as large as the past it asks for.
+    ``history`` rows, and returns (asset, weight) rows. The history of an asset is one row; a task gets it once for ``together``
+    decisions and cuts it for each of them.
     """
 
     decide: Callable[[pd.DataFrame], pd.DataFrame]
     assets: tuple[str, ...]
     history: int | None = None
     name: str = "python"
+    together: int = 24
 
     def targets(self, panel: Panel, dim: DataFrame) -> DataFrame:
-        obs = panel.obs.filter(F.col("asset").isin(*self.assets)).select(*ASSET, "row_no", "close")
-        rebs = rebalances(panel.calendar).filter(F.col("reb_row") >= FIRST_ROW).select("universe", "reb_no", "reb_row")
-        newest = Window.partitionBy(*ASSET, "reb_no").orderBy(F.desc("row_no"))
-        rows = rebs.join(obs, "universe").filter("row_no <= reb_row").withColumn("k", F.row_number().over(newest) - 1)
-        if self.history is not None:
-            rows = rows.filter(F.col("k") < self.history)
-        rows = rows.select("universe", "reb_no", "asset", "k", "close")
-        decide, name = self.decide, self.name
+        obs = panel.obs.filter(F.col("asset").isin(*self.assets))
+        whole = obs.groupBy(*ASSET).agg(F.array_sort(F.collect_list(F.struct("row_no", "close"))).alias("_h"))
+        whole = whole.select(*ASSET, F.transform("_h", lambda h: h["row_no"]).alias("rows"), F.transform("_h", lambda h: h["close"]).alias("closes"))
+        rebs = rebalances(panel.calendar).filter(F.col("reb_row") >= FIRST_ROW)
+        chunks = rebs.groupBy("universe", F.floor(F.col("reb_no") / self.together).alias("chunk")).agg(
+            F.array_sort(F.collect_list(F.struct("reb_row", "reb_no"))).alias("_r"))
+        chunks = chunks.select("universe", "chunk", F.transform("_r", lambda r: r["reb_no"]).alias("reb_nos"), F.transform("_r", lambda r: r["reb_row"]).alias("reb_rows"))
+        decide, name, history = self.decide, self.name, self.history
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = decide(pdf[["asset", "k", "close"]])
-            head = {"universe": pdf["universe"].iloc[0], "run_id": name, "reb_no": pdf["reb_no"].iloc[0]}
-            return pd.DataFrame([{**head, "asset": a, "weight": float(w)} for a, w in zip(out["asset"], out["weight"])], columns=list(TARGETS))
-
-        return rows.groupBy("universe", "reb_no").applyInPandas(
+            head, out = pdf.iloc[0], []
+            for reb_no, reb_row in zip(head["reb_nos"], head["reb_rows"]):
+                parts = []
+                for asset, rows, closes in zip(pdf["asset"], pdf["rows"], pdf["closes"]):
+                    end = int(np.searchsorted(rows, reb_row, "right"))
+                    first = 0 if history is None else max(0, end - history)
+                    parts.append(pd.DataFrame({"asset": asset, "k": np.arange(end - first), "close": np.asarray(closes)[first:end][::-1]}))
+                closes = pd.concat(parts, ignore_index=True)
+                if len(closes):
+                    got = decide(closes)
+                    out += [(head["universe"], name, reb_no, a, float(w)) for a, w in zip(got["asset"], got["weight"])]
+            return pd.DataFrame(out, columns=list(TARGETS))
+
+        return chunks.join(whole, "universe").groupBy("universe", "chunk").applyInPandas(
             run, "universe string, run_id string, reb_no int, asset string, weight double")
 
 
