@@ -207,7 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 3) ->
     width = 1.0 / 2048
     points = []
     for fold in range(folds):  # one model at a time is in memory
-        sent = spark.sparkContext.broadcast(fitted(without=fold))
+        part = fitted(without=fold)
+        part.table = part.table.astype(np.float16)  # the curve's bins are coarser
+        sent = spark.sparkContext.broadcast(part)
+        del part
 
         def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -218,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 3) ->
 
         mine = labelled.where(F.col("fold") == fold).select("kind", "text")
         points.append(mine.mapInPandas(bins, "kind int, bin int").groupBy("kind", "bin").count().toPandas())
-        sent.destroy()
+        sent.destroy(blocking=True)
     points = pd.concat(points)
     model = fitted()
     model.curve = curve_of(points, width)
