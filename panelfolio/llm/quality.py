@@ -5,8 +5,9 @@ not the text's own beginning decides throughout, and every block is compressed w
 two compressed sizes, divided by the text's size, is positive for texts like the good ones; isotonic regression on other
 labelled rows turns it into a score. (A logistic curve is thrown by the few good texts with very negative differences.)
 
-A Zstandard dictionary has a fixed size whatever it is trained from, so training takes a bounded sample: ``SAMPLE`` labelled rows of
-each class, those with the smallest hash of their id. Whole texts are used. Everything else covers all rows.
+A Zstandard dictionary has a fixed size whatever it is trained from, so training takes a bounded sample: ``SAMPLE`` labelled ids of
+each class, those with the smallest hash, one text each, and of these in the same order as many whole texts as ``SAMPLE_BYTES``
+hold. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelfolio.llm.calibration import Curve, curve_of
 
 BLOCK = 1024
 SAMPLE = 2_000  # labelled rows of each class that train a dictionary
+SAMPLE_BYTES = 48 << 20  # of each class; a text beyond it by itself trains nothing
 DICTIONARY = 112_640  # bytes
 LEVEL = 3
 SOFT = 64.0  # bytes added to a text's size, so that a few bytes do not decide
@@ -37,12 +39,16 @@ def blocks(data: bytes) -> list[bytes]:
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; with too few samples to train on, their bytes as they are."""
+    """A dictionary trained at ``DICTIONARY`` bytes, or at the first half, quarter and so on that the samples are enough for. Samples too
+    few for any are a dictionary as they are, whole."""
     pieces = [b for s in samples for b in blocks(s)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(pieces)[:DICTIONARY] or b"\x00" * 8
+    size = DICTIONARY
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, pieces).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            size //= 2
+    return b"".join(pieces).ljust(8, b"\x00")
 
 
 @dataclass
@@ -70,7 +76,7 @@ def difference(text: str | None, compressors: list[zstandard.ZstdCompressor]) ->
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id, quality). Only rows where ``learn`` (a column over doc_id) is true give
     labels: one in ``CURVE`` by hash sets the curve, so that this sees the classes in their true proportion; of the others
-    the first ``SAMPLE`` of each class by another hash train the dictionaries.
+    the first ``SAMPLE`` of each class by another hash train the dictionaries. Very long texts are compressed whole, block by block.
 
     A label is used once per doc_id, the largest where they differ; null labels are none. Without labelled rows of both
     classes every score is 0.5."""
@@ -80,14 +86,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     for kind in (0, 1):
         first = marks.where("not sets_curve").where(F.col("kind") == kind).orderBy("place", "doc_id").limit(SAMPLE)
         sample = first if sample is None else sample.unionByName(first)
-    chosen = [(int(r["doc_id"]), int(r["kind"])) for r in sample.collect()]  # 2 * SAMPLE ids at most
-    if {k for _, k in chosen} != {0, 1}:
+    chosen = [(int(r["doc_id"]), int(r["kind"]), int(r["place"])) for r in sample.select("doc_id", "kind", "place").collect()]  # 2 * SAMPLE ids at most
+    if {k for _, k, _ in chosen} != {0, 1}:
         return Model(b"\x00" * 8, b"\x00" * 8)
     spark = docs.sparkSession
-    ids = spark.createDataFrame(chosen, "doc_id long, kind int")
+    ids = spark.createDataFrame(chosen, "doc_id long, kind int, place long")
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(learn & F.col("doc_id").isNotNull())
-    texts = mine.join(F.broadcast(ids), "doc_id").toPandas()  # 2 * SAMPLE ids, their whole texts
-    model = Model(*(dictionary([(t or "").encode("utf-8", "replace") for t in texts.loc[texts["kind"] == k].sort_values("doc_id")["text"]]) for k in (1, 0)))
+    one = mine.join(F.broadcast(ids), "doc_id").groupBy("kind", "place", "doc_id").agg(F.min("text").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("kind").orderBy("place", "doc_id"))
+    texts = one.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("kind", "doc_id", "text").toPandas()
+    model = Model(*(dictionary([t.encode("utf-8", "replace") for t in texts.loc[texts["kind"] == k].sort_values("doc_id")["text"]]) for k in (1, 0)))
     sent = spark.sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

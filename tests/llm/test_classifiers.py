@@ -150,3 +150,22 @@ def test_every_symbol_of_every_text_has_its_window():
     assert sizes.tolist() == [6, 6, 7, 3, 1] and len(codes) == sizes.sum()
     alone = np.concatenate([toxicity.grams([t])[0] for t in texts])
     assert codes.tolist() == alone.tolist()
+
+
+def test_dictionaries_of_few_samples():
+    rng = np.random.default_rng(6)
+    few = [" ".join(rng.choice(WORDS, 40)).encode() for _ in range(40)]
+    trained = quality.dictionary(few)
+    assert trained[:4] == b"\x37\xa4\x30\xec" and len(trained) < quality.DICTIONARY  # a dictionary of a smaller size
+    assert quality.dictionary([b"two words"]) == b"two words" and quality.dictionary([]) == b"\x00" * 8
+
+
+def test_sample_is_bounded_in_texts_and_bytes(spark, monkeypatch):
+    docs, labels, _ = corpus(spark, 300)
+    same = quality.train(docs, labels, learn())
+    again = quality.train(docs.unionByName(docs), labels, learn())  # a repeated row is one text of the sample
+    assert (same.good, same.bad) == (again.good, again.bad)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 2000)
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.repeat("text", 500)).otherwise(F.col("text")))
+    model = quality.train(long, labels, learn())
+    assert {len(model.good) <= 2000, len(model.bad) <= 2000} == {True}
