@@ -17,8 +17,11 @@ def shrunk_covariance(series: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     centred = series.select(*keys, "k", "name", (F.col("x") - F.avg("x").over(own)).alias("x"))
     left = centred.select(*keys, "k", F.col("name").alias("i"), F.col("x").alias("xi"))
     right = centred.select(*keys, "k", F.col("name").alias("j"), F.col("x").alias("xj"))
-    pairs = (left.join(right, [*keys, "k"]).groupBy(*keys, "i", "j").agg(
+    pairs = (left.join(right, [*keys, "k"]).filter("i <= j").groupBy(*keys, "i", "j").agg(
         F.avg(F.col("xi") * F.col("xj")).alias("s"), F.avg((F.col("xi") * F.col("xj")) ** 2).alias("q"), F.count(F.lit(1)).alias("t")))
+    # each pair is summed once and stands in both halves of the matrix
+    pairs = pairs.select(*keys, "s", "q", "t", F.explode(F.array_distinct(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("_p")).select(
+        *keys, "_p.i", "_p.j", "s", "q", "t")
     group = Window.partitionBy(*keys)
     diag = F.col("i") == F.col("j")
     df = pairs.withColumn("mu", F.avg(F.when(diag, F.col("s"))).over(group))

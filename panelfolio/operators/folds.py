@@ -82,15 +82,15 @@ def window_scores(returns: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.groupBy(*RUN, "window_id", "part").agg(S.sharpe(F.avg("net"), F.stddev_samp("net")).alias("score"))
 
 
-def ranked_score() -> tuple:
+def ranked_score(places: int | None) -> tuple:
     """Best score first, first run on ties. Equal series summed in another order differ in the last bits, so scores are
-    compared to ten places."""
-    return F.desc_nulls_last(F.round("score", 10)), F.asc("run_id")
+    compared to ``places``; None compares them as they are."""
+    return F.desc_nulls_last(F.col("score") if places is None else F.round("score", places)), F.asc("run_id")
 
 
-def best_in_train(scores: DataFrame) -> DataFrame:
-    """Winner of each window on the training part; the first run wins ties."""
-    by = Window.partitionBy(*WINDOW).orderBy(*ranked_score())
+def best_in_train(scores: DataFrame, places: int | None = 10) -> DataFrame:
+    """Winner of each window on the training part; the first run wins ties (see `ranked_score`)."""
+    by = Window.partitionBy(*WINDOW).orderBy(*ranked_score(places))
     return (scores.filter("part = 'train'").withColumn("_k", F.row_number().over(by)).filter("_k = 1")
             .select(*WINDOW, "run_id", F.col("score").alias("train_score")))
 
@@ -113,10 +113,10 @@ def stitched_returns(returns: DataFrame, scores: DataFrame, windows: DataFrame)
         "seq", F.struct("window_id", "row_no"))
 
 
-def rank_of_best(scores: DataFrame) -> DataFrame:
+def rank_of_best(scores: DataFrame, places: int | None = 10) -> DataFrame:
     """0-based test rank of the training winner per window, with the number of runs."""
     by = Window.partitionBy(*WINDOW)
     ranks = scores.filter("part = 'test'").withColumn(
-        "test_rank", F.row_number().over(by.orderBy(*ranked_score())) - 1).withColumn(
+        "test_rank", F.row_number().over(by.orderBy(*ranked_score(places))) - 1).withColumn(
         "n_runs", F.count(F.lit(1)).over(by))
-    return best_in_train(scores).join(ranks.select(*RUN, "window_id", "test_rank", "n_runs"), [*RUN, "window_id"])
+    return best_in_train(scores, places).join(ranks.select(*RUN, "window_id", "test_rank", "n_runs"), [*RUN, "window_id"])
