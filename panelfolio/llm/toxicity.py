@@ -9,13 +9,14 @@ orders 2 and 1 over all documents. A text's score is the difference of its two l
 plus ``SOFT`` symbols, mapped to a probability by isotonic regression on cross-fitted scores of all labelled rows.
 
 Five symbols of five bits are 2^25 possible n-grams, a bound that no corpus moves: counts are summed per n-gram on the
-executors and the table of log ratios (contexts seen in training, and order 4 for the rest) is broadcast.
+executors and broadcast; each worker makes the table of log ratios (contexts seen in training, and order 4 for the rest) from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -109,15 +110,27 @@ def _counted(texts: DataFrame, order: int) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log ratio of the next symbol: row ``row_of[context]`` of ``table``; contexts never seen use their last 3 symbols."""
+    """(grams, counts) of each class and the shared order-2 distribution; small, while the table of log ratios is made where it is used.
 
-    row_of: np.ndarray
-    table: np.ndarray
+    The table has a row for each context: contexts never seen use their last 3 symbols.
+    """
+
+    counts: dict[int, tuple[np.ndarray, np.ndarray]]
+    shared: np.ndarray
     curve: Curve = field(default_factory=Curve)
 
+    def __getstate__(self) -> dict:
+        return {"counts": self.counts, "shared": self.shared, "curve": self.curve}
+
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row of every context, and the log ratios of the next symbol, row by row. Without both classes every ratio is 0."""
+        return tabulate(self.counts, self.shared) if set(self.counts) == {TOXIC, ORDINARY} else (np.zeros(A**4, np.int32), np.zeros(A, np.float32))
+
     def lengthwise(self, texts: list[str | None]) -> np.ndarray:
+        row_of, table = self.dense
         codes, sizes = grams(texts)
-        ratio = self.table[self.row_of[codes >> 5].astype(np.int64) * A + (codes & 31)]
+        ratio = table[row_of[codes >> 5].astype(np.int64) * A + (codes & 31)]
         starts = np.cumsum(sizes) - sizes
         return np.add.reduceat(ratio.astype(np.float64), starts) / (sizes + SOFT) if len(sizes) else np.zeros(0)
 
@@ -142,8 +155,8 @@ def shared_backoff(trigrams: np.ndarray) -> np.ndarray:
     return _interpolate(two, np.broadcast_to(one, (A, A)))
 
 
-def build(counts: dict[int, tuple[np.ndarray, np.ndarray]], shared: np.ndarray) -> Model:
-    """The table of log ratios from (grams, counts) of each class and the shared order-2 distribution."""
+def tabulate(counts: dict[int, tuple[np.ndarray, np.ndarray]], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of contexts and the table of log ratios from (grams, counts) of each class and the shared order-2 distribution."""
     logs4, classes = [], []
     for kind in (TOXIC, ORDINARY):
         codes, n = counts.get(kind, (np.zeros(0, np.int64), np.zeros(0)))
@@ -166,7 +179,7 @@ def build(counts: dict[int, tuple[np.ndarray, np.ndarray]], shared: np.ndarray)
     table = table.reshape(-1)
     row_of = (np.arange(A**4) % A**3).astype(np.int32)
     row_of[contexts] = A**3 + np.arange(len(contexts))
-    return Model(row_of, table)
+    return row_of, table
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 3) -> Model:
@@ -198,19 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 3) ->
             if mine.any():
                 codes = gram[mine]
                 first = np.flatnonzero(np.diff(codes, prepend=-1))
-                counts[k] = (codes[first].astype(np.int64), np.add.reduceat(n[mine], first))
-        model = build(counts, shared)
-        if len(counts) < 2:
-            model.table[:] = 0
-        return model
+                counts[k] = (codes[first], np.add.reduceat(n[mine], first).astype(np.int64))
+        return Model(counts, shared)
 
     width = 1.0 / 2048
     points = []
-    for fold in range(folds):  # one model at a time is in memory
-        part = fitted(without=fold)
-        part.table = part.table.astype(np.float16)  # the curve's bins are coarser
-        sent = spark.sparkContext.broadcast(part)
-        del part
+    for fold in range(folds):
+        sent = spark.sparkContext.broadcast(fitted(without=fold))
 
         def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -96,7 +96,7 @@ def test_ratios_are_those_of_the_definition():
     everything = np.unique(np.concatenate([c[0] for c in counts.values()]) % toxicity.A**3)
     shared = toxicity.shared_backoff(everything)
     assert np.allclose(shared.sum(1), 1)
-    model = toxicity.build({k: (c.astype(np.int64), n.astype(float)) for k, (c, n) in counts.items()}, shared)
+    model = toxicity.Model(counts, shared)
     by_order = {}
     for k, (codes, n) in counts.items():
         tables = {5: dict(zip(codes.tolist(), n.tolist()))}
