@@ -84,6 +84,10 @@ for name, (cutoff, n) in {"long": ("1995-01-04", 3), "full": ("1996-01-01", 4)}.
  (select asset from px group by 1 having count(*) >= 750 and min(dt) <= date '{cutoff}'))"""] + basket(f"p_{name}", f"_{name}") + chosen(n, f"_{name}") + books(f"_{name}")
 S["two_panels"] = Q.with_(PANELS + ["bb as (select * from bk_long union all select * from bk_full)"] + Q.perf("bb"), Q.final("pf", UR, Q.PERF))
 
+S["high_correlations"] = Q.with_(BR + basket() + ["""hc as (select x.universe, x.asset a, y.asset b, corr(x.close, y.close) corr, count(*) n from den x join den y
+ on x.universe = y.universe and x.dt = y.dt and x.asset < y.asset where x.close is not null and y.close is not null group by 1, 2, 3)"""],
+    Q.final("hc", ["universe", "a", "b", "n"], ["corr"], where="corr >= 0.2"))
+
 PAIRS = Q.base() + ["""pp as (select * from (select a.universe, a.asset a, b.asset b, a.dt, a.close pa, b.close pb, count(*) over (partition by a.universe, a.asset, b.asset) t
  from obs a join obs b on a.universe = b.universe and a.dt = b.dt and a.asset < b.asset) where t >= 300)""",
     "pb as (select a, b, regr_slope(ln(pa), ln(pb)) beta from pp group by 1, 2)",

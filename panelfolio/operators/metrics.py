@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelfolio.functions import scalars as S
+from panelfolio.session import stage
 from panelfolio.operators import signals as G
 
 RUN = ("universe", "run_id")
@@ -166,6 +167,43 @@ def corr_matrix(series: DataFrame, name: str, value: str, keys: tuple[str, ...]
             .agg(F.corr("_x", "_y").alias("corr"), F.count(F.lit(1)).alias("n")))
 
 
+def high_correlations(series: DataFrame, name: str, value: str, bound: float, keys: tuple[str, ...] = ("universe",), parts: int = 4) -> DataFrame:
+    """(keys, a, b, corr, n) of the pairs a < b with a correlation of ``bound`` or more; each pair once, no all-pairs output.
+
+    Series with a value on every date become unit vectors. Their products are summed over one random part of the dates after the
+    other, and a pair leaves as soon as what is left of its two vectors could not lift it to the bound (Cauchy-Schwarz), so most
+    pairs are summed over a part of the dates only. Pairs with a gap in either series are summed whole, on their common dates. A flat series correlates with none.
+    """
+    rows = series.select(*keys, "dt", F.col(name).alias("a"), F.col(value).alias("x")).filter("x is not null")
+    own = rows.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), (F.stddev_pop("x") * F.sqrt(F.count(F.lit(1)).cast("double"))).alias("norm"))
+    dates = rows.select(*keys, "dt").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("dates"))
+    own = own.join(dates, list(keys)).withColumn("whole", F.col("n") == F.col("dates"))
+    marked = stage(rows.join(own, [*keys, "a"]).select(*keys, "dt", "a", "x", "whole", "n", S.ratio(F.col("x") - F.col("m"), F.col("norm")).alias("z"),
+                                                       F.pmod(F.xxhash64("dt"), F.lit(parts)).cast("int").alias("part")), "unit-series")
+    unit = marked.filter("whole and z is not null").select(*keys, "dt", "a", "n", "z", "part")
+    used = unit.groupBy(*keys, "a").agg(*[F.sum(F.when(F.col("part") <= p, F.col("z") * F.col("z")).otherwise(0.0)).alias(f"u{p}") for p in range(parts)])
+    left = lambda p, side: F.sqrt(F.greatest(F.lit(0.0), 1 - F.col(f"{side}{p}")))
+    norms = {side: used.select(*keys, F.col("a").alias(side), *[F.col(f"u{p}").alias(f"_{side}{p}") for p in range(parts)]) for side in ("a", "b")}
+    pairs = None
+    for p in range(parts):
+        here = unit.filter(F.col("part") == p)
+        first = here.select(*keys, "dt", "a", "n", F.col("z").alias("_x"))
+        second = here.select(*keys, "dt", F.col("a").alias("b"), F.col("z").alias("_y"))
+        if pairs is None:
+            both = first.join(second, [*keys, "dt"]).filter("a < b").withColumn("corr", F.lit(0.0))
+        else:
+            both = pairs.join(first.drop("n"), [*keys, "a"]).join(second, [*keys, "b", "dt"])
+        summed = both.groupBy(*keys, "a", "b").agg(F.first("n").alias("n"), (F.first("corr") + F.sum(F.col("_x") * F.col("_y"))).alias("corr"))
+        reach = F.col("corr") + (left(p, "_a") * left(p, "_b") if p < parts - 1 else F.lit(0.0))
+        pairs = summed.join(norms["a"], [*keys, "a"]).join(norms["b"], [*keys, "b"]).filter(reach >= bound - S.EPS).select(*keys, "a", "b", "n", "corr")
+        pairs = stage(pairs, "high-pairs")
+    gaps = marked.select(*keys, "dt", "a", "x", "whole")
+    other = gaps.select(*keys, "dt", F.col("a").alias("b"), F.col("x").alias("_y"), F.col("whole").alias("_w"))
+    direct = (gaps.join(other, [*keys, "dt"]).filter("a < b and not (whole and _w)").groupBy(*keys, "a", "b")
+              .agg(F.count(F.lit(1)).alias("n"), S.ratio(F.covar_pop("x", "_y"), F.stddev_pop("x") * F.stddev_pop("_y")).alias("corr")).filter(F.col("corr") >= bound))
+    return pairs.unionByName(direct).select(*keys, "a", "b", "corr", "n")
+
+
 def corr_summary(matrix: DataFrame, high: float = 0.7, keys: tuple[str, ...] = ("universe",)) -> DataFrame:
     return matrix.groupBy(*keys).agg(F.avg("corr").alias("mean_corr"), F.count_if(F.col("corr") > high).alias("n_high"))
 

@@ -106,6 +106,12 @@ def two_panels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.perf(out))
 
 
+@query
+def high_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of brands whose carried prices correlate at 0.2 or more; brands that start late are compared on common dates."""
+    return rounded(M.high_correlations(basket(spark, sf).obs, "asset", "close", 0.2))
+
+
 ASSETS = [*T.TYPES.pool, T.TYPES.bond]
 
 

@@ -51,7 +51,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 
     Used where one table feeds several branches (the panel, the daily returns of a parameter grid): the raw scan runs
     once, later branches prune columns on a columnar file with known size, and a lost executor re-reads the table
-    instead of recomputing the chain. Without a shared folder the plan is returned uncut, which is right but re-runs.
+    instead of recomputing the chain. The table stays until the owner of the folder clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

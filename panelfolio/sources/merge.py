@@ -45,10 +45,11 @@ def missing_symbols(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def require_symbols(df: DataFrame, required: list[str]) -> DataFrame:
-    """Raise when a required symbol is absent, else hand the rows on."""
-    gone = [f"{r.universe}/{r.asset}" for r in missing_symbols(df, required).collect()]  # at most the required ones of each universe
-    if gone:
-        raise ValueError(f"{len(gone)} missing required symbols: {gone}")
+    """Raise when a required symbol is absent, with their number and the first twenty, else hand the rows on."""
+    missing = missing_symbols(df, required)
+    shown = [f"{r.universe}/{r.asset}" for r in missing.orderBy(*ASSET).limit(20).collect()]
+    if shown:
+        raise ValueError(f"{missing.count()} missing required symbols, among them {shown}")
     return df
 
 

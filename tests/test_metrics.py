@@ -177,3 +177,16 @@ def test_segments_from_a_table(spark):
     assert got == {(r, s): count(lo, hi) for r in "xy" for s, lo, hi in spans if count(lo, hi)}
     own = table.filter("segment = 's1'").selectExpr("'x' as run_id", "*")
     assert {r.run_id for r in M.segment_cumulative_return(rets, own, 0).collect()} <= {"x"}
+
+
+def test_high_correlations_against_the_whole_matrix(spark):
+    rng = np.random.default_rng(12)
+    n, common = 300, rng.normal(0, 1, 300)
+    wide = {f"a{i:02d}": rng.uniform(0, 1.2) * common + rng.normal(0, 1, n) for i in range(24)}
+    wide["flat"] = np.ones(n)
+    rows = [("u", d, a, float(x)) for a, xs in wide.items() for d, x in enumerate(xs) if not (a in ("a03", "a07") and d < 40) and not (a == "a05" and d % 9 == 0)]
+    df = spark.createDataFrame(rows, "universe string, dt int, asset string, close double")
+    got = {(r.a, r.b): (r.corr, r.n) for r in M.high_correlations(df, "asset", "close", 0.3).collect()}
+    want = {(r.a, r.b): (r["corr"], r.n) for r in M.corr_matrix(df.filter("asset <> 'flat'"), "asset", "close").collect() if r["corr"] is not None and r["corr"] >= 0.3}
+    assert set(got) == set(want) and 20 < len(got) < 200
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)

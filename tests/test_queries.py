@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from check import TABLES, canonical
 
 SF = "/root/testdata/sf0.01"
-FEW = ["adjusted_prices", "limit_flags", "backtest_limits", "risk_parity_targets", "purged_cv", "pair_perf", "orders_cash_cap", "fill_stream",
+FEW = ["adjusted_prices", "limit_flags", "backtest_limits", "risk_parity_targets", "purged_cv", "pair_perf", "orders_cash_cap", "fill_stream", "pair_tests", "month_close", "calendar_windows", "segment_table", "ledger",
        "drift_stream", "normal_functions", "near_trading_days", "vendor_files", "localized_bar_files", "report_files", "curve_files", "account_state_files", "merged_sources",
        "topped_up_closes", "coalesced_sources", "modified_score", "asset_vols", "suspended_asset", "min_variance_yearly", "config_flags", "month_gate", "symbol_rules"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("CHECK_ALL") else FEW
