@@ -159,7 +159,6 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 BUCKETS = 64
-QUOTED = "quote double, ts timestamp"
 
 
 def _versions(spark: SparkSession, state: str, epoch: int) -> dict[int, int]:
@@ -169,12 +168,18 @@ def _versions(spark: SparkSession, state: str, epoch: int) -> dict[int, int]:
     return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").json(f"{state}/manifest/epoch={epoch}").collect()}
 
 
-def _bucket_rows(spark: SparkSession, state: str, key: str, versions: dict[int, int]) -> DataFrame:
-    """Rows of the given buckets, each of its version."""
-    schema = f"asset {key}, {QUOTED}"
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{state}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())])
+def _folder(state: str, bucket: int, version: int) -> str:
+    return f"{state}/data/version={version}/bucket={bucket}"
+
+
+def _bucket_rows(spark: SparkSession, state: str, versions: dict[int, int]) -> DataFrame:
+    """Rows of the given buckets (one at least), each of its version."""
+    return spark.read.parquet(*[_folder(state, b, v) for b, v in sorted(versions.items())]).select("asset", "quote", "ts")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drift_monitor(quotes: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
@@ -182,9 +187,9 @@ def drift_monitor(quotes: DataFrame, state: str, checkpoint: str) -> StreamingQu
 
     A batch is collapsed to one row per asset before it meets the table. It reads the buckets of the versions that the manifest of
     the batch before names, writes theirs under its own number and then its manifest, so a replayed batch gives the same
-    table and readers see whole batches. Of quotes of one time the largest stays.
+    table and readers see whole batches. What the batch before replaced is deleted, so old versions do not pile up. Of quotes of one time
+    the largest stays.
     """
-    key = quotes.schema["asset"].dataType.simpleString()
     newest = lambda rows: rows.groupBy("asset").agg(F.max(F.struct("ts", "quote")).alias("last")).select("asset", "last.quote", "last.ts")
     bucket = F.pmod(F.xxhash64("asset"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
@@ -193,20 +198,23 @@ def drift_monitor(quotes: DataFrame, state: str, checkpoint: str) -> StreamingQu
         fresh = stage(newest(batch), "quotes")
         touched = [r["bucket"] for r in fresh.select(bucket).distinct().collect()]
         versions = _versions(spark, state, epoch - 1)
-        before = _bucket_rows(spark, state, key, {b: versions[b] for b in touched if b in versions})
-        rows = newest(fresh.unionByName(before))
+        before = {b: versions[b] for b in touched if b in versions}
+        rows = newest(fresh.unionByName(_bucket_rows(spark, state, before))) if before else fresh
         rows.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/data/version={epoch}")
         named = {**versions, **dict.fromkeys(touched, epoch)}
         spark.createDataFrame(list(named.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").json(f"{state}/manifest/epoch={epoch}")
+        for b, v in _versions(spark, state, epoch - 2).items():  # a replay of this batch needs no more than the manifest before
+            if versions.get(b) != v:
+                _drop(spark, _folder(state, b, v))
 
     return (quotes.select("asset", F.col("quote").cast("double").alias("quote"), "ts").writeStream.foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def latest_quotes(spark: SparkSession, state: str, key: str = "long") -> DataFrame:
-    """The table of `drift_monitor` after its last whole batch; ``key`` is the type of the asset column."""
+def latest_quotes(spark: SparkSession, state: str) -> DataFrame:
+    """The table of `drift_monitor` after its last whole batch."""
     last = spark.read.json(f"{state}/manifest").agg(F.max("epoch")).first()[0]
-    return _bucket_rows(spark, state, key, _versions(spark, state, int(last)))
+    return _bucket_rows(spark, state, _versions(spark, state, int(last)))
 
 
 def drift_alerts(latest: DataFrame, closes: DataFrame, threshold: float = DRIFT) -> DataFrame:

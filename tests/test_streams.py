@@ -58,7 +58,7 @@ def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
         SM.drift_monitor(quotes, state, check).awaitTermination()
         for a, at, q in batch:
             want[a] = max(want.get(a, (at, q)), (at, q))
-        assert {r.asset: (r.ts, r.quote) for r in SM.latest_quotes(spark, state, "string").collect()} == want
+        assert {r.asset: (r.ts, r.quote) for r in SM.latest_quotes(spark, state).collect()} == want
         written = {p.name for p in (tmp_path / "state" / "data" / f"version={k}").glob("bucket=*")}
         assert len(written) == SM.BUCKETS if k == 0 else 1 <= len(written) <= len(batch)
 
@@ -69,4 +69,4 @@ def test_a_replayed_batch_gives_the_same_table(spark, tmp_path):
     spark.createDataFrame([("a", T0, 1.0), ("b", T0, 2.0)], schema).coalesce(1).write.parquet(source)
     for check in ("c1", "c2"):  # a lost checkpoint replays batch 0
         SM.drift_monitor(spark.readStream.schema(schema).parquet(source), state, str(tmp_path / check)).awaitTermination()
-        assert {(r.asset, r.quote) for r in SM.latest_quotes(spark, state, "string").collect()} == {("a", 1.0), ("b", 2.0)}
+        assert {(r.asset, r.quote) for r in SM.latest_quotes(spark, state).collect()} == {("a", 1.0), ("b", 2.0)}
