@@ -20,6 +20,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +109,21 @@ def _counted(texts: DataFrame, order: int) -> DataFrame:
     return texts.mapInPandas(run, "kind int, gram int, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
 
 
+def _collected(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds, grams and counts as arrays. They travel as bytes, a row a batch: a table of as many rows takes the driver many times their size."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: pa.array([np.asarray(batch.column(c)).astype(t).tobytes()], pa.binary()) for c, t in PACKED.items()}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    rows = counted.select(*PACKED).mapInArrow(pack, ", ".join(f"{c} binary" for c in PACKED)).collect()
+    return tuple(np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.zeros(0, t)]) for c, t in PACKED.items())
+
+
+PACKED = {"kind": "int16", "gram": "int32", "n": "int64"}
+
+
 @dataclass
 class Model:
     """(grams, counts) of each class and the shared order-2 distribution; small, while the table of log ratios is made where it is used.
@@ -195,11 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 3) ->
     # labels grow with the documents, so this is a shuffled join whatever their size
     labelled = mine.join(marks.hint("merge"), "doc_id").select("kind", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold"), "text")
     labelled = stage(labelled, "toxicity-labelled")  # read for the counts and again for the curve
-    shared_rows = _counted(docs.select(F.lit(ALL).alias("kind"), "text"), 3).select("gram").toPandas()["gram"].to_numpy(np.int64)  # at most 32^3
+    shared_rows = _collected(_counted(docs.select(F.lit(ALL).alias("kind"), "text"), 3))[1].astype(np.int64)  # at most 32^3
     # at most 2 * folds * 32^5, in practice the n-grams of the languages
-    rows = _counted(labelled.select((F.col("kind") + 2 * F.col("fold")).alias("kind"), "text"), ORDER).toPandas()
-    gram, n, kind = rows["gram"].to_numpy(np.int32), rows["n"].to_numpy(np.float64), rows["kind"].to_numpy(np.int16)
-    del rows
+    kind, gram, n = _collected(_counted(labelled.select((F.col("kind") + 2 * F.col("fold")).alias("kind"), "text"), ORDER))
     order = np.argsort(gram, kind="stable")
     gram, n, kind = gram[order], n[order], kind[order]
     shared = shared_backoff(shared_rows)
@@ -211,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, folds: int = 3) ->
             if mine.any():
                 codes = gram[mine]
                 first = np.flatnonzero(np.diff(codes, prepend=-1))
-                counts[k] = (codes[first], np.add.reduceat(n[mine], first).astype(np.int64))
+                counts[k] = (codes[first], np.add.reduceat(n[mine], first))
         return Model(counts, shared)
 
     width = 1.0 / 2048
