@@ -1,10 +1,12 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelfolio.operators import tradeops as O
 from panelfolio.params import COMMISSION, SLIPPAGE
+from panelfolio.queries import trading as Q
 from panelfolio.streaming import monitors as SM
 
 T, POS, PX, ACC = "acct string, asset string, weight double", "acct string, asset string, shares long", "asset string, price double", "acct string, total double"
@@ -115,3 +117,35 @@ def test_unfilled_orders_stream(spark, tmp_path):
     assert got[1] == (100, True) and got[2] == (0, False) and 3 not in got  # still waiting
     whole = SM.completeness(SM.with_waiting(spark.read.parquet(str(tmp_path / "out")), spark.read.parquet(o)))
     assert {r.order_id: (r.filled, r.complete) for r in whole.collect()} == {1: (100, True), 2: (0, False), 3: (0, False)}
+
+
+@pytest.fixture()
+def unbroadcast(spark):
+    """Joins as on tables too large to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def order_tables(spark, path) -> str:
+    """Two accounts; every order has two lines of one number, one of them returned; no stock of account 2 is left."""
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(k)
+    lines = [(k, 1 + k % 2, 1, 10.0, 5000.0, "N", day(k)) for k in range(6)] + [(k, 1 + k % 2, 1, 4.0 if k < 3 else 20.0, 2000.0, "R", day(k)) for k in range(6)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(k, 1 if k < 3 else 2) for k in range(6)], "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(1, "SMALL"), (2, "LARGE")], "p_partkey long, p_type string").write.parquet(f"{path}/part.parquet")
+    spark.createDataFrame([(1, 100.0), (2, 50.0), (3, -2000.0)], "c_custkey long, c_acctbal double").write.parquet(f"{path}/customer.parquet")
+    return str(path)
+
+
+def plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_fills_meet_orders_without_sorting_lines(spark, tmp_path, unbroadcast):
+    sf = order_tables(spark, tmp_path)
+    found = plan(Q.fills(spark, sf).select("acct", "asset", "shares"))
+    assert found.count("ShuffledHashJoin") == 1 and "l_orderkey" not in "".join(x for x in found.split("\n") if " Sort " in x)
+    assert {(r.acct, r.asset, r.shares) for r in Q.book(spark, sf)[1].collect()} == {(1, "SMALL", 1200), (1, "LARGE", 600)}
