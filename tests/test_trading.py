@@ -149,3 +149,14 @@ def test_fills_meet_orders_without_sorting_lines(spark, tmp_path, unbroadcast):
     found = plan(Q.fills(spark, sf).select("acct", "asset", "shares"))
     assert found.count("ShuffledHashJoin") == 1 and "l_orderkey" not in "".join(x for x in found.split("\n") if " Sort " in x)
     assert {(r.acct, r.asset, r.shares) for r in Q.book(spark, sf)[1].collect()} == {(1, "SMALL", 1200), (1, "LARGE", 600)}
+
+
+def test_month_done_over_small_tables(spark, tmp_path, unbroadcast):
+    """Account 1 holds more than its model in LARGE, account 2 nothing but cash, account 3 has no value."""
+    got = {r.acct: r for r in Q.month_done(spark, order_tables(spark, tmp_path)).collect()}
+    prices = {"SMALL": 5200 / 1000, "LARGE": 0.0}
+    assert set(got) == {1, 2} and got[2].worst_asset == "__cash__" and got[2].max_deviation == 1.0 and not got[2].done
+    rows = Q.reconcile(spark, str(tmp_path)).collect()
+    for a in got:
+        worst = max((abs(r.deviation), r.asset) for r in rows if r.acct == a)
+        assert (got[a].max_deviation, got[a].worst_asset) == worst and got[a].n_flagged == sum(r.flagged for r in rows if r.acct == a)
