@@ -160,3 +160,19 @@ def test_month_done_over_small_tables(spark, tmp_path, unbroadcast):
     for a in got:
         worst = max((abs(r.deviation), r.asset) for r in rows if r.acct == a)
         assert (got[a].max_deviation, got[a].worst_asset) == worst and got[a].n_flagged == sum(r.flagged for r in rows if r.acct == a)
+
+
+def test_ledger_orders_by_columns_and_keeps_undated_fills_first(spark):
+    data = [("x", "s", None, 1, 1, "BUY", 300, 10.0), ("x", "s", dt.date(2024, 1, 5), 1, 2, "SELL", 200, 10.0), ("x", "s", dt.date(2024, 1, 5), 1, 1, "BUY", 50, 10.0),
+            ("x", "s", dt.date(2024, 3, 5), 2, 1, "SELL", 500, 10.0), (None, "s", dt.date(2024, 1, 5), 1, 1, "BUY", 7, 10.0)]
+    booked = O.ledger(spark.createDataFrame(data, "acct string, asset string, dt date, line long, part long, side string, shares long, price double"), order=("line", "part"))
+    assert sorted((r.dt, r.part, r.before, r.after) for r in booked.collect()) == [
+        (dt.date(2024, 1, 5), 1, 300, 350), (dt.date(2024, 1, 5), 2, 350, 150), (dt.date(2024, 3, 5), 1, 150, 0)]
+
+
+def test_balances_stage_one_row_a_line(spark):
+    booked = spark.createDataFrame([("x", "s", dt.date(2024, 1, d), d, 10 * d, 1.0) for d in (1, 2, 3)] + [("x", "t", dt.date(2024, 1, 1), 1, 0, 2.0)],
+                                   "acct string, asset string, dt date, fill_no long, after long, cash_flow double")
+    cash, held = O.balances(booked, spark.createDataFrame([("x", 1.0), ("y", 1.0)], "acct string, cash double"))
+    assert {(r.acct, r.cash) for r in cash.collect()} == {("x", 6.0), ("y", 1.0)}
+    assert [tuple(r) for r in held.collect()] == [("x", "s", 30)] and held.inputFiles() == cash.inputFiles() and "fill_no" not in plan(held)
