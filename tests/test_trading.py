@@ -162,6 +162,17 @@ def test_month_done_over_small_tables(spark, tmp_path, unbroadcast):
         assert (got[a].max_deviation, got[a].worst_asset) == worst and got[a].n_flagged == sum(r.flagged for r in rows if r.acct == a)
 
 
+def dealt(found: str) -> list[str]:
+    """Exchanges of fills to chunks."""
+    return [x for x in found.split("\n") if "Exchange hashpartitioning(" in x and "_c#" in x and "ReusedExchange" not in x]
+
+
+def test_ledger_deals_fills_once(spark, tmp_path, unbroadcast):
+    """One exchange of fills and one of totals; the second reader of the fills reuses the first."""
+    found = plan(Q.ledger(spark, order_tables(spark, tmp_path)))
+    assert len(dealt(found)) == 2 and "ReusedExchange" in found
+
+
 def test_ledger_orders_by_columns_and_keeps_undated_fills_first(spark):
     data = [("x", "s", None, 1, 1, "BUY", 300, 10.0), ("x", "s", dt.date(2024, 1, 5), 1, 2, "SELL", 200, 10.0), ("x", "s", dt.date(2024, 1, 5), 1, 1, "BUY", 50, 10.0),
             ("x", "s", dt.date(2024, 3, 5), 2, 1, "SELL", 500, 10.0), (None, "s", dt.date(2024, 1, 5), 1, 1, "BUY", 7, 10.0)]
