@@ -162,6 +162,12 @@ def test_month_done_over_small_tables(spark, tmp_path, unbroadcast):
         assert (got[a].max_deviation, got[a].worst_asset) == worst and got[a].n_flagged == sum(r.flagged for r in rows if r.acct == a)
 
 
+def test_month_done_joins_weights_once(spark, tmp_path, unbroadcast):
+    """Summary and gate read staged deviations; neither computes the full join of targets and positions again."""
+    df = Q.month_done(spark, order_tables(spark, tmp_path))
+    assert "FullOuter" not in plan(df) and all("/deviations-" in f for f in df.inputFiles())
+
+
 def dealt(found: str) -> list[str]:
     """Exchanges of fills to chunks."""
     return [x for x in found.split("\n") if "Exchange hashpartitioning(" in x and "_c#" in x and "ReusedExchange" not in x]
