@@ -179,6 +179,29 @@ def test_ledger_deals_fills_once(spark, tmp_path, unbroadcast):
     assert len(dealt(found)) == 2 and "ReusedExchange" in found
 
 
+def test_ledger_sorts_fills_once_a_reader(spark, tmp_path, unbroadcast):
+    """Chunk totals are the last fills of sorted chunks, so nothing is hashed, and no sort follows the join of the totals."""
+    found = plan(Q.ledger(spark, order_tables(spark, tmp_path)))
+    assert "HashAggregate" not in found and sum(" Sort [" in x and "line_no#" in x for x in found.split("\n")) == 2
+
+
+def test_ledger_of_one_chunk_and_of_many_agree(spark):
+    """Chunks of one fill and one chunk of all; equal fills, fills of one day and sales of nothing."""
+    rng = np.random.default_rng(7)
+    data = [("x", "st"[i % 2], dt.date(2020, 1, 1) + dt.timedelta(int(rng.integers(400))), int(rng.integers(4)), "SELL" if rng.random() < 0.6 else "BUY", int(rng.integers(1, 4)), 10.0)
+            for i in range(120)]
+    df = spark.createDataFrame(data + data[:10], "acct string, asset string, dt date, line long, side string, shares long, price double")
+    paths = [sorted(tuple(r) for r in O.ledger(df, chunk, ("line", "shares", "side")).select("asset", "dt", "line", "side", "shares", "before", "after").collect())
+             for chunk in ("week", "month", "year")]
+    assert paths[0] == paths[1] == paths[2] and len(paths[0]) == 130
+    by_hand, have = [], {}
+    for r in sorted(data + data[:10], key=lambda r: (r[1], r[2], r[3], r[5], r[4])):
+        before = have.get(r[1], 0)
+        have[r[1]] = max(before + (r[5] if r[4] == "BUY" else -r[5]), 0)
+        by_hand.append((*r[1:6], before, have[r[1]]))
+    assert paths[0] == sorted(by_hand)
+
+
 def test_ledger_orders_by_columns_and_keeps_undated_fills_first(spark):
     data = [("x", "s", None, 1, 1, "BUY", 300, 10.0), ("x", "s", dt.date(2024, 1, 5), 1, 2, "SELL", 200, 10.0), ("x", "s", dt.date(2024, 1, 5), 1, 1, "BUY", 50, 10.0),
             ("x", "s", dt.date(2024, 3, 5), 2, 1, "SELL", 500, 10.0), (None, "s", dt.date(2024, 1, 5), 1, 1, "BUY", 7, 10.0)]
